@@ -1,0 +1,37 @@
+"""Connected components of a link table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def _large(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def smallest_reachable(links: DataFrame) -> DataFrame:
+    """From links (a, b) of comparable nodes: (a, b), b the least node that a reaches, for every a that isn't it.
+
+    Each round is written to the checkpoint folder, so lineage stays short and a lost
+    executor costs one round.  An empty table gives an empty table.
+    """
+    now = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = None
+    while (state := _state(now)) != before and state[0]:
+        before, now = state, durable(_small(_large(now)))
+    return now

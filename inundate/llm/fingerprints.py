@@ -9,7 +9,7 @@ the share of the smaller sketch found in the other; two empty sketches are alike
 (1), an empty and another are not (0).
 
 Null text is empty; repeated rows give repeated rows; of rows that share a doc_id
-the least text stands for that id when it is another's next document; a row
+the one with the least head and sketch is the next document of another id; a row
 without doc_id has no next document and is not one; one document alone is its own
 next; an empty table gives an empty table.
 """
@@ -95,25 +95,32 @@ def next_lower(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars and sketch of every document."""
-    return texts(docs).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text")).alias("sketch"))
+    """doc_id, text and sketch of every document."""
+    return texts(docs).select("doc_id", "text", sketch(F.col("text")).alias("sketch"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Every document beside its edited text and its next document (see the query's contract)."""
+    """Every document beside its edited text and its next document (see the query's contract).
+
+    Texts move once, by doc_id, for a document's own row and for its part as
+    another's next alike (the two exchanges are equal, so Spark makes one); after
+    that only the heads that are needed move on, to their owners.
+    """
     rows = fingerprint_documents(docs)
-    links = next_lower(docs)
-    sizes = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
-    wanted = links.join(sizes, "doc_id").select(F.col("doc_id").alias("owner"), "next_id", F.expr("cast(n div 2 as int)").alias("room"))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_r = 1")
-    heads = first.join(wanted, first["doc_id"] == wanted["next_id"]).select(
-        "owner", F.col("sketch").alias("next_sketch"), F.when(F.col("room") > 0, F.left("text", F.col("room"))).otherwise("").alias("head"),
+    named = rows.where("doc_id is not null")
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    wanted = next_lower(docs).join(sizes, "doc_id").select(F.col("doc_id").alias("owner"), "next_id", F.expr("cast(n div 2 as int)").alias("room"))
+    found = named.join(wanted, named["doc_id"] == wanted["next_id"]).select(
+        "owner", F.struct(F.when(F.col("room") > 0, F.left("text", F.col("room"))).otherwise("").alias("head"), F.col("sketch").alias("sketch")).alias("part"),
     )
-    both = rows.join(heads, rows["doc_id"] == heads["owner"], "left")
-    half = F.expr("cast(n_chars div 2 as int)")
-    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left(F.coalesce("head", F.lit("")), half))
-    empty = F.array().cast("array<bigint>")
-    return both.select("doc_id", "n_chars", "sketch", edited.alias("edited"), F.coalesce("next_sketch", empty).alias("next_sketch")).withColumn("edited_sketch", sketch(F.col("edited")))
+    heads = found.groupBy("owner").agg(F.min("part").alias("part"))
+    both = named.join(heads, named["doc_id"] == heads["owner"]).select("doc_id", "text", "sketch", F.col("part.head").alias("head"), F.col("part.sketch").alias("next_sketch"))
+    alone = rows.where("doc_id is null").select("doc_id", "text", "sketch", F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next_sketch"))
+    n = F.length("text")
+    half = F.expr("cast(length(text) div 2 as int)")
+    edited = F.concat(F.left("text", n - half), F.left("head", half))
+    pairs = both.unionByName(alone).select("doc_id", n.cast("long").alias("n_chars"), "sketch", edited.alias("edited"), "next_sketch")
+    return pairs.withColumn("edited_sketch", sketch(F.col("edited")))
 
 
 def digest(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,52 +36,63 @@ from pyspark.sql import functions as F
 from .common import batch, durable, slices, texts
 
 WINDOW, END_ID = 4096, 2
+END = np.array([END_ID], "<u2").tobytes()
 MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
-#: Pre-tokens whose ids a worker keeps.
-CACHE = 300_000
+#: Words, and pre-tokens, whose ids a worker keeps.
+CACHE = 400_000
 
 #: Texts of these characters alone are cut into pre-tokens here; others go to the library whole.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
-#: The tokenizer file's own pre-token pattern (a fixed value).
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
+#: The tokenizer file's own pre-token pattern (a fixed value), spelled for those characters.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 class Tokens:
-    """Ids of the vocabulary file, equal to the library's, with a bounded cache of pre-tokens."""
+    """Ids of the vocabulary file, equal to the library's, with bounded caches of words and pre-tokens.
+
+    Ids are two little-endian bytes each.  Only pre-tokens that were not seen before
+    go to the library, all of a batch in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-        ids = np.array(self.lib.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids)
-        parts = np.split(ids, np.flatnonzero(self.last[ids])[:-1] + 1)
-        if len(parts) == len(missing):
-            self.cache.update(zip(missing, map(np.ndarray.tolist, parts), strict=True))
-        else:  # a pre-token that is not one word to the library
-            for w, e in zip(missing, self.lib.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.cache[w] = e.ids
-
-    def encode(self, text: str) -> list[int]:
-        if "<|" in text or PLAIN.fullmatch(text) is None:
-            return self.lib.encode(text, add_special_tokens=False).ids
-        words = PRETOKEN.findall(text.lower())
-        seen = set(words)
-        if missing := [w for w in seen if w not in self.cache]:
-            self.learn(missing)
-            if any(w not in self.cache for w in seen):  # the cache began anew
-                self.learn(sorted(seen))
-        cache, out = self.cache, []
-        for w in words:
-            out += cache[w]
-        return out
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, missing: list[str]) -> None:
+        if len(self.words) + len(missing) > CACHE:
+            self.words.clear()
+            self.parts.clear()
+        cut = [PRETOKEN.findall(w) for w in missing]
+        new = sorted({p for parts in cut for p in parts if p not in self.parts})
+        if new:
+            ids = np.array(self.lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            blob = ids.tobytes()
+            if len(ends) == len(new):
+                self.parts.update((p, blob[a:z]) for p, a, z in zip(new, [0, *ends], ends, strict=False))
+            else:  # a pre-token that is not one word to the library
+                self.parts.update((p, self._whole(p)) for p in new)
+        known = self.parts
+        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in zip(missing, cut, strict=True))
+
+    def encode_batch(self, batch_: list[str]) -> list[bytes]:
+        split = [None if "<|" in t or PLAIN.fullmatch(t) is None else t.lower().split() for t in batch_]
+        seen = set().union(*(s for s in split if s is not None))
+        if missing := [w for w in seen if w not in self.words]:
+            self._learn(missing)
+            if len(missing) < len(seen) and (missing := [w for w in seen if w not in self.words]):  # the caches began anew
+                self._learn(missing)
+        known = self.words.__getitem__
+        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(batch_, split, strict=True)]
 
 
 @lru_cache(1)
@@ -179,10 +189,10 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         part, taken, vocabulary = TaskContext.get().partitionId(), {}, tokens(path)
         for b in slices(it, 1 << 20):
             rows = []
-            for doc, text, queue in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["queue"].to_pylist(), strict=True):
-                ids = np.array([*vocabulary.encode(text), END_ID], "<u2")
-                rows.append((doc, queue, part, taken.get(queue, 0), len(ids), ids.tobytes()))
-                taken[queue] = taken.get(queue, 0) + len(ids)
+            for doc, ids, queue in zip(b["doc_id"].to_pylist(), vocabulary.encode_batch(b["text"].to_pylist()), b["queue"].to_pylist(), strict=True):
+                ids, n = ids + END, len(ids) // 2 + 1
+                rows.append((doc, queue, part, taken.get(queue, 0), n, ids))
+                taken[queue] = taken.get(queue, 0) + n
             yield batch(_IDS, **dict(zip(_IDS.names, zip(*rows, strict=True), strict=True)))
 
     return docs.mapInArrow(run, IDS)
