@@ -16,8 +16,8 @@ value of the best segmentation not emitted).  A text with fewer segmentations gi
 them all, the last ones with inclusion 1.
 
 No piece spans the end of a word, so the lattice falls into words and a path is
-walked through all words of a batch at a time, piece by piece; a word's lattice is
-built once for a worker and kept (``CACHE`` words).  All variates are hashes of the
+walked through all words of a batch at a time, piece by piece; the lattices of a
+batch's different words are built together.  All variates are hashes of the
 row key (doc_id; a null one counts as -1, repeated rows draw alike) and the place,
 so neither partitioning nor retries change a sample.
 
@@ -42,91 +42,135 @@ from .common import batch, slices, texts
 SAMPLES = 2
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-CACHE = 150_000
 CHARS = 1 << 19
 
 
+BASE, SPREAD, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
+
+
 class Pieces:
-    """The model file's pieces and the lattices of words seen so far."""
+    """The model file's pieces, and the lattices of a batch's words."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        self.ids, self.bytes_of, self.byte_id = {}, [b""] * self.size, {}
+        self.bytes_of, self.byte_id, ids = [b""] * self.size, {}, {}
         for i in range(self.size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.ids[piece] = i
+                ids[piece] = i
                 self.bytes_of[i] = piece.encode()
-        first = min(self.ids.values())
-        self.weight = {p: 1.0 / (i - first + 10) for p, i in self.ids.items()}
-        total = sum(self.weight.values())
-        self.weight = {p: w / total for p, w in self.weight.items()}
-        self.fallback = 0.1 * min(self.weight.values())
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.forget()
-
-    def forget(self) -> None:
-        self.unit: dict[str, int] = {}  # a word's first node
-        self.edges: list = []  # of each node: [(node, id, log-probability)]
-        self.spelled: dict[str, int] = {}  # a character without a piece: a number from self.size on
+        self.ids, self.longest = ids, max(map(len, ids))
+        first = min(ids.values())
+        self.log_weight = np.zeros(self.size)
+        own = np.array(list(ids.values()))
+        self.log_weight[own] = -np.log(own - first + 10.0)
+        self.log_weight -= np.log(np.exp(self.log_weight[own]).sum())
+        self.fallback = self.log_weight[own].min() - 2.0
+        # every piece's prefixes by hash, in buckets of the hash's top bits
+        hashes = {}
+        for piece, i in ids.items():
+            h = 0
+            for k, c in enumerate(piece):
+                h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                if k + 1 == len(piece):
+                    hashes[h] = i
+                else:
+                    hashes.setdefault(h, -1)
+        keys = np.fromiter(hashes, np.uint64, len(hashes))
+        slot = self._slot(keys)
+        by = np.argsort(slot, kind="stable")
+        self.keys, self.piece = keys[by], np.fromiter(hashes.values(), np.int64, len(hashes))[by]
+        self.start = np.searchsorted(slot[by], np.arange((1 << SLOTS) + 1)).astype(np.int32)
+        self.spelled: dict[str, int] = {}  # a character without a piece: a number from ``size`` on
         self.spelling: list[tuple[int, ...]] = []
-        self.begin = self.count = self.to = self.id = self.phi = None
-
-    def _add(self, unit: str) -> None:
-        """The word's lattice: a node for each place, edges with their share of all ways on from the node."""
-        n, base = len(unit), len(self.edges)
-        self.unit[unit] = base
-        ids, weight, starts = self.ids, self.weight, self.starts
-        beta, rows, scale = [0.0] * n + [1.0], [None] * n, 0.0
-        for i in range(n - 1, -1, -1):
-            row, total = [], 0.0
-            for j in range(i + 1, n + 1):
-                s = unit[i:j]
-                if s not in starts:
-                    break
-                if s in ids:
-                    w = weight[s] * beta[j]
-                    total += w
-                    row.append((j, ids[s], w))
-            if unit[i] not in ids:
-                c = unit[i]
-                if c not in self.spelled:
-                    self.spelled[c] = self.size + len(self.spelling)
-                    self.spelling.append(tuple(self.byte_id[x] for x in c.encode()))
-                w = self.fallback ** len(c.encode()) * beta[i + 1]
-                total += w
-                row.append((i + 1, self.spelled[c], w))
-            beta[i], rows[i] = total, [(base + j if j < n else -1, k, w / total) for j, k, w in row]
-            if total < 1e-200:  # long words: only ratios matter
-                scale = 1e200
-                beta = [b * scale for b in beta]
-        self.edges += rows
-
-    def learn(self, units: set[str]) -> None:
-        missing = [u for u in units if u not in self.unit]
-        if len(self.unit) + len(missing) > CACHE:
-            self.forget()
-            missing = sorted(units)
-        old = len(self.edges)
-        for u in missing:
-            self._add(u)
-        if self.begin is None or len(self.edges) > old:
-            new = self.edges[old:]
-            flat = np.array([e for row in new for e in row], float).reshape(-1, 3)
-            count = np.fromiter(map(len, new), np.int64, len(new))
-            if self.begin is None:
-                self.count, self.to, self.id, self.phi = count, flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64), np.log(flat[:, 2])
-            else:
-                self.count = np.r_[self.count, count]
-                self.to, self.id, self.phi = np.r_[self.to, flat[:, 0].astype(np.int64)], np.r_[self.id, flat[:, 1].astype(np.int64)], np.r_[self.phi, np.log(flat[:, 2])]
-            self.begin = np.cumsum(self.count) - self.count
-            self.edges[old:] = [None] * len(new)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h * SPREAD) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the prefixes, or -1."""
+        slot = self._slot(h)
+        at, end = self.start[slot], self.start[slot + 1]
+        out = np.full(len(h), -1)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            place = at[todo]
+            hit = self.keys[place] == h[todo]
+            out[todo[hit]] = place[hit]
+            at[todo] += 1
+            todo = todo[~hit & (place + 1 < end[todo])]
+        return out
+
+    def learn(self, units: list[str]) -> None:
+        """Lattices of the words: a node for each place, edges with their share of all ways on from the node."""
+        self.unit = {}
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        self.unit = dict(zip(units, (ends - sizes).tolist(), strict=True))
+        text = "".join(units)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        n = len(points)
+        end_of = np.repeat(ends, sizes)
+        at, h = np.arange(n), np.zeros(n, np.uint64)
+        src, dst, ids = [], [], []
+        for k in range(1, self.longest + 1):
+            h = h * BASE + points[at + k - 1]
+            place = self._find(h)
+            known = place >= 0
+            piece = np.where(known, self.piece[place], -1)
+            if k == 1:
+                alone = np.flatnonzero(piece < 0)
+            got = piece >= 0
+            src.append(at[got])
+            dst.append(at[got] + k)
+            ids.append(piece[got])
+            on = known & (at + k < end_of[at])
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        if n and len(alone):
+            src.append(alone)
+            dst.append(alone + 1)
+            ids.append(np.array([self._spell(text[i]) for i in alone.tolist()]))
+        src, dst, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, ids))
+        by = np.argsort(src * 64 + np.minimum(dst - src, 63), kind="stable")
+        src, dst, ids = src[by], dst[by], ids[by]
+        weight = np.where(ids < self.size, self.log_weight[np.minimum(ids, self.size - 1)], 0)
+        for i in np.flatnonzero(ids >= self.size).tolist():
+            weight[i] = self.fallback * len(self.spelling[ids[i] - self.size])
+        self.count = np.bincount(src, minlength=n)
+        self.begin = np.cumsum(self.count) - self.count
+        # sums over all ways from each node to its word's end, from the ends back
+        beta = np.zeros(n + 1)
+        last = dst == end_of[src]
+        value = np.where(last, weight, 0.0)
+        left = end_of - np.arange(n)
+        nodes = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[nodes], np.arange(1, int(left.max()) + 2)) if n else np.zeros(1, np.int64)
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            group = nodes[a:z]
+            c = self.count[group]
+            first = np.cumsum(c) - c
+            e = np.arange(int(c.sum())) - np.repeat(first - self.begin[group], c)
+            v = np.where(last[e], weight[e], weight[e] + beta[np.minimum(dst[e], n)])
+            value[e] = v
+            top = np.maximum.reduceat(v, first)
+            beta[group] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), first))
+        self.phi = value - beta[src]
+        self.to, self.id = np.where(last, -1, dst), ids
+
+    def _spell(self, c: str) -> int:
+        if c not in self.spelled:
+            self.spelled[c] = self.size + len(self.spelling)
+            self.spelling.append(tuple(self.byte_id[x] for x in c.encode()))
+        return self.spelled[c]
 
 
 @lru_cache(1)
@@ -200,7 +244,7 @@ class Walk:
 def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAMPLES):
     """For each text, its samples: (ids as two-byte numbers, log-probability, perturbed value, inclusion)."""
     split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts_]
-    model.learn(set().union(*split) if split else set())
+    model.learn(sorted(set().union(*split)))
     docs = len(texts_)
     sizes = np.fromiter(map(len, split), np.int64, docs)
     first = np.cumsum(sizes) - sizes

@@ -8,17 +8,21 @@ earlier in the same one.  Strings are judged on the input and never cross texts.
    in every other each 100-byte string starts earlier, so nothing of it is left.
 2. Every 100-byte window names one anchor inside it, the 24 bytes of least hash
    (the leftmost of equals), so equal windows have equal anchors at equal places.
-   Neighbouring windows with one anchor make a run.  Runs whose anchor occurs once
-   in the corpus repeat nothing; of the others the text under the run is cut out.
-3. Runs are dealt by anchor.  A task reads them in order and folds equal runs; of
-   the different ones, in blocks of about ``BLOCK`` bytes, it builds the suffix
-   array (prefix doubling to a depth over 100) and the Burrows-Wheeler transform.
-   Breadth-first backward extension of intervals then sets the common prefixes of
-   neighbouring suffixes by increasing value and stops at 100; neighbours it has
-   not parted share 100 bytes.  All windows of such a class but the first go.
-   An anchor with more runs than a block holds is dealt out again by window.
+   Neighbouring windows with one anchor make a run; its first and last window's
+   hashes tell its bytes.  Runs meet by anchor.  Of equal runs (128 bits of hash)
+   the first stands for all; runs whose anchor has no second, different run repeat
+   nothing else.  The text under the remaining ones is cut out.
+3. A task reads these in order of anchor and, in blocks of about ``BLOCK`` bytes,
+   builds the suffix array (prefix doubling to a depth over 100) and the
+   Burrows-Wheeler transform.  Breadth-first backward extension of intervals then
+   sets the common prefixes of neighbouring suffixes by increasing value and stops
+   at 100; neighbours it has not parted share 100 bytes.  All windows of such a
+   class but the first go.  An anchor with more runs than a block holds is dealt
+   out again by window.
 4. A document's removed stretches come together and its text is cut.
 
+Texts move once, by document; every later step that needs them reads that exchange.
+
 Null text is empty; texts under 100 bytes stay whole; repeated rows (same doc_id
 and text) are one document and share its result; an empty table gives an empty one.
 """
@@ -38,8 +42,8 @@ LEAST = 100
 ANCHOR = 24
 SPREAD = LEAST - ANCHOR + 1
 BLOCK = 1 << 21
-#: Bytes hashed at once.
-PART = 1 << 21
+#: Bytes hashed at once, and the bits that hold a place among them.
+PART, PLACE = 1 << 18, 20
 #: A null doc_id is ordered before all others.
 NO_ID = -(1 << 63)
 
@@ -52,39 +56,75 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(STEP), n, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``ANCHOR`` bytes at each place, by doubling (1, 2, 4, 8, 16, 24)."""
-    h1 = BYTE_HASH[data]
-    h2 = h1[:-1] * _power(1) + h1[1:]
-    h4 = h2[:-2] * _power(2) + h2[2:]
-    h8 = h4[:-4] * _power(4) + h4[4:]
-    h16 = h8[:-8] * _power(8) + h8[8:]
-    h24 = h16[:-8] * _power(8) + h8[16:]
-    h24 ^= h24 >> np.uint64(29)
-    h24 *= np.uint64(0xBF58476D1CE4E5B9)
-    return h24 ^ (h24 >> np.uint64(32))
-
-
-def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each run of a text of ``LEAST`` bytes or more."""
-    hashes = gram_hashes(data)
-    low = np.uint64((1 << 22) - 1)
-    m = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)  # the place breaks ties
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``ANCHOR`` and of the ``LEAST`` bytes at each place, by doubling."""
+    h = {1: BYTE_HASH[data]}
+    for n in (1, 2, 4, 8, 16, 32):
+        h[2 * n] = h[n][:-n] * _power(n) + h[n][n:]
+    h24 = h[16][:-8] * _power(8) + h[8][16:]
+    h96 = h[64][:-32] * _power(32) + h[32][64:]
+    return _mixed(h24), _mixed(h96[:-4] * _power(4) + h[4][96:])
+
+
+def runs(data: np.ndarray, inside: np.ndarray):
+    """Anchor hash, hash of its bytes, first window and number of windows of each run.
+
+    ``data`` may hold several texts; ``inside`` tells for each window whether it lies
+    in one text.
+    """
+    grams, wholes = gram_hashes(data)
+    low = np.uint64((1 << PLACE) - 1)
+    m = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # the place breaks ties
     width = 1
     while width * 2 <= SPREAD:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
     m = np.minimum(m[: len(m) - SPREAD + width], m[SPREAD - width :])
-    at = np.flatnonzero(np.diff(m, prepend=m[0] ^ np.uint64(1)))
-    return hashes[(m[at] & low).astype(np.int64)].view(np.int64), at, np.diff(np.r_[at, len(m)])
+    new = np.r_[True, (m[1:] != m[:-1]) | ~inside[:-1]] | ~inside
+    at = np.flatnonzero(new)
+    n = np.diff(np.r_[at, len(m)])
+    keep = inside[at]
+    at, n = at[keep], n[keep]
+    fold = _mixed(wholes[at] * STEP + wholes[at + n - 1] + n.astype(np.uint64))
+    return grams[(m[at] & low).astype(np.int64)].view(np.int64), fold.view(np.int64), at, n
 
 
-def all_runs(data: bytes):
-    """``runs`` of a text of any length, part by part; a run over a part's edge comes as two."""
-    view = np.frombuffer(data, np.uint8)
-    for a in range(0, max(len(view) - LEAST + 1, 0), PART):
-        h, at, n = runs(view[a : a + PART + LEAST - 1])
-        yield h, at + a, n
+def all_runs(texts: list[bytes]):
+    """``runs`` of texts of any length: (number of the text, anchor, fold, first window, windows), part by part.
+
+    A run over a part's edge comes as two.
+    """
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+
+    def close():
+        data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+        lens = np.array([len(p) for _, _, p in held])
+        begin = np.cumsum(lens) - lens
+        inside = np.zeros(len(data) - LEAST + 1, bool)
+        for a, n in zip(begin.tolist(), lens.tolist(), strict=True):
+            inside[a : a + n - LEAST + 1] = True
+        h, fold, at, n = runs(data, inside)
+        piece = np.searchsorted(begin, at, "right") - 1
+        owner, offset = (np.array([p[i] for p in held], np.int64) for i in (0, 1))
+        return owner[piece], h, fold, at - begin[piece] + offset[piece], n
+
+    for i, t in enumerate(texts):
+        for a in range(0, max(len(t) - LEAST + 1, 0), PART):
+            p = t[a : a + PART + LEAST - 1]
+            held.append((i, a, p))
+            size += len(p)
+            if size >= PART:
+                yield close()
+                held, size = [], 0
+    if held:
+        yield close()
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -179,67 +219,71 @@ def repeats(contexts: list[bytes], least: int = LEAST) -> np.ndarray:
     return again[window]
 
 
-_ANCHORS = pa.schema([("id", pa.int64()), ("dk", pa.int64()), ("anchor", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-ANCHORS = "id long, dk long, anchor long, start long, n int"
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("fold", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+ANCHORS = "anchor long, fold long, id long, dk long, start long, n int"
 
 
 def _anchors(it):
-    for b in slices(it, 1 << 21):
-        for i, dk, text in zip(*(b[x].to_pylist() for x in ("id", "dk", "text")), strict=True):
-            for h, at, n in all_runs(text.encode()):
-                yield batch(_ANCHORS, id=np.full(len(h), i), dk=np.full(len(h), dk), anchor=h, start=at, n=n.astype(np.int32))
+    for b in slices(it, 1 << 22):
+        ids, dks = b["id"].to_numpy(), b["dk"].to_numpy()
+        for owner, h, fold, at, n in all_runs([t.encode() for t in b["text"].to_pylist()]):
+            yield batch(_ANCHORS, anchor=h, fold=fold, id=ids[owner], dk=dks[owner], start=at, n=n.astype(np.int32))
 
 
-def _gathered(it, rows: int = 50_000):
-    """Small batches joined to larger ones."""
-    held, n = [], 0
-    for b in it:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+_MET = pa.schema([*((n, pa.int64()) for n in ("id", "dk", "anchor", "start")), ("n", pa.int32()), ("gone", pa.bool_())])
+MET = "id long, dk long, anchor long, start long, n int, gone boolean"
 
 
-def _twice(it):
-    """Of rows ordered by anchor, those whose anchor's neighbour is equal."""
-    last, before = None, False  # the last row of the batches so far, and whether it has left
+def _meet(it):
+    """Of runs ordered by (anchor, fold, id, dk, start): those that equal an earlier one (gone), and the first of
+    each fold where an anchor has several folds.  Holds one row between batches."""
+    last = None  # key of the last row
+    pending = None  # the only fold's first row of the last anchor, not passed on yet
     for b in it:
         if not b.num_rows:
             continue
-        if last is not None:
-            a = b["anchor"].to_numpy()
-            if a[0] == last["anchor"][0].as_py():
-                if not before:
-                    yield last
-                before = True
-            else:
-                before = False
-            head = before
-        else:
-            head, a = False, b["anchor"].to_numpy()
-        same = a[1:] == a[:-1]
-        keep = np.r_[head, same] | np.r_[same, False]
-        yield b.filter(pa.array(keep))
-        last, before = b.slice(b.num_rows - 1), bool(keep[-1])
-
-
-_RUNS = pa.schema([("anchor", pa.int64()), ("fold", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("context", pa.binary())])
-RUNS = "anchor long, fold long, id long, dk long, start long, n int, context binary"
+        a, f, i, dk, start = (b[x].to_numpy() for x in ("anchor", "fold", "id", "dk", "start"))
+        new_a = np.r_[last is None or a[0] != last[0], a[1:] != a[:-1]]
+        new_f = new_a | np.r_[last is None or f[0] != last[1], f[1:] != f[:-1]]
+        same = (i[1:] == i[:-1]) & (dk[1:] == dk[:-1]) & (start[1:] == start[:-1])
+        twin = ~new_f & np.r_[last is not None and (i[0], dk[0], start[0]) == last[2:], same]  # a repeated row
+        first = np.flatnonzero(new_f)
+        group = np.cumsum(new_a)[first]  # 0: the anchor the batch before ended with
+        several = np.bincount(group, minlength=int(group.max()) + 1 if len(group) else 1)
+        if last is not None and not new_a[0]:
+            if several[0] and pending is not None:
+                yield _marked(pending, np.array([False]))
+                pending = None
+            several[0] = 2
+        open_ = new_a.any() or last is None
+        keep = np.zeros(len(a), bool)
+        keep[first] = several[group] > 1
+        if open_:
+            pending = None
+            tail = first[group == np.cumsum(new_a)[-1]]
+            if len(tail) == 1:
+                pending = b.slice(int(tail[0]), 1)
+        gone = ~new_f & ~twin
+        if (keep | gone).any():
+            yield _marked(b, gone).filter(pa.array(keep | gone))
+        last = (a[-1], f[-1], i[-1], dk[-1], start[-1])
+
+
+def _marked(b: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(b[x] for x in ("id", "dk", "anchor", "start", "n")), pa.array(gone)], schema=_MET)
+
+
+_RUNS = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("context", pa.binary())])
+RUNS = "anchor long, id long, dk long, start long, n int, context binary"
 
 
 def _contexts(it):
-    import xxhash
-
-    for b in slices(it, 1 << 20):
+    for b in slices(it, 1 << 21):
         out = []
         for i, dk, text, found in zip(*(b[x].to_pylist() for x in ("id", "dk", "text", "found")), strict=True):
-            data = text.encode()
+            data = text.encode() if found else b""
             for r in found:
-                c = data[r["start"] : r["start"] + r["n"] + LEAST - 1]
-                out.append((r["anchor"], xxhash.xxh64_intdigest(c) - (1 << 63), i, dk, r["start"], r["n"], c))
+                out.append((r["anchor"], i, dk, r["start"], r["n"], data[r["start"] : r["start"] + r["n"] + LEAST - 1]))
             if len(out) > 20_000:
                 yield batch(_RUNS, **dict(zip(_RUNS.names, zip(*out, strict=True), strict=True)))
                 out = []
@@ -281,7 +325,7 @@ def _decide_large(rows: list[tuple]) -> list[tuple]:
 
 
 def _blocks(it):
-    """Decides runs that come ordered by (anchor, fold, id, dk, start)."""
+    """Decides runs that come ordered by anchor, whole anchors at a time."""
     done: list[tuple] = []  # rows of whole anchors
     open_: list[tuple] = []  # rows of the anchor being read
     size = mine = 0
@@ -290,41 +334,34 @@ def _blocks(it):
 
     def close():
         nonlocal done, size, mine, open_
-        if len(open_) > 1:
-            if mine > BLOCK:
-                out.extend(_decide_large(open_))
-            else:
-                done += open_
-                size += mine
+        if mine > BLOCK:
+            out.extend(_decide_large(open_))
+        else:
+            done += open_
+            size += mine
         open_, mine = [], 0
         if size > BLOCK:
             out.extend(_decide(done))
             done, size = [], 0
 
-    def table():
-        return batch(_GONE, **dict(zip(_GONE.names, zip(*out, strict=True), strict=True)))
-
     for b in it:
-        for anchor, fold, i, dk, start, n, c in zip(*(b[x].to_pylist() for x in _RUNS.names), strict=True):
-            if before is not None and before[0] == anchor and before[1] == fold and before[2] == c:
-                out.append((i, dk, start, n))  # an equal run came before
-                continue
-            if before is not None and before[0] != anchor:
+        for anchor, i, dk, start, n, c in zip(*(b[x].to_pylist() for x in _RUNS.names), strict=True):
+            if before != anchor:
                 close()
-            before = (anchor, fold, c)
+                before = anchor
             open_.append((i, dk, start, n, c))
             mine += len(c) + 1
-        if len(out) > 20_000:
-            yield table()
+        if out:
+            yield batch(_GONE, **dict(zip(_GONE.names, zip(*out, strict=True), strict=True)))
             out.clear()
     close()
     if done:
         out.extend(_decide(done))
     if out:
-        yield table()
+        yield batch(_GONE, **dict(zip(_GONE.names, zip(*out, strict=True), strict=True)))
 
 
-def stretches(found: list[dict] | None, size: int) -> list[tuple[int, int]]:
+def stretches(found: list[dict]) -> list[tuple[int, int]]:
     """Removed byte stretches (start, end) of a text, apart and ascending, from its windows to remove."""
     if not found:
         return []
@@ -336,37 +373,34 @@ def stretches(found: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return list(zip(a[np.r_[0, cut]].tolist(), z[np.r_[cut - 1, len(z) - 1]].tolist(), strict=True))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """id, dk, text, copy and found: every row with its order key, text hash, whether an equal text comes before,
-    and (for others) the windows to remove."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("dk"))
-    firsts = base.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min(F.struct("id", "dk")).alias("k")).select("k.id", "k.dk")
-    whole = base.join(firsts, ["id", "dk"], "left_semi").dropDuplicates(["id", "dk"]).where(F.octet_length("text") >= LEAST)
-    anchors = whole.select("id", "dk", "text").mapInArrow(lambda it: _gathered(_anchors(it)), ANCHORS)
-    twice = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_twice, ANCHORS)
-    by_doc = twice.groupBy("id", "dk").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
-    cut = whole.select("id", "dk", "text").join(by_doc, ["id", "dk"]).mapInArrow(_contexts, RUNS)
-    gone = cut.repartition("anchor").sortWithinPartitions("anchor", "fold", "id", "dk", "start").mapInArrow(_blocks, GONE)
-    return gone.groupBy("id", "dk").agg(F.collect_list(F.struct("start", "n")).alias("found")), firsts
-
-
-def _joined(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``_found`` (windows to remove) and ``_copy`` (an equal text comes before)."""
-    found, firsts = removals(docs)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_dk": F.xxhash64(text)})
-    marks = firsts.select(F.col("id").alias("_id"), F.col("dk").alias("_dk"), F.lit(True).alias("_first"))
-    marks = marks.join(found.select(F.col("id").alias("_id"), F.col("dk").alias("_dk"), F.col("found").alias("_found")), ["_id", "_dk"], "left")
-    both = keyed.join(marks, ["_id", "_dk"], "left")
-    return both.withColumn("_copy", F.col("_first").isNull() & (F.octet_length(text) >= LEAST)).drop("_id", "_dk", "_first")
+KEY = ["id", "dk"]
 
 
-def _kept(data: bytes, copy: bool, found) -> tuple[bytes, int, int]:
+def _judged(docs: DataFrame) -> DataFrame:
+    """id, dk (order key and text hash), text, copy, gone and gone2: every row with whether an equal text comes
+    before, and the windows to remove as two lists."""
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("dk"), text.alias("text"))
+    firsts = base.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min(F.struct(*KEY)).alias("k")).select("k.id", "k.dk", F.lit(True).alias("is_first"))
+    rows = base.join(firsts, KEY, "left")
+    whole = rows.where("is_first").select(*KEY, "text")
+    anchors = whole.mapInArrow(_anchors, ANCHORS)
+    met = anchors.repartition("anchor").sortWithinPartitions("anchor", "fold", "id", "dk", "start").mapInArrow(_meet, MET)
+    by_doc = met.groupBy(*KEY).agg(
+        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "n"))).alias("found"),
+        F.collect_list(F.when(F.col("gone"), F.struct("start", "n"))).alias("gone"),
+    )
+    cut = whole.join(by_doc, KEY).mapInArrow(_contexts, RUNS)
+    more = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks, GONE)
+    more = more.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("gone2"))
+    return rows.join(by_doc, KEY, "left").join(more, KEY, "left")
+
+
+def _kept(data: bytes, first: bool | None, *found) -> tuple[bytes, int, int]:
     """What is left of a text, bytes removed and stretches removed."""
-    if copy:
-        return b"", len(data), 1
-    spans = stretches(found, len(data))
+    if not first:
+        return (b"", len(data), 1) if len(data) >= LEAST else (data, 0, 0)
+    spans = stretches([r for f in found if f for r in f])
     if not spans:
         return data, 0, 0
     left, at = [], 0
@@ -377,6 +411,7 @@ def _kept(data: bytes, copy: bool, found) -> tuple[bytes, int, int]:
     return b"".join(left), sum(z - a for a, z in spans), len(spans)
 
 
+LISTS = ("text", "is_first", "gone", "gone2")
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -386,26 +421,32 @@ def digest(docs: DataFrame) -> DataFrame:
     def run(it):
         for b in slices(it):
             rows = []
-            for doc, text, copy, found in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "_copy", "_found")), strict=True):
-                data = (text or "").encode()
-                left, removed, spans = _kept(data, copy, found)
-                rows.append((doc, len(data), removed, spans, hashlib.sha256(left).hexdigest()))
+            for i, text, *how in zip(*(b[x].to_pylist() for x in ("id", *LISTS)), strict=True):
+                data = text.encode()
+                left, removed, spans = _kept(data, *how)
+                rows.append((None if i == NO_ID else i, len(data), removed, spans, hashlib.sha256(left).hexdigest()))
             yield batch(_CUT, **dict(zip(_CUT.names, zip(*rows, strict=True), strict=True)))
 
-    return _joined(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _judged(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+_TEXT = pa.schema([("id", pa.int64()), ("dk", pa.int64()), ("new", pa.string())])
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated stretches removed; all columns and rows stay, a null text stays null, a
     character cut in two goes whole.  n_chars, where there is one, follows the new text."""
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
 
     def run(it):
         for b in slices(it):
-            out = [t if not (c or f) else _kept(t.encode(), c, f)[0].decode("utf-8", "ignore") for t, c, f in zip(*(b[x].to_pylist() for x in ("text", "_copy", "_found")), strict=True)]
-            b = b.select(names)
-            yield b.set_column(at, b.schema.field(at), pa.array(out, pa.string()))
+            new = [_kept(t.encode(), *how)[0].decode("utf-8", "ignore") for t, *how in zip(*(b[x].to_pylist() for x in LISTS), strict=True)]
+            yield batch(_TEXT, id=b["id"], dk=b["dk"], new=new)
 
-    done = _joined(docs).mapInArrow(run, schema)
-    return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done
+    new = _judged(docs).mapInArrow(run, "id long, dk long, new string").groupBy(*KEY).agg(F.first("new").alias("_new"))  # repeated rows have equal texts
+    text = F.coalesce("text", F.lit(""))
+    rest = docs.select(*(c for c in docs.columns if c != "text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_dk"), F.col("text").isNull().alias("_none"))
+    both = rest.join(new, (F.col("_id") == F.col("id")) & (F.col("_dk") == F.col("dk")))
+    done = both.withColumn("text", F.when(~F.col("_none"), F.col("_new")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
