@@ -41,7 +41,7 @@ from .common import batch, slices
 LEAST = 100
 ANCHOR = 24
 SPREAD = LEAST - ANCHOR + 1
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: Bytes hashed at once, and the bits that hold a place among them.
 PART, PLACE = 1 << 18, 20
 #: A null doc_id is ordered before all others.
@@ -128,13 +128,13 @@ def all_runs(texts: list[bytes]):
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places in order of the first ``depth`` symbols (under 512 each) or more; equals in order of place."""
+    """Places in order of the first ``depth`` symbols (under 512 each) or more; equals in any order."""
     n = len(symbols)
     padded = np.r_[symbols.astype(np.int64), np.zeros(7, np.int64)]
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key << 9 | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.diff(key[order], prepend=-1) != 0
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -147,10 +147,11 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         at = order[open_]
         nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
         group = rank[at]
-        by = np.lexsort((at, nxt, group))
-        at, nxt, group = at[by], nxt[by], group[by]
+        key = group * (n + 1) + nxt + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[open_] = at
-        begins = (np.diff(group, prepend=-1) != 0) | (np.diff(nxt, prepend=-2) != 0)
+        begins = np.diff(key, prepend=-1) != 0
         new[open_] = begins
         rank[at] = np.maximum.accumulate(np.where(begins, open_, 0))
         h *= 2
@@ -219,15 +220,33 @@ def repeats(contexts: list[bytes], least: int = LEAST) -> np.ndarray:
     return again[window]
 
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("fold", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-ANCHORS = "anchor long, fold long, id long, dk long, start long, n int"
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("fold", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("gone", pa.bool_())])
+ANCHORS = "anchor long, fold long, id long, dk long, start long, n int, gone boolean"
 
 
 def _anchors(it):
+    """Runs of the texts.  Of equal runs in a batch all but the first are decided here (gone); they go on under a
+    scattered anchor, so that a run that is everywhere comes once from each batch."""
     for b in slices(it, 1 << 22):
         ids, dks = b["id"].to_numpy(), b["dk"].to_numpy()
-        for owner, h, fold, at, n in all_runs([t.encode() for t in b["text"].to_pylist()]):
-            yield batch(_ANCHORS, anchor=h, fold=fold, id=ids[owner], dk=dks[owner], start=at, n=n.astype(np.int32))
+        found = list(all_runs([t.encode() for t in b["text"].to_pylist()]))
+        if not found:
+            continue
+        owner, h, fold, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        i, dk = ids[owner], dks[owner]
+        key = h * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + fold
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        several = order[np.r_[False, same] | np.r_[same, False]]
+        gone, keep = np.zeros(len(h), bool), np.ones(len(h), bool)
+        if len(several):
+            by = several[np.lexsort((at[several], dk[several], i[several], key[several]))]
+            later = np.r_[False, key[by][1:] == key[by][:-1]]
+            twin = later & np.r_[False, (i[by][1:] == i[by][:-1]) & (dk[by][1:] == dk[by][:-1]) & (at[by][1:] == at[by][:-1])]
+            gone[by[later]] = True
+            keep[by[twin]] = False
+            h = np.where(gone, _mixed((i + at).view(np.uint64) * STEP).view(np.int64), h)
+        yield batch(_ANCHORS, anchor=h[keep], fold=fold[keep], id=i[keep], dk=dk[keep], start=at[keep], n=n[keep].astype(np.int32), gone=gone[keep])
 
 
 _MET = pa.schema([*((n, pa.int64()) for n in ("id", "dk", "anchor", "start")), ("n", pa.int32()), ("gone", pa.bool_())])
@@ -240,6 +259,10 @@ def _meet(it):
     last = None  # key of the last row
     pending = None  # the only fold's first row of the last anchor, not passed on yet
     for b in it:
+        decided = b["gone"].to_numpy(zero_copy_only=False)
+        if decided.any():
+            yield _marked(b.filter(pa.array(decided)), np.ones(int(decided.sum()), bool))
+            b = b.filter(pa.array(~decided))
         if not b.num_rows:
             continue
         a, f, i, dk, start = (b[x].to_numpy() for x in ("anchor", "fold", "id", "dk", "start"))
@@ -310,17 +333,40 @@ def _decide(rows: list[tuple]) -> list[tuple]:
 
 
 def _decide_large(rows: list[tuple]) -> list[tuple]:
-    """The same for one anchor's rows of any number: its windows are dealt out by their bytes."""
-    parts = -(-sum(r[3] * (LEAST + 1) for r in rows) // BLOCK)
-    out = []
-    for p in range(parts):
-        mine = []
-        for i, dk, start, n, c in rows:
-            for k in range(n):
-                w = c[k : k + LEAST]
-                if hash(w) % parts == p:
-                    mine.append((i, dk, start + k, 1, w))
-        out += _decide(mine) if mine else []
+    """The same for one anchor's rows of any number.
+
+    Windows whose hash no other window has repeat nothing; they leave, and equal rests
+    of runs fold.  What is still more than a block holds is dealt out by window.
+    """
+    rows = sorted(rows, key=lambda r: r[:3])
+    sizes = [r[3] for r in rows]
+    hashes = np.concatenate([gram_hashes(np.frombuffer(r[4], np.uint8))[1] for r in rows])
+    _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    twice = counts[inverse] > 1
+    out, left, base = [], {}, 0
+    for (i, dk, start, _, c), n in zip(rows, sizes, strict=True):
+        mine = np.flatnonzero(twice[base : base + n])
+        base += n
+        if not len(mine):
+            continue
+        for part in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1) if mine[-1] - mine[0] + 1 != len(mine) else [mine]:
+            a, k = int(part[0]), len(part)
+            text = c[a : a + k + LEAST - 1]
+            if text in left:
+                out.append((i, dk, start + a, k))
+            else:
+                left[text] = (i, dk, start + a, k, text)
+    rest = list(left.values())
+    if sum(len(r[4]) + 1 for r in rest) <= BLOCK:
+        return out + (_decide(rest) if rest else [])
+    parts = -(-sum(r[3] * (LEAST + 1) for r in rest) // BLOCK)
+    dealt: list[list[tuple]] = [[] for _ in range(parts)]
+    for i, dk, start, n, c in rest:
+        for k in range(n):
+            w = c[k : k + LEAST]
+            dealt[hash(w) % parts].append((i, dk, start + k, 1, w))
+    for own in dealt:
+        out += _decide(own) if own else []
     return out
 
 
@@ -442,11 +488,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             new = [_kept(t.encode(), *how)[0].decode("utf-8", "ignore") for t, *how in zip(*(b[x].to_pylist() for x in LISTS), strict=True)]
             yield batch(_TEXT, id=b["id"], dk=b["dk"], new=new)
 
-    new = _judged(docs).mapInArrow(run, "id long, dk long, new string").groupBy(*KEY).agg(F.first("new").alias("_new"))  # repeated rows have equal texts
+    names = {"id": "id\0", "dk": "dk\0", "new": "new\0"}  # names that no table has
+    new = _judged(docs).mapInArrow(run, "id long, dk long, new string").groupBy(*KEY).agg(F.first("new").alias("new")).withColumnsRenamed(names)  # repeated rows have equal texts
     text = F.coalesce("text", F.lit(""))
-    rest = docs.select(*(c for c in docs.columns if c != "text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_dk"), F.col("text").isNull().alias("_none"))
-    both = rest.join(new, (F.col("_id") == F.col("id")) & (F.col("_dk") == F.col("dk")))
-    done = both.withColumn("text", F.when(~F.col("_none"), F.col("_new")))
+    rest = docs.withColumns({"id\0": F.coalesce("doc_id", F.lit(NO_ID)), "dk\0": F.xxhash64(text), "text": F.col("text").isNull()})
+    both = rest.join(new, ["id\0", "dk\0"])
+    done = both.withColumn("text", F.when(~F.col("text"), F.col("new\0")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
