@@ -23,8 +23,10 @@ gives no pieces.  Sources beyond ``MAX_QUEUES`` share queues by hash.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -38,20 +40,23 @@ from .common import batch, durable, slices, texts
 WINDOW, END_ID = 4096, 2
 END = np.array([END_ID], "<u2").tobytes()
 MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
-#: Words, and pre-tokens, whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps.
+CACHE = 900_000
 
-#: Texts of these characters alone are cut into pre-tokens here; others go to the library whole.
+#: Texts of these characters alone are cut into words here; others go to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
 #: The tokenizer file's own pre-token pattern (a fixed value), spelled for those characters.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: A stop or comma that belongs to a longer run of marks.
+RUN = re.compile(r"(?:[^\w\s]|_)[.,](?=\s)")
 
 
 class Tokens:
-    """Ids of the vocabulary file, equal to the library's, with bounded caches of words and pre-tokens.
+    """Ids of the vocabulary file, equal to the library's, with a bounded cache of words.
 
-    Ids are two little-endian bytes each.  Only pre-tokens that were not seen before
-    go to the library, all of a batch in one call.
+    Ids are two little-endian bytes each.  Only words that were not seen before go to
+    the library, all of a batch in one call; stops and commas are set apart first, so
+    that a word is known whatever follows it.
     """
 
     def __init__(self, path: str):
@@ -59,7 +64,6 @@ class Tokens:
 
         self.lib = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -67,32 +71,52 @@ class Tokens:
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _cut(self, text: str) -> list[str] | None:
+        if "<|" in text or PLAIN.fullmatch(text) is None:
+            return None
+        low = text.lower() + " "
+        if RUN.search(low) is None:
+            low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return low.split()
+
     def _learn(self, missing: list[str]) -> None:
         if len(self.words) + len(missing) > CACHE:
             self.words.clear()
-            self.parts.clear()
-        cut = [PRETOKEN.findall(w) for w in missing]
-        new = sorted({p for parts in cut for p in parts if p not in self.parts})
+        single = [w for w in missing if w.isalpha()]
+        others = [(w, PRETOKEN.findall(w)) for w in missing if not w.isalpha()]
+        new = single + sorted({p for _, parts in others for p in parts} - self.words.keys() - set(single))
         if new:
             ids = np.array(self.lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
             ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             blob = ids.tobytes()
             if len(ends) == len(new):
-                self.parts.update((p, blob[a:z]) for p, a, z in zip(new, [0, *ends], ends, strict=False))
+                self.words.update(zip(new, [blob[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
             else:  # a pre-token that is not one word to the library
-                self.parts.update((p, self._whole(p)) for p in new)
-        known = self.parts
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in zip(missing, cut, strict=True))
-
-    def encode_batch(self, batch_: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or PLAIN.fullmatch(t) is None else t.lower().split() for t in batch_]
-        seen = set().union(*(s for s in split if s is not None))
-        if missing := [w for w in seen if w not in self.words]:
-            self._learn(missing)
-            if len(missing) < len(seen) and (missing := [w for w in seen if w not in self.words]):  # the caches began anew
-                self._learn(missing)
-        known = self.words.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(batch_, split, strict=True)]
+                self.words.update((p, self._whole(p)) for p in new)
+        known = self.words
+        for w, parts in others:
+            known[w] = b"".join([known[p] for p in parts])
+
+    def encode_batch(self, texts_: list[str]) -> list[bytes]:
+        split = [self._cut(t) for t in texts_]
+        found = [None if s is None else list(map(self.words.get, s)) for s in split]
+        holes, missing = [], set()
+        for s, f in zip(split, found, strict=True):
+            own = []
+            if f is not None:
+                at = -1
+                for _ in range(f.count(None)):
+                    at = f.index(None, at + 1)
+                    own.append(at)
+                missing.update([s[i] for i in own])
+            holes.append(own)
+        if missing:
+            self._learn(list(missing))
+            known = self.words
+            for s, f, own in zip(split, found, holes, strict=True):
+                for i in own:
+                    f[i] = known[s[i]]
+        return [self._whole(t) if f is None else b"".join(f) for t, f in zip(texts_, found, strict=True)]
 
 
 @lru_cache(1)
@@ -141,39 +165,49 @@ class Plan:
 
     def __init__(self, totals: np.ndarray):
         self.totals = np.asarray(totals, np.int64)
-        windows = -(-int(self.totals.sum()) // WINDOW)
+        self.full, self.rest = divmod(int(self.totals.sum()), WINDOW)
+        windows = self.full + (self.rest > 0)
         self.per = max(BLOCK_WINDOWS, -(-windows // MAX_BLOCKS))
         self.blocks = round_robin(self.totals, WINDOW * self.per)
-        self.held: dict[int, np.ndarray] = {}
+        self.starts = self.blocks.T.tolist()
+        self.held: dict[int, tuple[list, list]] = {}
 
-    def block(self, b: int) -> np.ndarray:
-        """Cumulative tokens by window of block ``b``, counted from the queues' starts."""
+    def block(self, b: int):
+        """Block ``b``: each queue's cumulative tokens by window, counted from the queues' starts, and where
+        in the window its tokens begin (both as lists, by queue)."""
         if b not in self.held:
             if len(self.held) > 8:
                 self.held.clear()
-            self.held[b] = self.blocks[b] + round_robin(self.blocks[b + 1] - self.blocks[b], WINDOW)
+            cum = self.blocks[b] + round_robin(self.blocks[b + 1] - self.blocks[b], WINDOW)
+            took = np.diff(cum, axis=0)
+            self.held[b] = cum.T.tolist(), (np.cumsum(took, 1) - took).T.tolist()
         return self.held[b]
 
     def pieces(self, queue: int, start: int, n: int):
         """(start in the document, length, sequence, offset) of the document at ``start`` of ``queue``."""
         at, end = start, start + n
-        full = int(self.totals.sum()) // WINDOW
         while at < end:
-            b = int(np.searchsorted(self.blocks[:, queue], at, "right")) - 1
-            cum = self.block(b)
-            w = int(np.searchsorted(cum[:, queue], at, "right")) - 1
-            stop = min(end, int(cum[w + 1, queue]))
-            offset = int((cum[w + 1, :queue] - cum[w, :queue]).sum()) + at - int(cum[w, queue])
-            sequence = b * self.per + w
-            if sequence < full:
-                yield at - start, stop - at, sequence, offset
-            else:
-                for i, size in enumerate(powers(int(self.totals.sum()) % WINDOW)):
-                    a, z = max(offset, 0), min(offset + stop - at, size)
-                    if a < z:
-                        yield at - start + a - offset, z - a, full + i, a
-                    offset -= size
-            at = stop
+            b = bisect_right(self.starts[queue], at) - 1
+            cum, before = (x[queue] for x in self.block(b))
+            w = bisect_right(cum, at) - 1
+            while at < end and w < len(before):
+                stop = min(end, cum[w + 1])
+                if stop > at:
+                    offset, sequence = before[w] + at - cum[w], b * self.per + w
+                    if sequence < self.full:
+                        yield at - start, stop - at, sequence, offset
+                    else:
+                        yield from self._last(at - start, stop - at, offset)
+                    at = stop
+                w += 1
+
+    def _last(self, place: int, n: int, offset: int):
+        """A piece of the last, short window, in its sequences of powers of two."""
+        for i, size in enumerate(powers(self.rest)):
+            a, z = max(offset, 0), min(offset + n, size)
+            if a < z:
+                yield place + a - offset, z - a, self.full + i, a
+            offset -= size
 
 
 IDS = "doc_id long, queue string, part int, start long, n long, ids binary"
@@ -187,6 +221,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def run(it):
         part, taken, vocabulary = TaskContext.get().partitionId(), {}, tokens(path)
+        gc.disable()  # there are no cycles to find, and a million cached words to look through
         for b in slices(it, 1 << 20):
             rows = []
             for doc, ids, queue in zip(b["doc_id"].to_pylist(), vocabulary.encode_batch(b["text"].to_pylist()), b["queue"].to_pylist(), strict=True):
@@ -194,6 +229,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc, queue, part, taken.get(queue, 0), n, ids))
                 taken[queue] = taken.get(queue, 0) + n
             yield batch(_IDS, **dict(zip(_IDS.names, zip(*rows, strict=True), strict=True)))
+        gc.enable()
 
     return docs.mapInArrow(run, IDS)
 
@@ -220,10 +256,10 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(it, 1 << 20, "ids"):
             out = []
             for doc, queue, part, start, n, blob in zip(*(b[x].to_pylist() for x in _IDS.names), strict=True):
-                ids = np.frombuffer(blob, "<u2").astype("<u4")
+                ids = np.frombuffer(blob, "<u2").astype("<u4").tobytes()
                 q = number[queue]
                 for s, length, sequence, offset in plan.pieces(q, int(base[row[part], q]) + start, n):
-                    out.append((doc, s, length, zlib.crc32(ids[s : s + length].tobytes()), n, sequence, offset, queue))
+                    out.append((doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, sequence, offset, queue))
             if out:
                 yield batch(_PIECES, **dict(zip(_PIECES.names, zip(*out, strict=True), strict=True)))
 
