@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,22 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+#: Bytes of one Arrow batch between the engine and a Python worker.
+BATCH_BYTES = 8 << 20
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    temporary one is made only where that is unset (tests, local mode).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="inundate-"))
-    return df.checkpoint(eager=True)
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold at most ``BATCH_BYTES``, so that a task's memory does not
+    depend on how long ten thousand rows are.  A smaller setting stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return docs
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; all others are left behind."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    return bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def sample(docs: DataFrame, rows: int, *columns) -> list:

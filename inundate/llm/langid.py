@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, batch, piece, sample, slices, texts
+from .common import LETTER, batch, bounded, piece, sample, slices, texts
 
 STEPS, HIDDEN = 64, 8
 FIT_ROWS, ROUNDS, FIT_BATCH, RATE = 1500, 220, 160, 0.02
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
             langs, scores = _predict(learned, b["text"].to_pylist())
             yield batch(_PREDICTED, doc_id=b["doc_id"], held_out=b["held_out"], lang_pred=langs, score=scores)
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    return bounded(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
 def keep_known(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -264,4 +264,4 @@ def keep_known(docs: DataFrame, net: Network | None = None) -> DataFrame:
             langs, scores = _predict(learned, b["text"].to_pylist())
             yield b.filter(pa.array([s >= MIN_SCORE and x != UNKNOWN for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

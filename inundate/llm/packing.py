@@ -35,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, durable, slices, texts
+from ..sources.store import checkpointed
+from .common import batch, slices, texts
 
 WINDOW, END_ID = 4096, 2
 END = np.array([END_ID], "<u2").tobytes()
 MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
 #: Words whose ids a worker keeps.
-CACHE = 900_000
+CACHE = 400_000
 
 #: Texts of these characters alone are cut into words here; others go to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
@@ -239,7 +240,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     rows = texts(docs, F.coalesce("source", F.lit("")).alias("queue"))
     if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    ids = durable(tokenize(rows, path))
+    ids = checkpointed(tokenize(rows, path))
     counts = ids.groupBy("part", "queue").agg(F.sum("n").alias("n")).collect()  # partitions x queues, at most MAX_QUEUES each
     names = sorted({r.queue for r in counts})
     number = {q: i for i, q in enumerate(names)}

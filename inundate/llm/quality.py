@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, batch, durable, piece, sample, slices, texts
+from ..sources.store import checkpointed
+from .common import SPACES, batch, piece, sample, slices, texts
 
 FIT_ROWS, COMMON = 1500, 40
 MIN_CHARS, MIN_WORDS = 200, 60
@@ -149,7 +150,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Base counts, distances to the nearest language reference and the verdict, for every document."""
     common = common_words(docs)
     size = REST + len(common) + 1
-    rows = durable(features(docs, common))
+    rows = checkpointed(features(docs, common))
     refs = references(rows, size)
     classes = [r[:REST] / r[:REST].sum() for r in refs]
     words = [r[REST:] / r[REST:].sum() for r in refs]

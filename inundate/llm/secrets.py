@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, piece, sample, slices, texts
+from .common import batch, bounded, piece, sample, slices, texts
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -147,21 +147,24 @@ def digest(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ratios: np.ndarray | None = None) -> DataFrame:
     """The documents with every span replaced by ``mark``; all columns and rows stay,
-    a null text stays null.  n_chars, where there is one, follows the new text."""
+    a null text stays null.  n_chars, where there is one, follows a text that was changed."""
     learned = train(docs) if ratios is None else ratios
-    at = docs.columns.index("text")
+    at, sized = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(it):
         for b in slices(it):
-            out = []
-            for t in b["text"].to_pylist():
+            old, new = b["text"].to_pylist(), []
+            for t in old:
                 for a, _, e in _merged(scan(t, learned)) if t else ():
                     t = t[:a] + mark + t[e:]
-                out.append(t)
-            yield b.set_column(at, b.schema.field(at), pa.array(out, pa.string()))
-
-    done = docs.mapInArrow(run, docs.schema)
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+                new.append(t)
+            out = b.set_column(at, b.schema.field(at), pa.array(new, pa.string()))
+            if sized is not None:
+                n = [k if t is u else len(u) for k, t, u in zip(b["n_chars"].to_pylist(), old, new, strict=True)]
+                out = out.set_column(sized, b.schema.field(sized), pa.array(n, b.schema.field(sized).type))
+            yield out
+
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def _merged(spans):

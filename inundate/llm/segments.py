@@ -31,6 +31,7 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,53 +119,59 @@ class Pieces:
         points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         n = len(points)
         end_of = np.repeat(ends, sizes)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        src, dst, ids = [], [], []
+        at, h = np.arange(n), points
+        found, self.count = [], np.zeros(n, np.int64)
+        alone = at
         for k in range(1, self.longest + 1):
-            h = h * BASE + points[at + k - 1]
             place = self._find(h)
-            known = place >= 0
-            piece = np.where(known, self.piece[place], -1)
+            known = np.flatnonzero(place >= 0)
+            at, place = at[known], place[known]
+            piece = self.piece[place]
+            got = np.flatnonzero(piece >= 0)
+            src = at[got]
+            found.append((src, k, piece[got], self.count[src]))
+            self.count[src] += 1
             if k == 1:
-                alone = np.flatnonzero(piece < 0)
-            got = piece >= 0
-            src.append(at[got])
-            dst.append(at[got] + k)
-            ids.append(piece[got])
-            on = known & (at + k < end_of[at])
-            at, h = at[on], h[on]
+                alone = np.flatnonzero(self.count == 0)
+            on = np.flatnonzero(at + k < end_of[at])
+            at, h = at[on], h[known[on]]
             if not len(at):
                 break
-        if n and len(alone):
-            src.append(alone)
-            dst.append(alone + 1)
-            ids.append(np.array([self._spell(text[i]) for i in alone.tolist()]))
-        src, dst, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst, ids))
-        by = np.argsort(src * 64 + np.minimum(dst - src, 63), kind="stable")
-        src, dst, ids = src[by], dst[by], ids[by]
-        weight = np.where(ids < self.size, self.log_weight[np.minimum(ids, self.size - 1)], 0)
-        for i in np.flatnonzero(ids >= self.size).tolist():
-            weight[i] = self.fallback * len(self.spelling[ids[i] - self.size])
-        self.count = np.bincount(src, minlength=n)
+            h = h * BASE + points[at + k]
+        if len(alone):
+            found.append((alone, 1, np.array([self._spell(text[i]) for i in alone.tolist()]), self.count[alone]))
+            self.count[alone] += 1
         self.begin = np.cumsum(self.count) - self.count
-        # sums over all ways from each node to its word's end, from the ends back
+        total = int(self.count.sum())
+        dst, ids = np.empty(total, np.int64), np.empty(total, np.int64)
+        for src, k, piece, rank in found:
+            slot = self.begin[src] + rank
+            dst[slot] = src + k
+            ids[slot] = piece
+        weight = self.log_weight.take(ids, mode="clip")
+        if len(alone):
+            for i in np.flatnonzero(ids >= self.size).tolist():
+                weight[i] = self.fallback * len(self.spelling[ids[i] - self.size])
+        # sums over all ways from each node to its word's end, from the ends back; the end's own is 0
+        to = np.where(dst == np.repeat(end_of, self.count), n, dst)
         beta = np.zeros(n + 1)
-        last = dst == end_of[src]
-        value = np.where(last, weight, 0.0)
         left = end_of - np.arange(n)
-        nodes = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[nodes], np.arange(1, int(left.max()) + 2)) if n else np.zeros(1, np.int64)
-        for a, z in zip(cuts, cuts[1:], strict=False):
+        nodes = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(left)[1:])] if n else np.zeros(1, np.int64)
+        for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if a == z:
+                continue
             group = nodes[a:z]
             c = self.count[group]
             first = np.cumsum(c) - c
-            e = np.arange(int(c.sum())) - np.repeat(first - self.begin[group], c)
-            v = np.where(last[e], weight[e], weight[e] + beta[np.minimum(dst[e], n)])
-            value[e] = v
+            e = np.arange(int(c.sum())) + np.repeat(self.begin[group] - first, c)
+            v = weight[e] + beta[to[e]]
             top = np.maximum.reduceat(v, first)
-            beta[group] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), first))
-        self.phi = value - beta[src]
-        self.to, self.id = np.where(last, -1, dst), ids
+            own = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), first))
+            beta[group] = own
+            weight[e] = v - np.repeat(own, c)
+        self.phi = weight
+        self.to, self.id = np.where(to == n, -1, to), ids
 
     def _spell(self, c: str) -> int:
         if c not in self.spelled:
@@ -244,12 +251,12 @@ class Walk:
 def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAMPLES):
     """For each text, its samples: (ids as two-byte numbers, log-probability, perturbed value, inclusion)."""
     split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts_]
-    model.learn(sorted(set().union(*split)))
+    model.learn(list(set().union(*split)))  # the order of words changes nothing
     docs = len(texts_)
     sizes = np.fromiter(map(len, split), np.int64, docs)
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(docs), sizes)
-    node0 = np.fromiter((model.unit[u] for s in split for u in s), np.int64, int(sizes.sum()))
+    node0 = np.array(list(map(model.unit.__getitem__, chain.from_iterable(split))), np.int64)
     place = np.arange(len(doc)) - first[doc] if len(doc) else np.zeros(0, np.int64)
     row_key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) * P1
     top = _gumbel(row_key ^ P2)
@@ -260,7 +267,7 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
             return _mix(row_key[doc] + np.uint64(sample) * P2) ^ _mix(place.astype(np.uint64) * P3 + P1)
 
     def paths(walk):
-        by = np.lexsort((walk.depth, walk.occ))
+        by = np.argsort(walk.occ, kind="stable")  # steps of a word come in order of depth
         return walk.occ[by], walk.depth[by], walk.edge[by]
 
     walk = Walk(model, everything, node0, np.zeros(len(doc), np.int64), doc, word_keys(0), top, docs)

@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, durable, slices, texts
-from .components import smallest_reachable
+from ..operators.graph import smallest_reachable
+from ..sources.store import checkpointed
+from .common import batch, slices, texts
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 6
@@ -189,12 +190,12 @@ def links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of every document."""
-    prints = durable(fingerprints(docs))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    prints = checkpointed(fingerprints(docs))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     stars = smallest_reachable(links(nodes.select("fp")))
     named = nodes.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").withColumn("root", F.coalesce("b", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = durable(named.join(least, "root").select("fp", "component_id"))
+    members = checkpointed(named.join(least, "root").select("fp", "component_id"))
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 

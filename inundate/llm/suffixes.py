@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices
+from .common import batch, bounded, slices
 
 LEAST = 100
 ANCHOR = 24
@@ -426,7 +426,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     """id, dk (order key and text hash), text, copy, gone and gone2: every row with whether an equal text comes
     before, and the windows to remove as two lists."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("dk"), text.alias("text"))
+    base = bounded(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("dk"), text.alias("text"))
     firsts = base.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min(F.struct(*KEY)).alias("k")).select("k.id", "k.dk", F.lit(True).alias("is_first"))
     rows = base.join(firsts, KEY, "left")
     whole = rows.where("is_first").select(*KEY, "text")
@@ -476,24 +476,25 @@ def digest(docs: DataFrame) -> DataFrame:
     return _judged(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-_TEXT = pa.schema([("id", pa.int64()), ("dk", pa.int64()), ("new", pa.string())])
+_TEXT = pa.schema([("id", pa.int64()), ("dk", pa.int64()), ("new", pa.string()), ("cut", pa.bool_())])
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated stretches removed; all columns and rows stay, a null text stays null, a
-    character cut in two goes whole.  n_chars, where there is one, follows the new text."""
+    character cut in two goes whole.  n_chars, where there is one, follows a text that was cut."""
 
     def run(it):
         for b in slices(it):
-            new = [_kept(t.encode(), *how)[0].decode("utf-8", "ignore") for t, *how in zip(*(b[x].to_pylist() for x in LISTS), strict=True)]
-            yield batch(_TEXT, id=b["id"], dk=b["dk"], new=new)
+            left = [_kept(t.encode(), *how) for t, *how in zip(*(b[x].to_pylist() for x in LISTS), strict=True)]
+            yield batch(_TEXT, id=b["id"], dk=b["dk"], new=[x.decode("utf-8", "ignore") for x, _, _ in left], cut=[n > 0 for _, n, _ in left])
 
-    names = {"id": "id\0", "dk": "dk\0", "new": "new\0"}  # names that no table has
-    new = _judged(docs).mapInArrow(run, "id long, dk long, new string").groupBy(*KEY).agg(F.first("new").alias("new")).withColumnsRenamed(names)  # repeated rows have equal texts
+    names = {"id": "id\0", "dk": "dk\0", "new": "new\0", "cut": "cut\0"}  # names that no table has
+    new = _judged(docs).mapInArrow(run, "id long, dk long, new string, cut boolean").groupBy(*KEY)  # repeated rows have equal texts
+    new = new.agg(F.first("new").alias("new"), F.first("cut").alias("cut")).withColumnsRenamed(names)
     text = F.coalesce("text", F.lit(""))
     rest = docs.withColumns({"id\0": F.coalesce("doc_id", F.lit(NO_ID)), "dk\0": F.xxhash64(text), "text": F.col("text").isNull()})
     both = rest.join(new, ["id\0", "dk\0"])
     done = both.withColumn("text", F.when(~F.col("text"), F.col("new\0")))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.when(F.col("cut\0"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
