@@ -23,6 +23,23 @@ def terminals(pointers: DataFrame, cell: str = "cell", down: str = "down") -> Da
             return now.withColumnRenamed("at", "terminal")
 
 
+def paths_from(starts: DataFrame, pointers: DataFrame, cell: str = "cell", down: str = "down") -> DataFrame:
+    """(cell): every cell on the paths of the starting cells, them and the terminals included.
+
+    Marked cells send the mark 1, 2, 4, ... steps on, so a path of any length takes a
+    logarithmic number of rounds.
+    """
+    marked = checkpointed(starts.select(cell).distinct())
+    jump = checkpointed(pointers.select(F.col(cell).alias("cell"), F.col(down).alias("at")))
+    while True:
+        marked = checkpointed(marked.unionByName(marked.join(jump, "cell").select(F.col("at").alias("cell"))).distinct())
+        hop = jump.select(F.col("cell").alias("at"), F.col("at").alias("beyond"))
+        new = checkpointed(jump.join(hop, "at").select("cell", F.col("beyond").alias("at"), (F.col("beyond") != F.col("at")).alias("moved")))
+        jump = new.select("cell", "at")
+        if not new.where("moved").limit(1).count():
+            return marked
+
+
 def accumulate(pointers: DataFrame, cell: str = "cell", down: str = "down", weight: str | None = None) -> DataFrame:
     """(cell, acc): the cells (or their weights) whose path passes a cell, itself included."""
     start = F.lit(1).cast("bigint") if weight is None else F.col(weight)

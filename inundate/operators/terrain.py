@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
-from .graph import accumulate, smallest_reachable, terminals
+from .graph import accumulate, paths_from, smallest_reachable, terminals
 from .zonal import lowest_cell, relabel_by_mode
 
 AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
@@ -87,35 +87,76 @@ def catchments(pointers: DataFrame, stream: DataFrame, links: DataFrame) -> Data
     return _to_streams(pointers, stream).join(named, "terminal", "left").select("cell", F.coalesce("link_id", F.lit(0)).alias("catchment_id"))
 
 
-def fill(grid: DataFrame, z: str = "z") -> DataFrame:
-    """(cell, filled): the lowest level at which water at a cell can leave the grid's border.
-
-    Cells drain into pits by flow direction; a basin's level is the least highest pass
-    on its way out, relaxed over the graph of neighbouring basins, which is far
-    smaller than the grid.  A cell's level is then the greater of its own and its basin's.
-    """
-    zs = grid.select("cell", "r", "c", F.col(z).alias("z"))
+def _basins(zs: DataFrame):
+    """The grid with each cell's pit; passes (terminal, other, pass, cell, over): the lowest way from basin to
+    basin, ``cell`` in the one and ``over`` in the other; and outlets (terminal, level, cell) at the border."""
     ends = terminals(flow_direction(zs))
     labelled = checkpointed(zs.join(ends, "cell"))
-    met = neighbours(labelled, "terminal", "z").withColumnsRenamed({"terminal": "other", "z": "zn"}).join(labelled, ["r", "c"], "right")
-    border = met.groupBy("cell", "terminal", "z").agg(F.count("other").alias("n")).where("n < 8")
-    seeds = border.groupBy("terminal").agg(F.min("z").alias("level"))
-    passes = checkpointed(met.where("other <> terminal").groupBy("terminal", "other").agg(F.min(F.greatest("z", "zn")).alias("pass")))
-    pits = labelled.select("terminal").distinct()
-    now = checkpointed(pits.join(seeds, "terminal", "left"))
+    beside = neighbours(labelled, "cell", "terminal", "z").withColumnsRenamed({"cell": "over", "terminal": "other", "z": "zn"})
+    met = beside.join(labelled, ["r", "c"])
+    border = met.groupBy("cell", "terminal", "z").agg(F.count("*").alias("n")).where("n < 8").select("cell", "terminal", "z")
+    single = labelled.join(met.select("cell").distinct(), "cell", "left_anti").select("cell", "terminal", "z")  # a grid of one cell
+    outlets = border.unionByName(single).groupBy("terminal").agg(F.min(F.struct("z", "cell")).alias("m")).select("terminal", F.col("m.z").alias("level"), F.col("m.cell").alias("cell"))
+    low = met.where("other <> terminal").groupBy("terminal", "other").agg(F.min(F.struct(F.greatest("z", "zn").alias("pass"), "cell", "over")).alias("m"))
+    return labelled, checkpointed(low.select("terminal", "other", "m.pass", "m.cell", "m.over")), outlets
+
+
+def _levels(labelled: DataFrame, passes: DataFrame, outlets: DataFrame) -> DataFrame:
+    """(terminal, level, hops, other): each basin's least highest pass on its way out, and the next basin on it.
+
+    Basins are relaxed over their graph, which is far smaller than the grid; of equal
+    levels the way of fewest hops counts, so the next basins form a tree.
+    """
+    start = outlets.select("terminal", F.struct("level", F.lit(0).alias("hops"), F.lit(-1).cast("bigint").alias("other")).alias("best"))
+    now = checkpointed(labelled.select("terminal").distinct().join(start, "terminal", "left"))
     while True:
-        over = passes.join(now.where("level is not null").select(F.col("terminal").alias("other"), F.col("level").alias("lo")), "other")
-        offer = over.groupBy("terminal").agg(F.min(F.greatest("pass", "lo")).alias("new"))
-        step = checkpointed(now.join(offer, "terminal", "left").select("terminal", F.least("level", "new").alias("next"), F.coalesce(F.col("new") < F.col("level"), F.col("new").isNotNull()).alias("moved")))
-        now = step.select("terminal", F.col("next").alias("level"))
+        known = now.where("best is not null").select(F.col("terminal").alias("other"), F.col("best.level").alias("lo"), F.col("best.hops").alias("hops"))
+        way = F.struct(F.greatest("pass", "lo").alias("level"), (F.col("hops") + 1).cast("int").alias("hops"), F.col("other"))
+        offer = passes.join(known, "other").groupBy("terminal").agg(F.min(way).alias("new"))
+        better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))
+        step = checkpointed(now.join(offer, "terminal", "left").select("terminal", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"), better.alias("moved")))
+        now = step.select("terminal", "best")
         if not step.where("moved").limit(1).count():
-            break
-    return labelled.join(now, "terminal").select("cell", F.greatest("z", "level").alias("filled"))
+            return now.select("terminal", "best.*")
 
 
-def condition_dem(grid: DataFrame, z: str = "z") -> DataFrame:
-    """A terrain that drains to its border, by filling (no breaching)."""
-    return grid.drop("_f").join(fill(grid, z), "cell").withColumn(z, F.col("filled")).drop("filled")
+def fill(grid: DataFrame, z: str = "z") -> DataFrame:
+    """(cell, filled): the lowest level at which water at a cell can leave the grid's border.
+
+    A cell's level is the greater of its own elevation and its basin's level.
+    """
+    labelled, passes, outlets = _basins(grid.select("cell", "r", "c", F.col(z).alias("z")))
+    return labelled.join(_levels(labelled, passes, outlets), "terminal").select("cell", F.greatest("z", "level").alias("filled"))
+
+
+def breach(grid: DataFrame, z: str = "z") -> DataFrame:
+    """(cell, down, z): a drainage that reaches the border from every cell, and the terrain carved to fit it.
+
+    Each pit that is not an outlet drains over its basin's lowest way out: the flow
+    path from that pass down to the pit is turned round, and the cells on it are
+    lowered to the pit's level, so the carved terrain never rises along a turned path.
+    This is a least-pass breach, not a least-cost one.
+    """
+    zs = checkpointed(grid.select("cell", "r", "c", F.col(z).alias("z")))
+    labelled, passes, outlets = _basins(zs)
+    tree = checkpointed(_levels(labelled, passes, outlets))
+    pointers = checkpointed(flow_direction(zs))
+    out = tree.where("hops > 0").join(passes.select("terminal", "other", "cell", "over"), ["terminal", "other"]).select("terminal", "cell", "over")
+    rim = tree.where("hops = 0").join(outlets.select("terminal", "cell"), "terminal").select("terminal", "cell", F.col("cell").alias("over"))
+    heads = checkpointed(out.unionByName(rim))
+    path = paths_from(heads.select("cell"), pointers)
+    back = path.join(pointers, "cell").where("down <> cell").select(F.col("down").alias("cell"), F.col("cell").alias("back"))
+    turned = back.unionByName(heads.select("cell", F.col("over").alias("back")))
+    pits = labelled.select(F.col("cell").alias("terminal"), F.col("z").alias("zp"))
+    cut = path.join(labelled.select("cell", "terminal"), "cell").join(pits, "terminal").select("cell", "zp")
+    done = pointers.join(turned, "cell", "left").select("cell", F.coalesce("back", "down").alias("down"))
+    return done.join(zs.select("cell", "z"), "cell").join(cut, "cell", "left").select("cell", "down", F.coalesce("zp", "z").alias("z"))
+
+
+def condition_dem(grid: DataFrame, z: str = "z", method: str = "breach") -> DataFrame:
+    """The grid with a terrain conditioned by ``breach`` or ``fill``."""
+    new = breach(grid, z).select("cell", F.col("z").alias("_new")) if method == "breach" else fill(grid, z).withColumnRenamed("filled", "_new")
+    return grid.join(new, "cell").withColumn(z, F.col("_new")).drop("_new")
 
 
 def sinks(grid: DataFrame, z: str = "z") -> DataFrame:
@@ -165,8 +206,9 @@ def snap_to_lines(cells: DataFrame, segments: DataFrame, zone: str = "link_id",
 
 def build_hand_stack(grid: DataFrame, threshold: int = STREAM_CELLS, segments: DataFrame | None = None) -> DataFrame:
     """The grid with hand, reach_id (0 off streams) and catchment_id, from conditioning to catchments."""
-    filled = checkpointed(condition_dem(grid.select("cell", "r", "c", "z")))
-    pointers = checkpointed(flow_direction(filled))
+    carved = checkpointed(breach(grid))
+    pointers = carved.select("cell", "down")
+    filled = checkpointed(grid.select("cell", "r", "c").join(carved.select("cell", "z"), "cell"))
     stream = checkpointed(streams(flow_accumulation(pointers), threshold))
     links = checkpointed(stream_links(pointers, stream))
     named = links

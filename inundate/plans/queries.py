@@ -481,6 +481,13 @@ def vertex_bounds(spark, sf_dir):
     return raster.bounds(fx.grid(spark, sf_dir).selectExpr("c * 1.5e0 as x", "r * 2.5e0 as y"))
 
 
+def calibration_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor stages, reconstruction and its quality, curves, volume check and coefficients in one report."""
+    c = _filled(spark, sf_dir)
+    report = validate.reconstruction_gate(c, indexed=_fluvial(c).indexed)
+    return rounded(calibrate.calibration_table(report, _fluvial(c).alpha))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenario depth by catchment: anchor stage, curves, runoff coefficient, inversion, rendering."""
     return QUERIES["render_fluvial"](spark, sf_dir)
