@@ -118,9 +118,9 @@ class Pieces:
         text = "".join(units)
         points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
         n = len(points)
-        end_of = np.repeat(ends, sizes)
-        at, h = np.arange(n), points
-        found, self.count = [], np.zeros(n, np.int64)
+        end_of = np.repeat(ends, sizes).astype(np.int32)
+        at, h = np.arange(n, dtype=np.int32), points
+        found, self.count = [], np.zeros(n, np.int32)
         alone = at
         for k in range(1, self.longest + 1):
             place = self._find(h)
@@ -139,23 +139,22 @@ class Pieces:
                 break
             h = h * BASE + points[at + k]
         if len(alone):
-            found.append((alone, 1, np.array([self._spell(text[i]) for i in alone.tolist()]), self.count[alone]))
+            found.append((alone, 1, np.array([self._spell(text[i]) for i in alone.tolist()], np.int32), self.count[alone]))
             self.count[alone] += 1
-        self.begin = np.cumsum(self.count) - self.count
         total = int(self.count.sum())
-        dst, ids = np.empty(total, np.int64), np.empty(total, np.int64)
+        self.begin = np.cumsum(self.count, dtype=np.int32) - self.count
+        dst, ids = np.empty(total, np.int32), np.empty(total, np.int32)
         for src, k, piece, rank in found:
             slot = self.begin[src] + rank
             dst[slot] = src + k
             ids[slot] = piece
         weight = self.log_weight.take(ids, mode="clip")
         if len(alone):
-            for i in np.flatnonzero(ids >= self.size).tolist():
-                weight[i] = self.fallback * len(self.spelling[ids[i] - self.size])
+            weight[self.begin[alone] + found[-1][3]] = [self.fallback * len(text[i].encode()) for i in alone.tolist()]
         # sums over all ways from each node to its word's end, from the ends back; the end's own is 0
-        to = np.where(dst == np.repeat(end_of, self.count), n, dst)
+        to = np.where(dst == np.repeat(end_of, self.count), np.int32(n), dst)
         beta = np.zeros(n + 1)
-        left = end_of - np.arange(n)
+        left = end_of - np.arange(n, dtype=np.int32)
         nodes = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
         cuts = np.r_[0, np.cumsum(np.bincount(left)[1:])] if n else np.zeros(1, np.int64)
         for a, z in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -163,20 +162,24 @@ class Pieces:
                 continue
             group = nodes[a:z]
             c = self.count[group]
-            first = np.cumsum(c) - c
-            e = np.arange(int(c.sum())) + np.repeat(self.begin[group] - first, c)
+            first = np.cumsum(c, dtype=np.int32) - c
+            e = np.arange(int(c.sum()), dtype=np.int32) + np.repeat(self.begin[group] - first, c)
             v = weight[e] + beta[to[e]]
             top = np.maximum.reduceat(v, first)
             own = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), first))
             beta[group] = own
             weight[e] = v - np.repeat(own, c)
         self.phi = weight
-        self.to, self.id = np.where(to == n, -1, to), ids
+        self.to, self.id = np.where(to == n, np.int32(-1), to), ids
 
     def _spell(self, c: str) -> int:
+        """The byte piece of a character of one byte; else a number that stands for its byte pieces."""
+        data = c.encode()
+        if len(data) == 1:
+            return self.byte_id[data[0]]
         if c not in self.spelled:
             self.spelled[c] = self.size + len(self.spelling)
-            self.spelling.append(tuple(self.byte_id[x] for x in c.encode()))
+            self.spelling.append(tuple(self.byte_id[x] for x in data))
         return self.spelled[c]
 
 
@@ -208,6 +211,11 @@ def _below(top, best, own):
 P1, P2, P3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
+#: What a child's rank adds to its node's key; no node has more children than the longest piece has characters, and one.
+with np.errstate(over="ignore"):
+    RANKS = np.arange(256).astype(np.uint64) * P3
+
+
 class Walk:
     """A path through words ``occ`` (ascending) from nodes ``node``, all at a time, and its best siblings."""
 
@@ -218,10 +226,11 @@ class Walk:
         doc_of, key_of = doc, key
         while len(occ):
             n, begin = model.count[node], model.begin[node]
-            starts = np.cumsum(n) - n
-            edge = np.arange(int(n.sum())) - np.repeat(starts - begin, n)
+            starts = np.cumsum(n, dtype=np.int32) - n
+            rank = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(starts, n)
+            edge = rank + np.repeat(begin, n)
             k = key_of[occ] ^ (depth.astype(np.uint64) * P2)
-            own = model.phi[edge] + _gumbel(np.repeat(k, n) + (np.arange(len(edge)) - np.repeat(starts, n)).astype(np.uint64) * P3)
+            own = model.phi[edge] + _gumbel(np.repeat(k, n) + RANKS[np.minimum(rank, 255)])
             best = np.maximum.reduceat(own, starts)
             won = np.flatnonzero(own == np.repeat(best, n))
             if len(won) > len(starts):  # a tie of variates: the first wins
@@ -256,11 +265,11 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
     sizes = np.fromiter(map(len, split), np.int64, docs)
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(docs), sizes)
-    node0 = np.array(list(map(model.unit.__getitem__, chain.from_iterable(split))), np.int64)
+    node0 = np.array(list(map(model.unit.__getitem__, chain.from_iterable(split))), np.int32)
     place = np.arange(len(doc)) - first[doc] if len(doc) else np.zeros(0, np.int64)
     row_key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) * P1
     top = _gumbel(row_key ^ P2)
-    everything = np.arange(len(doc))
+    everything = np.arange(len(doc), dtype=np.int32)
 
     def word_keys(sample: int):
         with np.errstate(over="ignore"):
@@ -270,7 +279,7 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
         by = np.argsort(walk.occ, kind="stable")  # steps of a word come in order of depth
         return walk.occ[by], walk.depth[by], walk.edge[by]
 
-    walk = Walk(model, everything, node0, np.zeros(len(doc), np.int64), doc, word_keys(0), top, docs)
+    walk = Walk(model, everything, node0, np.zeros(len(doc), np.int32), doc, word_keys(0), top, docs)
     # of each sample: its path's words, depths and edges, where each document's begin, and values
     occ, depth, edge = paths(walk)
     found = [[] for _ in range(docs)]
@@ -321,13 +330,13 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
                 more_occ.append(np.array([o]))
                 more_node.append(model.to[[e]])
                 more_depth.append(np.array([dep + 1]))
-            rest = np.arange(o + 1, first[d] + sizes[d])
+            rest = everything[o + 1 : first[d] + sizes[d]]
             more_occ.append(rest)
             more_node.append(node0[rest])
-            more_depth.append(np.zeros(len(rest), np.int64))
+            more_depth.append(np.zeros(len(rest), np.int32))
         if not prefix:
             break
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (more_occ, more_node, more_depth)]
+        joined = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (more_occ, more_node, more_depth)]
         walk = Walk(model, *joined, doc, keys_of[sample], np.where(np.isfinite(values), values, 0), docs)
         occ, depth, edge = paths(walk)
         cuts = np.searchsorted(occ, np.r_[first, len(doc)])
