@@ -33,8 +33,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import batch, bounded, slices
 
@@ -228,6 +230,7 @@ def _anchors(it):
     """Runs of the texts.  Of equal runs in a batch all but the first are decided here (gone); they go on under a
     scattered anchor, so that a run that is everywhere comes once from each batch."""
     for b in slices(it, 1 << 22):
+        b = b.filter(pc.fill_null(b["is_first"], False))
         ids, dks = b["id"].to_numpy(), b["dk"].to_numpy()
         found = list(all_runs([t.encode() for t in b["text"].to_pylist()]))
         if not found:
@@ -305,7 +308,7 @@ def _contexts(it):
         out = []
         for i, dk, text, found in zip(*(b[x].to_pylist() for x in ("id", "dk", "text", "found")), strict=True):
             data = text.encode() if found else b""
-            for r in found:
+            for r in found or ():
                 out.append((r["anchor"], i, dk, r["start"], r["n"], data[r["start"] : r["start"] + r["n"] + LEAST - 1]))
             if len(out) > 20_000:
                 yield batch(_RUNS, **dict(zip(_RUNS.names, zip(*out, strict=True), strict=True)))
@@ -422,24 +425,27 @@ def stretches(found: list[dict]) -> list[tuple[int, int]]:
 KEY = ["id", "dk"]
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """id, dk (order key and text hash), text, copy, gone and gone2: every row with whether an equal text comes
-    before, and the windows to remove as two lists."""
+def _judged(docs: DataFrame, rest: Column) -> DataFrame:
+    """id, dk (order key and text hash), text, rest, is_first, gone and gone2: every row with whether its text is the
+    first of its equals, and the windows to remove as two lists.
+
+    All steps take the same columns of the rows that were dealt by document, ``rest``
+    too where they have no use for it, so that Spark finds one exchange for them all.
+    """
     text = F.coalesce("text", F.lit(""))
-    base = bounded(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("dk"), text.alias("text"))
+    base = bounded(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("dk"), text.alias("text"), rest.alias("rest"))
     firsts = base.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min(F.struct(*KEY)).alias("k")).select("k.id", "k.dk", F.lit(True).alias("is_first"))
     rows = base.join(firsts, KEY, "left")
-    whole = rows.where("is_first").select(*KEY, "text")
-    anchors = whole.mapInArrow(_anchors, ANCHORS)
+    anchors = rows.mapInArrow(_anchors, ANCHORS)
     met = anchors.repartition("anchor").sortWithinPartitions("anchor", "fold", "id", "dk", "start").mapInArrow(_meet, MET)
     by_doc = met.groupBy(*KEY).agg(
         F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "n"))).alias("found"),
         F.collect_list(F.when(F.col("gone"), F.struct("start", "n"))).alias("gone"),
     )
-    cut = whole.join(by_doc, KEY).mapInArrow(_contexts, RUNS)
-    more = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks, GONE)
+    judged = rows.join(by_doc, KEY, "left")
+    more = judged.mapInArrow(_contexts, RUNS).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks, GONE)
     more = more.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("gone2"))
-    return rows.join(by_doc, KEY, "left").join(more, KEY, "left")
+    return judged.join(more, KEY, "left")
 
 
 def _kept(data: bytes, first: bool | None, *found) -> tuple[bytes, int, int]:
@@ -467,16 +473,13 @@ def digest(docs: DataFrame) -> DataFrame:
     def run(it):
         for b in slices(it):
             rows = []
-            for i, text, *how in zip(*(b[x].to_pylist() for x in ("id", *LISTS)), strict=True):
+            for doc, text, *how in zip(*(b[x].to_pylist() for x in ("rest", *LISTS)), strict=True):
                 data = text.encode()
                 left, removed, spans = _kept(data, *how)
-                rows.append((None if i == NO_ID else i, len(data), removed, spans, hashlib.sha256(left).hexdigest()))
+                rows.append((doc["doc_id"], len(data), removed, spans, hashlib.sha256(left).hexdigest()))
             yield batch(_CUT, **dict(zip(_CUT.names, zip(*rows, strict=True), strict=True)))
 
-    return _judged(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-_TEXT = pa.schema([("id", pa.int64()), ("dk", pa.int64()), ("new", pa.string()), ("cut", pa.bool_())])
+    return _judged(docs, F.struct("doc_id")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -486,15 +489,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def run(it):
         for b in slices(it):
             left = [_kept(t.encode(), *how) for t, *how in zip(*(b[x].to_pylist() for x in LISTS), strict=True)]
-            yield batch(_TEXT, id=b["id"], dk=b["dk"], new=[x.decode("utf-8", "ignore") for x, _, _ in left], cut=[n > 0 for _, n, _ in left])
-
-    names = {"id": "id\0", "dk": "dk\0", "new": "new\0", "cut": "cut\0"}  # names that no table has
-    new = _judged(docs).mapInArrow(run, "id long, dk long, new string, cut boolean").groupBy(*KEY)  # repeated rows have equal texts
-    new = new.agg(F.first("new").alias("new"), F.first("cut").alias("cut")).withColumnsRenamed(names)
-    text = F.coalesce("text", F.lit(""))
-    rest = docs.withColumns({"id\0": F.coalesce("doc_id", F.lit(NO_ID)), "dk\0": F.xxhash64(text), "text": F.col("text").isNull()})
-    both = rest.join(new, ["id\0", "dk\0"])
-    done = both.withColumn("text", F.when(~F.col("text"), F.col("new\0")))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("cut\0"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+            new, cut = pa.array([x.decode("utf-8", "ignore") for x, _, _ in left], pa.string()), pa.array([n > 0 for _, n, _ in left], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["rest"], new, cut], ["rest", "new", "cut"])
+
+    others = F.struct(F.col("text").isNull().alias("none"), F.struct(*(c for c in docs.columns if c != "text")).alias("columns"))
+    judged = _judged(docs, others)
+    schema = StructType([judged.schema["rest"], StructField("new", StringType()), StructField("cut", BooleanType())])
+    done = judged.mapInArrow(run, schema)
+    out = {c: F.col("rest.columns")[c] for c in docs.columns if c != "text"} | {"text": F.when(~F.col("rest.none"), F.col("new"))}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("cut"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return done.select(*(out[c].alias(c) for c in docs.columns))
