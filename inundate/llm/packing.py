@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
@@ -41,6 +41,8 @@ from .common import batch, slices, texts
 WINDOW, END_ID = 4096, 2
 END = np.array([END_ID], "<u2").tobytes()
 MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
+#: Rows of the table of counts by partition and queue up to which it is sent to all executors.
+SENT_ROWS = 500_000
 #: Words whose ids a worker keeps.
 CACHE = 400_000
 
@@ -241,27 +243,25 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     ids = checkpointed(tokenize(rows, path))
-    counts = ids.groupBy("part", "queue").agg(F.sum("n").alias("n")).collect()  # partitions x queues, at most MAX_QUEUES each
-    names = sorted({r.queue for r in counts})
-    number = {q: i for i, q in enumerate(names)}
-    parts = sorted({r.part for r in counts})
-    held = np.zeros((len(parts), len(names)), np.int64)
-    row = {p: i for i, p in enumerate(parts)}
-    for r in counts:
-        held[row[r.part], number[r.queue]] = r.n
-    before = np.cumsum(held, 0) - held
-    sent = ids.sparkSession.sparkContext.broadcast((Plan(held.sum(0)), before, row, number))
+    counts = checkpointed(ids.groupBy("part", "queue").agg(F.sum("n").alias("n")))
+    totals = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
+    names = sorted(totals)
+    before = F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")
+    offsets = counts.select("part", "queue", before.alias("before"))
+    if counts.count() <= SENT_ROWS:
+        offsets = F.broadcast(offsets)
+    placed = ids.join(offsets, ["part", "queue"]).select("doc_id", "queue", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
+    sent = ids.sparkSession.sparkContext.broadcast((Plan(np.array([totals[q] for q in names], np.int64)), {q: i for i, q in enumerate(names)}))
 
     def run(it):
-        plan, base, row, number = sent.value
+        plan, number = sent.value
         for b in slices(it, 1 << 20, "ids"):
             out = []
-            for doc, queue, part, start, n, blob in zip(*(b[x].to_pylist() for x in _IDS.names), strict=True):
+            for doc, queue, start, n, blob in zip(*(b[x].to_pylist() for x in ("doc_id", "queue", "start", "n", "ids")), strict=True):
                 ids = np.frombuffer(blob, "<u2").astype("<u4").tobytes()
-                q = number[queue]
-                for s, length, sequence, offset in plan.pieces(q, int(base[row[part], q]) + start, n):
+                for s, length, sequence, offset in plan.pieces(number[queue], start, n):
                     out.append((doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, sequence, offset, queue))
             if out:
                 yield batch(_PIECES, **dict(zip(_PIECES.names, zip(*out, strict=True), strict=True)))
 
-    return ids.mapInArrow(run, PIECES)
+    return placed.mapInArrow(run, PIECES)
