@@ -10,9 +10,10 @@ share at least 2 whole blocks, so every distinct fingerprint goes to 15 trees, o
 for each pair of blocks and value.  A tree's children are keyed by their integer
 Hamming distance to the parent, and a search follows only edges within the radius
 of the distance just measured.  Trees of a shard are built and searched level by
-level, all at once.  A tree never holds more than ``TREE`` nodes in expectation: a
-larger one is parted by a hash, and each part is sent to the fingerprints of the
-same key only (sending every tree to every executor would grow with the corpus).
+level, all at once.  A key with more than ``TREE`` fingerprints is parted by a hash
+into trees of about ``TREE`` nodes, and each pair of parts meets once: the one's tree
+goes to the other's fingerprints (sending every tree to every executor would grow
+with the corpus).
 
 Equal fingerprints are one node, whatever the number of copies.  From a shard only
 a spanning forest of the links found leaves, at most one link for each row.
@@ -154,15 +155,15 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _shard(rows: pa.Table) -> pa.Table:
-    key, part, role, fp = (rows[n].to_numpy() for n in ("key", "part", "held", "fp"))
-    fp = fp.view(np.uint64)
-    tree = np.unique(np.stack([key, part], 1), axis=0, return_inverse=True)[1].ravel()
+    key, low, high, part, fp = (rows[n].to_numpy() for n in ("key", "low", "high", "part", "fp"))
+    fp, held, asks = fp.view(np.uint64), part == low, part == high
+    tree = np.unique(np.stack([key, low, high], 1), axis=0, return_inverse=True)[1].ravel()
     nodes, own = np.unique(fp, return_inverse=True)
-    forest = Forest(tree[role], fp[role])
-    mine = own[role][forest.order]
+    forest = Forest(tree[held], fp[held])
+    mine, asking = own[held][forest.order], own[asks]
     parent = np.arange(len(nodes))
-    for q, node in forest.search(tree, fp):
-        unite(parent, own[q], mine[node])
+    for q, node in forest.search(tree[asks], fp[asks]):
+        unite(parent, asking[q], mine[node])
     while not np.array_equal(up := parent[parent], parent):
         parent = up
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
@@ -182,9 +183,11 @@ def links(prints: DataFrame) -> DataFrame:
     shards = max(1, prints.count() * 15 // SHARD_ROWS)
     keyed = prints.select(_keys(F.col("fp")).alias("key"), "fp")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    salted = keyed.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-    sent = salted.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"))
-    dealt = sent.select("key", "part", "fp", (F.col("part") == F.col("own")).alias("held"), F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"))
+    salted = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = met.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = pairs.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_shard, "a long, b long")
 
 
