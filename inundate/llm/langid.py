@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import LETTER, batch, bounded, piece, sample, slices, texts
 
-STEPS, HIDDEN = 64, 8
-FIT_ROWS, ROUNDS, FIT_BATCH, RATE = 1500, 220, 160, 0.02
+STEPS, HIDDEN = 64, 12
+FIT_ROWS, ROUNDS, FIT_BATCH, RATE = 1500, 300, 160, 0.02
 AT_ONCE = 4096
 UNKNOWN = "und"
 #: A document of the pipeline stays if its language is known with this score or more.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
