@@ -80,6 +80,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 99] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM f WHERE k > 1),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM n GROUP BY doc_id, s),
+cuts AS (SELECT doc_id, a, z FROM spans UNION ALL SELECT doc_id, 0, 1 FROM d),
+kept AS (SELECT c.doc_id, c.z AS a, coalesce(lead(c.a) OVER (PARTITION BY c.doc_id ORDER BY c.a), octet_length(d.b) + 1) AS z, b FROM cuts c JOIN d USING (doc_id)),
+rest AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(CASE WHEN z > a THEN hex(b[a:z - 1]) ELSE '' END, '' ORDER BY a), ''))) AS kept_sha256 FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(t.r, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.c, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS r, count(*) AS c FROM spans GROUP BY 1) t USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": CHAT_SQL}
+    return {"op2_chat_format": CHAT_SQL, "op7_suffix_dedup": REPEATS_SQL}
