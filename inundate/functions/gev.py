@@ -7,13 +7,14 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EULER = 0.5772156649015329
 #: Below this |shape| the fit, and below the other the quantile, is Gumbel's.
 FIT_FLAT, QUANTILE_FLAT = 1e-6, 1e-8
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gamma(x: pd.Series) -> pd.Series:
     """Spark has no gamma function; this one runs on tables of one row per region."""
     return x.map(lambda v: None if v is None or math.isnan(v) else math.gamma(v))

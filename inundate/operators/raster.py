@@ -69,6 +69,13 @@ def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return crossings % 2 == 1
 
 
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """The same against a ring held as ARRAY<STRUCT<x, y>>, for polygons that come as a column or have many vertices."""
+    turned = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    hits = F.zip_with(ring, turned, lambda a, b: ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < a["x"] + (y - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"]), F.lit(False)))
+    return F.size(F.filter(hits, lambda h: h)) % 2 == 1
+
+
 def clip(cells: DataFrame, ring: list[tuple[float, float]], *values: str, x: str = "x", y: str = "y") -> DataFrame:
     """Values outside the polygon become NULL; the ring's box is tested first."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]

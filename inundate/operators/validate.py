@@ -61,8 +61,8 @@ def holdout_split(zones: DataFrame, zone: str = "catchment_id", block: str | Non
     blocks = zones.select(key).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
     # blocks are few: one row for each region that holds out or stays as a whole
     ranked = blocks.withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
-    n = blocks.agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share)).cast("int")).alias("_n"))
-    chosen = ranked.crossJoin(n).select(key, (F.col("_r") <= F.col("_n")).alias("held_out"))
+    wanted = max(1, round(blocks.count() * share))
+    chosen = ranked.select(key, (F.col("_r") <= wanted).alias("held_out"))
     return zones.select(zone, *([block] if block else [])).distinct().join(chosen, key).select(zone, "held_out")
 
 

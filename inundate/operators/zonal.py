@@ -114,9 +114,9 @@ def modal_label(pairs: DataFrame, zone: str, label: str) -> DataFrame:
 def relabel_by_mode(cells: DataFrame, zone: str, label: str) -> DataFrame:
     """Zone ids replaced by their modal label; a zone without one gets its id moved above all labels."""
     modes = modal_label(cells, zone, label).withColumnRenamed(label, "_label")
-    offset = cells.agg((F.greatest(F.coalesce(F.max(label), F.lit(0)), F.lit(0)) + 1).alias("_offset"))
-    zones = inside(cells, zone).select(zone).distinct().join(modes, zone, "left").crossJoin(offset)  # the offset is one row
-    return zones.select(zone, F.coalesce("_label", F.col(zone) + F.col("_offset")).alias("label"))
+    top = cells.agg(F.max(label)).first()[0]
+    zones = inside(cells, zone).select(zone).distinct().join(modes, zone, "left")
+    return zones.select(zone, F.coalesce("_label", F.col(zone) + F.lit(max(top or 0, 0) + 1)).alias("label"))
 
 
 def class_shares(cells: DataFrame, column: str, names: dict[int, str]) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import known
 from ..operators.calibrate import calibration_table
-from ..operators.raster import convert, window
+from ..operators.raster import convert, mosaic, overlapping, window
 
 TILE_CELLS = 2000
 
@@ -59,6 +61,34 @@ def storage_path(href: str, scheme: str = "gs://") -> str:
     return href
 
 
+def extract_basin(
+    spark: SparkSession, box: tuple[float, float, float, float], out: str, dem_tiles: DataFrame, depth: tuple[str, str], rain: dict[str, tuple[str, str]], cell: float, overwrite: bool = False,
+) -> dict[str, DataFrame]:
+    """The terrain mosaic and the depth and rain grids of a box (xmin, ymin, xmax, ymax), each written once.
+
+    ``dem_tiles`` has id, the box columns and href; ``depth`` and ``rain`` name the
+    path and band of a cell table.  Depth is stored in millimetres.  ValueError if no
+    tile overlaps the box.
+    """
+    xmin, ymin, xmax, ymax = box
+    tiles = overlapping(dem_tiles, xmin, ymin, xmax, ymax).select("id", "href").collect()  # the few tiles that meet the box
+    if not tiles:
+        raise ValueError(f"no terrain tile overlaps {box}")
+    rows = math.floor(-ymax / cell), math.ceil(-ymin / cell)
+    cols = math.floor(xmin / cell), math.ceil(xmax / cell)
+    place = (rows[0], cols[0], rows[1], cols[1])
+
+    def terrain() -> DataFrame:
+        parts = [window(read_cells(spark, t.href), *place).select("r", "c", "z").withColumn("tile", F.lit(t.id)) for t in tiles]
+        return mosaic(reduce(DataFrame.unionByName, parts), "tile", "z", "r", "c")
+
+    made = {"dem": stage_table(spark, f"{out}/dem", terrain, overwrite)}
+    made["depth"] = stage_table(spark, f"{out}/depth", lambda: read_band(spark, *depth, place, 1000.0), overwrite)
+    for name, (path, band) in rain.items():
+        made[name] = stage_table(spark, f"{out}/{name}", lambda path=path, band=band: read_band(spark, path, band, place), overwrite)
+    return made
+
+
 def write_curves(curves: DataFrame, path: str) -> None:
     curves.write.mode("overwrite").parquet(path)
 

@@ -78,7 +78,7 @@ def test_multiplier_is_one_at_the_anchor(spark):
     m = rainfall.scenario_multiplier(g, spark.createDataFrame([("r0", 1.1, 0.0)], "region_id string, climate double, model_spread double"), 100.0)
     assert [(r.region_id, r.multiplier) for r in m.collect()] == [("r0", pytest.approx(1.1))]
     cells = spark.createDataFrame([("r0", 10.0), ("r9", 10.0)], "region_id string, rain_p100 double")
-    assert {r.rain_pp for r in rainfall.scale_rain(cells, m).collect()} == {pytest.approx(11.0), None}
+    assert {r.region_id: r.rain_pp for r in rainfall.scale_rain(cells, m).collect()} == {"r0": pytest.approx(11.0), "r9": None}
 
 
 def test_climate_bound(spark):
