@@ -41,10 +41,10 @@ from .common import batch, slices, texts
 WINDOW, END_ID = 4096, 2
 END = np.array([END_ID], "<u2").tobytes()
 MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
-#: Rows of the table of counts by partition and queue up to which it is sent to all executors.
-SENT_ROWS = 500_000
+#: Rows of the table of counts by partition and queue up to which it is sent to all executors; a larger one is joined.
+SENT_ROWS = 200_000
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 
 #: Texts of these characters alone are cut into words here; others go to the library whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
@@ -249,17 +249,21 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")
     offsets = counts.select("part", "queue", before.alias("before"))
     if counts.count() <= SENT_ROWS:
-        offsets = F.broadcast(offsets)
-    placed = ids.join(offsets, ["part", "queue"]).select("doc_id", "queue", (F.col("start") + F.col("before")).alias("start"), "n", "ids")
-    sent = ids.sparkSession.sparkContext.broadcast((Plan(np.array([totals[q] for q in names], np.int64)), {q: i for i, q in enumerate(names)}))
+        known = {(r.part, r.queue): r.before for r in offsets.collect()}
+        placed = ids.withColumn("before", F.lit(None).cast("long"))
+    else:
+        known = {}
+        placed = ids.join(offsets, ["part", "queue"])
+    placed = placed.select("doc_id", "queue", "part", "start", "before", "n", "ids")
+    sent = ids.sparkSession.sparkContext.broadcast((Plan(np.array([totals[q] for q in names], np.int64)), {q: i for i, q in enumerate(names)}, known))
 
     def run(it):
-        plan, number = sent.value
+        plan, number, known = sent.value
         for b in slices(it, 1 << 20, "ids"):
             out = []
-            for doc, queue, start, n, blob in zip(*(b[x].to_pylist() for x in ("doc_id", "queue", "start", "n", "ids")), strict=True):
+            for doc, queue, part, start, before, n, blob in zip(*(b[x].to_pylist() for x in ("doc_id", "queue", "part", "start", "before", "n", "ids")), strict=True):
                 ids = np.frombuffer(blob, "<u2").astype("<u4").tobytes()
-                for s, length, sequence, offset in plan.pieces(number[queue], start, n):
+                for s, length, sequence, offset in plan.pieces(number[queue], start + (known[part, queue] if before is None else before), n):
                     out.append((doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, sequence, offset, queue))
             if out:
                 yield batch(_PIECES, **dict(zip(_PIECES.names, zip(*out, strict=True), strict=True)))

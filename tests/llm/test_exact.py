@@ -364,3 +364,10 @@ def test_next_lower(spark):
     got = dict(fingerprints.next_lower(spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")).collect())
     order = sorted(set(ids), reverse=True)
     assert got == {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
+
+
+def test_joined_offsets_equal_sent_ones(spark, monkeypatch):
+    docs = documents(spark, n=40)
+    sent = sorted(map(tuple, packing.pack(docs, TOKENIZER).collect()), key=str)
+    monkeypatch.setattr(packing, "SENT_ROWS", 0)
+    assert sent == sorted(map(tuple, packing.pack(docs, TOKENIZER).collect()), key=str)
