@@ -67,6 +67,10 @@ class Pieces:
                 ids[piece] = i
                 self.bytes_of[i] = piece.encode()
         self.ids, self.longest = ids, max(map(len, ids))
+        shown = [b.replace(MARK.encode(), b" ") for b in self.bytes_of]
+        self.spelled_out = np.frombuffer(b"".join(shown), np.uint8)
+        self.sizes = np.fromiter(map(len, shown), np.int32, self.size)
+        self.places = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         first = min(ids.values())
         self.log_weight = np.zeros(self.size)
         own = np.array(list(ids.values()))
@@ -230,7 +234,7 @@ class Walk:
             rank = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(starts, n)
             edge = rank + np.repeat(begin, n)
             k = key_of[occ] ^ (depth.astype(np.uint64) * P2)
-            own = model.phi[edge] + _gumbel(np.repeat(k, n) + RANKS[np.minimum(rank, 255)])
+            own = model.phi[edge] + _gumbel(np.repeat(k, n) + RANKS.take(rank, mode="clip"))
             best = np.maximum.reduceat(own, starts)
             won = np.flatnonzero(own == np.repeat(best, n))
             if len(won) > len(starts):  # a tie of variates: the first wins
@@ -375,9 +379,17 @@ def _siblings(model: Pieces, key, depth: int, node: int, top: float):
     return own, _below(top, own.max(), own)
 
 
+def decoded(model: Pieces, ids: bytes) -> bytes:
+    """The text's bytes: the pieces' one after another, space marks as spaces, without the leading one."""
+    i = np.frombuffer(ids, "<u2")
+    sizes = model.sizes[i]
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat(model.places[i] - (ends - sizes), sizes)
+    return model.spelled_out[at].tobytes()[1:]
+
+
 def decode(model: Pieces, ids: bytes) -> str:
-    data = b"".join([model.bytes_of[i] for i in np.frombuffer(ids, "<u2").tolist()])
-    return data.decode("utf-8", "replace").replace(MARK, " ")[1:]
+    return decoded(model, ids).decode("utf-8", "replace")
 
 
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
@@ -409,6 +421,6 @@ def digest(segments: DataFrame, path: str) -> DataFrame:
         for b in it:
             ids = b["ids"].to_pylist()
             same = {n: b[n] for n in ("doc_id", "sample", "log_prob", "perturbed", "inclusion")}
-            yield batch(_DIGEST, **same, n_pieces=[len(x) // 2 for x in ids], ids_crc32=[zlib.crc32(x) for x in ids], decoded_sha256=[hashlib.sha256(decode(model, x).encode()).hexdigest() for x in ids])
+            yield batch(_DIGEST, **same, n_pieces=[len(x) // 2 for x in ids], ids_crc32=[zlib.crc32(x) for x in ids], decoded_sha256=[hashlib.sha256(decoded(model, x)).hexdigest() for x in ids])
 
     return segments.mapInArrow(run, "doc_id long, sample int, n_pieces long, ids_crc32 long, decoded_sha256 string, log_prob double, perturbed double, inclusion double")
