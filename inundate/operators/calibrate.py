@@ -57,8 +57,20 @@ def cross_check_volume(cells: DataFrame, stages: DataFrame, indexed: DataFrame,
 def calibrate_alpha(cells: DataFrame, rain: DataFrame, areas: DataFrame, zone: str = "catchment_id", depth: str = "d100", cell_area: float = 1.0, bounds=ALPHA_RANGE) -> DataFrame:
     """Runoff coefficient: observed volume over rain volume, with a flag (both bounds are in range; unknown is not)."""
     observed = inside(cells, zone).groupBy(zone).agg((complete(F.sum(depth), F.col(depth)) * cell_area).alias("v_obs"))
-    both = observed.join(rain, zone, "left").join(areas, zone, "left")
-    both = both.withColumn("v_rain", F.col("p100") * F.col("area")).withColumn("alpha", ratio(F.col("v_obs"), F.col("v_rain")))
+    return alpha_from_sums(observed.join(rain, zone, "left").join(areas, zone, "left"), zone, bounds)
+
+
+def zone_sums(cells: DataFrame, zone: str = "catchment_id", depth: str = "d100", rain: str = "rain_p100", scenario: str = "rain_pp", cell_area: float = 1.0) -> DataFrame:
+    """(zone, v_obs, p100, p_prime, area): all that coefficients and scenario volumes need, in one pass over the cells."""
+    return inside(cells, zone).groupBy(zone).agg(
+        (complete(F.sum(depth), F.col(depth)) * cell_area).alias("v_obs"), F.avg(rain).alias("p100"), F.avg(scenario).alias("p_prime"),
+        (F.count("*") * F.lit(float(cell_area))).alias("area"),
+    )
+
+
+def alpha_from_sums(sums: DataFrame, zone: str = "catchment_id", bounds=ALPHA_RANGE) -> DataFrame:
+    """The same as ``calibrate_alpha`` from ``zone_sums``."""
+    both = sums.withColumn("v_rain", F.col("p100") * F.col("area")).withColumn("alpha", ratio(F.col("v_obs"), F.col("v_rain")))
     return both.select(zone, "v_obs", "v_rain", "alpha", (~yes(F.col("alpha").between(*bounds))).alias("flag_alpha_out_of_range"))
 
 

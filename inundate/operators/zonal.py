@@ -20,14 +20,16 @@ def inside(cells: DataFrame, zone: str) -> DataFrame:
 def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles by key with linear interpolation; NULL values are skipped.
 
-    Equal values are counted first.  Each key's range is cut into buckets; bucket
-    counts tell which buckets hold the ranks that are asked for, and only those are
-    ordered, one task for each (key, bucket).
+    Each key's range is cut into buckets, and equal values of a bucket are counted in
+    the map tasks.  Bucket counts tell which buckets hold the ranks that are asked for,
+    and only those are ordered, one task for each (key, bucket).
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ends = counted.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) * BUCKETS / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")))).otherwise(0)
-    placed = counted.join(ends, "k").withColumn("b", F.least(bucket, F.lit(BUCKETS - 1)).cast("int"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
+    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+    bucket = F.coalesce(F.floor((F.col("v") - F.col("lo")) * BUCKETS / width), F.lit(0))
+    placed = rows.join(ends, "k").withColumn("b", F.least(bucket, F.lit(BUCKETS - 1)).cast("int"))
+    placed = placed.groupBy("k", "total", "b", "v").agg(F.count("*").alias("n"))
     by_bucket = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy("k", "b", "total").agg(F.sum("n").alias("m")).withColumn("through", F.sum("m").over(by_bucket))
     ranks = {name: (F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q)) for name, q in wanted.items()}

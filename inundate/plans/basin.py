@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, curves, regime, render, zonal
 from ..operators.raster import clip
+from ..sources.store import checkpointed
 
 MIN_CELLS = 100
 
@@ -28,13 +29,15 @@ class Side:
 
 
 def side(cells: DataFrame, zone: str, datum: str, cell_area: float = 1.0, rain: str = "rain_p100", scenario: str = "rain_pp") -> Side:
-    anchor = zonal.anchor_stage(cells, zone, datum)
-    table = curves.stage_curves(cells, anchor, zone, datum, cell_area)
+    """Calibrates one zone system.  Its tables have a row or a few for each zone; anchors, curves and sums are
+    checkpointed, so that what follows does not read the cells again for them."""
+    anchor = checkpointed(zonal.anchor_stage(cells, zone, datum))
+    table = checkpointed(curves.stage_curves(cells, anchor, zone, datum, cell_area))
+    sums = checkpointed(calibrate.zone_sums(cells, zone, "d100", rain, scenario, cell_area))
     indexed = curves.index_curves(table, zone)
-    areas = zonal.zone_area(cells, zone, cell_area)
-    alpha = calibrate.calibrate_alpha(cells, zonal.zone_mean(cells, zone, rain, "p100"), areas, zone, "d100", cell_area)
-    stages = render.zone_stage(alpha, zonal.zone_mean(cells, zone, scenario, "p_prime"), areas, indexed, zone)
-    return Side(zone, datum, anchor, table, indexed, alpha, areas, stages)
+    alpha = calibrate.alpha_from_sums(sums, zone)
+    stages = render.zone_stage(alpha, sums.select(zone, "p_prime"), sums.select(zone, "area"), indexed, zone)
+    return Side(zone, datum, anchor, table, indexed, alpha, sums.select(zone, "area"), stages)
 
 
 @dataclass
@@ -61,8 +64,8 @@ def run_basin(
     ready = zonal.relative_elevation(ready, "depression_id", "dem", "hd")
     pluvial = side(ready, "depression_id", "hd", cell_area)
     fluvial = side(ready, "catchment_id", "hand", cell_area)
-    spread_ = zonal.anchor_stage_spread(ready)
-    quality = calibrate.reconstruction_quality(calibrate.reconstruct_depth(ready, spread_), spread_)
+    spread_ = checkpointed(zonal.anchor_stage_spread(ready))
+    quality = checkpointed(calibrate.reconstruction_quality(calibrate.reconstruct_depth(ready, spread_), spread_))
     out = render.render_depth(ready, fluvial.stages, "catchment_id", "hand", "fluvial_depth", "fluvial_extrapolated")
     out = render.render_depth(out, pluvial.stages, "depression_id", "hd", "pluvial_depth", "pluvial_extrapolated")
     if split == "regime":
