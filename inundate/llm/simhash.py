@@ -25,6 +25,7 @@ table.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,24 +42,26 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 6
 TREE = 2048
 SHARD_ROWS = 60_000
+#: Of the pipeline's stage: bits that copies may differ in over four-word shingles, and leaders of a component.
+ORDER_RADIUS, LEADERS = 13, 6
 
 
-def shingle_bits(data: bytes) -> int:
-    """The fingerprint, unsigned."""
+def shingle_bits(data: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint over shingles of ``width`` words, unsigned."""
     words = data.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= width:
+        return xxhash.xxh64_intdigest(joined, seed)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    ends = (starts + sizes)[SHINGLE - 1 :].tolist()
+    ends = (starts + sizes)[width - 1 :].tolist()
     starts = starts[: len(ends)].tolist()
     h, n = xxhash.xxh64_intdigest, len(ends)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
-        part = [h(joined[a:z], SEED) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)]
+        part = [h(joined[a:z], seed) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)]
         bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
@@ -78,6 +81,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+_WORDS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("other_fp", pa.int64()), ("order_fp", pa.int64())])
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and other_fp (over single words, by two hashes) and order_fp (over ``SHINGLE`` words)."""
+
+    def run(it):
+        for b in slices(it):
+            data = [t.encode() for t in b["text"].to_pylist()]
+            found = (np.array([shingle_bits(d, w, s) for d in data], "<u8").view("<i8") for w, s in ((1, SEED), (1, SEED + 1), (SHINGLE, SEED)))
+            yield batch(_WORDS, **dict(zip(_WORDS.names, (b["doc_id"], *found), strict=True)))
+
+    return texts(docs).mapInArrow(run, "doc_id long, fp long, other_fp long, order_fp long")
+
+
 class Forest:
     """BK-trees over (tree, fingerprint) rows, distinct and all built together."""
 
@@ -191,12 +209,16 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(_shard, "a long, b long")
 
 
+def components(nodes: DataFrame) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of ``nodes``: the least fingerprint that each reaches by links."""
+    stars = smallest_reachable(links(nodes.select("fp")))
+    return nodes.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").withColumn("root", F.coalesce("b", "fp")).drop("b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of every document."""
     prints = checkpointed(fingerprints(docs))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    stars = smallest_reachable(links(nodes.select("fp")))
-    named = nodes.join(stars.select(F.col("a").alias("fp"), "b"), "fp", "left").withColumn("root", F.coalesce("b", "fp"))
+    named = components(checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = checkpointed(named.join(least, "root").select("fp", "component_id"))
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
@@ -206,9 +228,46 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of every near copy of a document that stays.
+
+    At a similarity of 0.8 over five-word shingles the query's fingerprints differ in
+    about 10 bits, too far for trees of radius 4; fingerprints over single words differ
+    in one or two.  Links by either of two such fingerprints make components that hold
+    the candidates.  In each, the least doc_id stays, and those go whose fingerprint over four-word shingles is within
+    ``ORDER_RADIUS`` of it (0.8 lies at about 10 bits, unrelated order far beyond).
+    What it does not cover is looked at again under its own least doc_id, ``LEADERS``
+    times; then only equal fingerprints go.
+    """
+    prints = checkpointed(word_fingerprints(docs.where("doc_id is not null")).distinct())
+    one = checkpointed(components(checkpointed(prints.select("fp").distinct())))
+    two = components(checkpointed(prints.select(F.col("other_fp").alias("fp")).distinct()))
+    two = checkpointed(two.select(F.col("fp").alias("other_fp"), F.xxhash64("root", F.lit("other")).alias("other_root")))  # a node of its own
+    named = checkpointed(prints.join(one, "fp").join(two, "other_fp").select("doc_id", "order_fp", F.col("root").alias("a"), F.col("other_root").alias("b")))
+    joint = smallest_reachable(named.select("a", "b")).select("a", F.col("b").alias("least"))
+    members = named.join(joint, "a", "left").select("doc_id", F.coalesce("least", "a").alias("root"), "order_fp")
+    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    left = checkpointed(members.join(several, "root"))
+    found = []
+    for _ in range(LEADERS):
+        if not left.limit(1).count():
+            break
+        lead = left.groupBy("root").agg(F.min(F.struct("doc_id", "order_fp")).alias("lead"))
+        judged = checkpointed(left.join(lead, "root").where("doc_id <> lead.doc_id").select(
+            "doc_id", "root", "order_fp", (F.bit_count(F.col("order_fp").bitwiseXOR(F.col("lead.order_fp"))) <= ORDER_RADIUS).alias("near")
+        ))
+        found.append(judged.where("near").select("doc_id"))
+        left = checkpointed(judged.where("not near").drop("near"))
+    equal = left.groupBy("root", "order_fp").agg(F.min("doc_id").alias("first"))
+    found.append(left.join(equal, ["root", "order_fp"]).where("doc_id <> first").select("doc_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component: that with the least doc_id (of rows that share it, the first by
-    text and source).  Rows without doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The documents without near copies of others; of rows that share a doc_id one stays, of rows without doc_id all."""
+    left = docs.join(copies(docs).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = checkpointed(again)
+    if not again.limit(1).count():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
