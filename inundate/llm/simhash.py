@@ -43,17 +43,17 @@ BLOCKS = 6
 TREE = 2048
 SHARD_ROWS = 60_000
 #: Of the pipeline's stage: bits that copies may differ in over four-word shingles, and leaders of a component.
-ORDER_RADIUS, LEADERS = 13, 6
+ORDER_RADIUS, LEADERS = 14, 3
 
 
-def shingle_bits(data: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_bits(data: bytes, width: int = SHINGLE) -> int:
     """The fingerprint over shingles of ``width`` words, unsigned."""
     words = data.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return xxhash.xxh64_intdigest(joined, SEED)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[width - 1 :].tolist()
@@ -61,7 +61,7 @@ def shingle_bits(data: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     h, n = xxhash.xxh64_intdigest, len(ends)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
-        part = [h(joined[a:z], seed) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)]
+        part = [h(joined[a:z], SEED) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)]
         bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
@@ -81,19 +81,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-_WORDS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("other_fp", pa.int64()), ("order_fp", pa.int64())])
+_WORDS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("order_fp", pa.int64())])
 
 
 def word_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and other_fp (over single words, by two hashes) and order_fp (over ``SHINGLE`` words)."""
+    """doc_id, fp (over single words) and order_fp (over ``SHINGLE`` words)."""
 
     def run(it):
         for b in slices(it):
             data = [t.encode() for t in b["text"].to_pylist()]
-            found = (np.array([shingle_bits(d, w, s) for d in data], "<u8").view("<i8") for w, s in ((1, SEED), (1, SEED + 1), (SHINGLE, SEED)))
+            found = (np.array([shingle_bits(d, w) for d in data], "<u8").view("<i8") for w in (1, SHINGLE))
             yield batch(_WORDS, **dict(zip(_WORDS.names, (b["doc_id"], *found), strict=True)))
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, other_fp long, order_fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long, order_fp long")
 
 
 class Forest:
@@ -233,19 +233,15 @@ def copies(docs: DataFrame) -> DataFrame:
 
     At a similarity of 0.8 over five-word shingles the query's fingerprints differ in
     about 10 bits, too far for trees of radius 4; fingerprints over single words differ
-    in one or two.  Links by either of two such fingerprints make components that hold
-    the candidates.  In each, the least doc_id stays, and those go whose fingerprint over four-word shingles is within
+    in one or two.  Their components hold the candidates.  In each, the least doc_id
+    stays, and those go whose fingerprint over four-word shingles is within
     ``ORDER_RADIUS`` of it (0.8 lies at about 10 bits, unrelated order far beyond).
     What it does not cover is looked at again under its own least doc_id, ``LEADERS``
     times; then only equal fingerprints go.
     """
     prints = checkpointed(word_fingerprints(docs.where("doc_id is not null")).distinct())
-    one = checkpointed(components(checkpointed(prints.select("fp").distinct())))
-    two = components(checkpointed(prints.select(F.col("other_fp").alias("fp")).distinct()))
-    two = checkpointed(two.select(F.col("fp").alias("other_fp"), F.xxhash64("root", F.lit("other")).alias("other_root")))  # a node of its own
-    named = checkpointed(prints.join(one, "fp").join(two, "other_fp").select("doc_id", "order_fp", F.col("root").alias("a"), F.col("other_root").alias("b")))
-    joint = smallest_reachable(named.select("a", "b")).select("a", F.col("b").alias("least"))
-    members = named.join(joint, "a", "left").select("doc_id", F.coalesce("least", "a").alias("root"), "order_fp")
+    roots = checkpointed(components(checkpointed(prints.select("fp").distinct())))
+    members = prints.join(roots, "fp").select("doc_id", "root", "order_fp")
     several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     left = checkpointed(members.join(several, "root"))
     found = []
