@@ -44,6 +44,8 @@ SAMPLES = 2
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CHARS = 1 << 19
+#: Nodes of lattices that a worker keeps (about 20 MB).
+KEPT = 300_000
 
 
 BASE, SPREAD, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
@@ -92,6 +94,13 @@ class Pieces:
         by = np.argsort(slot, kind="stable")
         self.keys, self.piece = keys[by], np.fromiter(hashes.values(), np.int64, len(hashes))[by]
         self.start = np.searchsorted(slot[by], np.arange((1 << SLOTS) + 1)).astype(np.int32)
+        self.single = np.full(1 + max(ord(x[0]) for x in ids) + 2, -1, np.int64)  # by code point plus 1; the last is for those beyond
+        starts = np.array(sorted({ord(x[0]) for x in ids}), np.uint64) + np.uint64(1)
+        self.single[starts.astype(np.int64)] = self._find(starts)
+        self.unit: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.nodes = self.edges = 0
+        self.count, self.begin, self.to, self.id, self.phi = (np.zeros(0, k) for k in ("i4", "i4", "i4", "i4", "f8"))
         self.spelled: dict[str, int] = {}  # a character without a piece: a number from ``size`` on
         self.spelling: list[tuple[int, ...]] = []
 
@@ -114,49 +123,80 @@ class Pieces:
         return out
 
     def learn(self, units: list[str]) -> None:
-        """Lattices of the words: a node for each place, edges with their share of all ways on from the node."""
-        self.unit = {}
+        """Lattices of the words: a node for each place, edges with their share of all ways on from the node.
+
+        The words met first stay, up to ``KEPT`` nodes, as most of the common ones are
+        among them; the others' lattices last for one batch.
+        """
+        for u in self.passing:
+            del self.unit[u]
+        new = [u for u in units if u not in self.unit]
+        count, to, ids, phi = self._lattices(new)
+        n, e, base, first = len(count), len(to), self.nodes, self.edges
+        self._reserve(base + n, first + e)
+        self.count[base : base + n] = count
+        self.begin[base : base + n] = np.cumsum(count, dtype=np.int32) - count + first
+        self.to[first : first + e] = np.where(to >= 0, to + base, -1)
+        self.id[first : first + e] = ids
+        self.phi[first : first + e] = phi
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        self.unit.update(zip(new, (np.cumsum(sizes) - sizes + base).tolist(), strict=True))
+        self.passing = new
+        if base + n <= KEPT:
+            self.passing, self.nodes, self.edges = [], base + n, first + e
+
+    def _reserve(self, nodes: int, edges: int) -> None:
+        for names, size in ((("count", "begin"), nodes), (("to", "id", "phi"), edges)):
+            for x in names:
+                now = getattr(self, x)
+                if len(now) < size:
+                    larger = np.empty(size + size // 2, now.dtype)
+                    larger[: len(now)] = now
+                    setattr(self, x, larger)
+
+    def _lattices(self, units: list[str]):
+        """Edges of each node, and the edges: node within the batch (-1: the word's end), piece, log of its share."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
-        self.unit = dict(zip(units, (ends - sizes).tolist(), strict=True))
         text = "".join(units)
-        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
         n = len(points)
         end_of = np.repeat(ends, sizes).astype(np.int32)
-        at, h = np.arange(n, dtype=np.int32), points
-        found, self.count = [], np.zeros(n, np.int32)
+        at, h = np.arange(n, dtype=np.int32), points + np.uint64(1)
+        points = h
+        found, count = [], np.zeros(n, np.int32)
         alone = at
         for k in range(1, self.longest + 1):
-            place = self._find(h)
+            place = self.single[np.minimum(points, len(self.single) - 1).astype(np.int32)] if k == 1 else self._find(h)
             known = np.flatnonzero(place >= 0)
             at, place = at[known], place[known]
             piece = self.piece[place]
             got = np.flatnonzero(piece >= 0)
             src = at[got]
-            found.append((src, k, piece[got], self.count[src]))
-            self.count[src] += 1
+            found.append((src, k, piece[got], count[src]))
+            count[src] += 1
             if k == 1:
-                alone = np.flatnonzero(self.count == 0)
+                alone = np.flatnonzero(count == 0)
             on = np.flatnonzero(at + k < end_of[at])
             at, h = at[on], h[known[on]]
             if not len(at):
                 break
             h = h * BASE + points[at + k]
         if len(alone):
-            found.append((alone, 1, np.array([self._spell(text[i]) for i in alone.tolist()], np.int32), self.count[alone]))
-            self.count[alone] += 1
-        total = int(self.count.sum())
-        self.begin = np.cumsum(self.count, dtype=np.int32) - self.count
+            found.append((alone, 1, np.array([self._spell(text[i]) for i in alone.tolist()], np.int32), count[alone]))
+            count[alone] += 1
+        total = int(count.sum())
+        begin = np.cumsum(count, dtype=np.int32) - count
         dst, ids = np.empty(total, np.int32), np.empty(total, np.int32)
         for src, k, piece, rank in found:
-            slot = self.begin[src] + rank
+            slot = begin[src] + rank
             dst[slot] = src + k
             ids[slot] = piece
         weight = self.log_weight.take(ids, mode="clip")
         if len(alone):
-            weight[self.begin[alone] + found[-1][3]] = [self.fallback * len(text[i].encode()) for i in alone.tolist()]
+            weight[begin[alone] + found[-1][3]] = [self.fallback * len(text[i].encode()) for i in alone.tolist()]
         # sums over all ways from each node to its word's end, from the ends back; the end's own is 0
-        to = np.where(dst == np.repeat(end_of, self.count), np.int32(n), dst)
+        to = np.where(dst == np.repeat(end_of, count), np.int32(n), dst)
         beta = np.zeros(n + 1)
         left = end_of - np.arange(n, dtype=np.int32)
         nodes = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
@@ -165,16 +205,15 @@ class Pieces:
             if a == z:
                 continue
             group = nodes[a:z]
-            c = self.count[group]
+            c = count[group]
             first = np.cumsum(c, dtype=np.int32) - c
-            e = np.arange(int(c.sum()), dtype=np.int32) + np.repeat(self.begin[group] - first, c)
+            e = np.arange(int(c.sum()), dtype=np.int32) + np.repeat(begin[group] - first, c)
             v = weight[e] + beta[to[e]]
             top = np.maximum.reduceat(v, first)
             own = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, c)), first))
             beta[group] = own
             weight[e] = v - np.repeat(own, c)
-        self.phi = weight
-        self.to, self.id = np.where(to == n, np.int32(-1), to), ids
+        return count, np.where(to == n, np.int32(-1), to), ids, weight
 
     def _spell(self, c: str) -> int:
         """The byte piece of a character of one byte; else a number that stands for its byte pieces."""
@@ -328,7 +367,7 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
                 open_[d].append((float(moved[order[rank + 1]]), source, o, dep, node, rank + 1, parent))
             p_occ, p_depth, p_edge, _ = paths_of[d][source]
             stop = int(np.searchsorted(p_occ, o)) + dep
-            kept = (np.r_[p_occ[:stop], o], np.r_[p_depth[:stop], dep], np.r_[p_edge[:stop], e])
+            kept = tuple(np.concatenate((x[:stop], (y,))) for x, y in ((p_occ, o), (p_depth, dep), (p_edge, e)))
             prefix[d], values[d] = kept, value
             if model.to[e] >= 0:
                 more_occ.append(np.array([o]))
@@ -346,7 +385,7 @@ def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAM
         cuts = np.searchsorted(occ, np.r_[first, len(doc)])
         for d, (a, b, c) in prefix.items():
             s = slice(cuts[d], cuts[d + 1])
-            whole = (np.r_[a, occ[s]], np.r_[b, depth[s]], np.r_[c, edge[s]], 0)
+            whole = (np.concatenate((a, occ[s])), np.concatenate((b, depth[s])), np.concatenate((c, edge[s])), 0)
             paths_of[d][sample] = whole
             found[d].append([whole[2], float(model.phi[whole[2]].sum()), values[d]])
         gather(walk, sample, values)
