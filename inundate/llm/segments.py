@@ -44,8 +44,8 @@ SAMPLES = 2
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CHARS = 1 << 19
-#: Nodes of lattices that a worker keeps (about 20 MB).
-KEPT = 300_000
+#: Nodes of lattices that a worker keeps (about 25 MB).
+KEPT = 400_000
 
 
 BASE, SPREAD, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
@@ -234,14 +234,23 @@ def pieces(path: str) -> Pieces:
 def _uniform(key: np.ndarray) -> np.ndarray:
     """One number in (0, 1) for each 64-bit key (the SplitMix64 finisher)."""
     z = key + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
     z ^= z >> np.uint64(31)
-    return ((z >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+    z >>= np.uint64(11)
+    u = z.astype(float)
+    u += 0.5
+    u *= 1 / (1 << 53)
+    return u
 
 
 def _gumbel(key: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(_uniform(key)))
+    u = _uniform(key)
+    for _ in range(2):
+        np.negative(np.log(u, u), u)
+    return u
 
 
 def _below(top, best, own):
@@ -273,7 +282,10 @@ class Walk:
             rank = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(starts, n)
             edge = rank + np.repeat(begin, n)
             k = key_of[occ] ^ (depth.astype(np.uint64) * P2)
-            own = model.phi[edge] + _gumbel(np.repeat(k, n) + RANKS.take(rank, mode="clip"))
+            own = np.repeat(k, n)
+            own += RANKS.take(rank, mode="clip")
+            own = _gumbel(own)
+            own += model.phi[edge]
             best = np.maximum.reduceat(own, starts)
             won = np.flatnonzero(own == np.repeat(best, n))
             if len(won) > len(starts):  # a tie of variates: the first wins
@@ -300,9 +312,22 @@ class Walk:
         self.rows = [join([r[i] for r in rows], float if i == 1 else np.int64) for i in range(5)]
 
 
+#: What keeps a text from being cut at single spaces and line ends.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", MARK)
+
+
+def cut(text: str) -> list[str]:
+    """The words that no piece reaches beyond, space marks with the word after them."""
+    if not text:
+        return []
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+        return UNIT.findall(MARK + text.replace(" ", MARK))
+    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+
+
 def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAMPLES):
     """For each text, its samples: (ids as two-byte numbers, log-probability, perturbed value, inclusion)."""
-    split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts_]
+    split = [cut(t) for t in texts_]
     model.learn(list(set().union(*split)))  # the order of words changes nothing
     docs = len(texts_)
     sizes = np.fromiter(map(len, split), np.int64, docs)

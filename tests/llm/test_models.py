@@ -148,3 +148,8 @@ def test_inclusion_scores(model):
     assert len(want) > 3 and total == pytest.approx(1.0, abs=0.03)
 
 
+
+
+@pytest.mark.parametrize("text", ["a b\nc d", " a", "a ", "a  b", "\na", "a\n\nb", "a \nb", "a\n b", "x\u2581y z", "one", "\n", " ", "é ü\nß"])
+def test_cut_equals_the_pattern(text):
+    assert segments.cut(text) == segments.UNIT.findall(segments.MARK + text.replace(" ", segments.MARK))
