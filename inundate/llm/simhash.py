@@ -31,7 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import smallest_reachable
@@ -42,29 +42,42 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 6
 TREE = 2048
 SHARD_ROWS = 60_000
-#: Of the pipeline's stage: bits that copies may differ in over four-word shingles, and leaders of a component.
-ORDER_RADIUS, LEADERS = 14, 3
+#: Of the pipeline's stage: bands of least hashes, bits that copies may differ in, and the least hashes (of ``BANDS *
+#: BAND``) that they share at least then, or whatever their bits.
+BANDS, BAND = 14, 4
+ORDER_RADIUS, SHARED, SURE = 14, 28, 42
+#: Members of a component judged in one task; of a larger one so many lead at a time.
+TOGETHER, LEAD_PARTS = 2000, 16
 
 
-def shingle_bits(data: bytes, width: int = SHINGLE) -> int:
-    """The fingerprint over shingles of ``width`` words, unsigned."""
+def _hashes(data: bytes, width: int):
+    """XXH64 of the shingles of ``width`` words, in parts; nothing of a text without words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
     ends = (starts + sizes)[width - 1 :].tolist()
     starts = starts[: len(ends)].tolist()
-    h, n = xxhash.xxh64_intdigest, len(ends)
+    h = xxhash.xxh64_intdigest
+    for i in range(0, len(ends), 65536):
+        yield np.array([h(joined[a:z], SEED) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)], "<u8")
+
+
+def _majority(parts: list[np.ndarray]) -> int:
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        part = [h(joined[a:z], SEED) for a, z in zip(starts[i : i + 65536], ends[i : i + 65536], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    for part in parts:
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > sum(map(len, parts)), bitorder="little").view("<u8")[0])
+
+
+def shingle_bits(data: bytes, width: int = SHINGLE) -> int:
+    """The fingerprint over shingles of ``width`` words, unsigned."""
+    return _majority(list(_hashes(data, width)))
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -81,19 +94,37 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-_WORDS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("order_fp", pa.int64())])
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (over single words) and order_fp (over ``SHINGLE`` words)."""
+def least_hashes(parts: list[np.ndarray]) -> np.ndarray:
+    """The shingles' least values under ``BANDS * BAND`` hash functions."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for part in parts:
+        for i in range(0, len(part), 4096):
+            least = np.minimum(least, (_FACTORS[0][:, None] * part[i : i + 4096] + _FACTORS[1][:, None]).min(1))
+    return least
+
+
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, the fingerprint fp, a byte of each least hash (sig) and the keys of the bands."""
 
     def run(it):
         for b in slices(it):
-            data = [t.encode() for t in b["text"].to_pylist()]
-            found = (np.array([shingle_bits(d, w) for d in data], "<u8").view("<i8") for w in (1, SHINGLE))
-            yield batch(_WORDS, **dict(zip(_WORDS.names, (b["doc_id"], *found), strict=True)))
+            fps, sigs, bands = [], [], []
+            for t in b["text"].to_pylist():
+                parts = list(_hashes(t.encode(), SHINGLE))
+                least = least_hashes(parts)
+                fps.append(_majority(parts))
+                sigs.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
+                bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND))])
+            keys = np.array(bands, "<u8").reshape(-1, BANDS).view("<i8").tolist()
+            yield batch(_SKETCHES, doc_id=b["doc_id"], fp=np.array(fps, "<u8").view("<i8"), sig=sigs, bands=keys)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, order_fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
 
 
 class Forest:
@@ -196,16 +227,20 @@ def _keys(fp):
     return F.explode(F.array(*keys))
 
 
+def _dealt(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, fp, part, low, high): every two parts of a key's fingerprints meet once; ``hot`` has the parts of large keys."""
+    salted = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints of a component; ``prints`` has a durable column fp, distinct."""
     shards = max(1, prints.count() * 15 // SHARD_ROWS)
     keyed = prints.select(_keys(F.col("fp")).alias("key"), "fp")
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    salted = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = met.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    dealt = pairs.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
+    dealt = _dealt(keyed, hot).withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_shard, "a long, b long")
 
 
@@ -228,35 +263,154 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _near(fp: np.ndarray, sig: np.ndarray, other_fp, other_sig) -> np.ndarray:
+    """Whether rows are near copies, by their fingerprints and least hashes."""
+    bits, same = np.bitwise_count(fp ^ other_fp), (sig == other_sig).sum(-1)
+    return (bits <= RADIUS) | (bits <= ORDER_RADIUS) & (same >= SHARED) | (same >= SURE)
+
+
+def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+    return rows["fp"].to_numpy().view(np.uint64), sig
+
+
+def _to_first(group: np.ndarray, fp: np.ndarray, sig: np.ndarray):
+    """Of rows in order of ``group``: each group's first row, by row, and whether the row is near it."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    first = np.repeat(first, np.diff(np.r_[first, len(group)]))
+    return first, np.concatenate([_near(fp[i : i + 8192], sig[i : i + 8192], fp[j], sig[j]) for i in range(0, len(fp), 8192) for j in [first[i : i + 8192]]])
+
+
+def _band_shard(rows: pa.Table) -> pa.Table:
+    """A spanning forest of all near pairs inside each (key, low, high)."""
+    fp, sig = _columns(rows)
+    group = np.unique(np.stack([rows[n].to_numpy() for n in ("key", "low", "high")], 1), axis=0, return_inverse=True)[1].ravel()
+    by = np.argsort(group, kind="stable")
+    group, fp, sig = group[by], fp[by], sig[by]
+    first, near = _to_first(group, fp, sig)
+    a, b = [np.flatnonzero(near)], [first[near]]
+    ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
+    for start in np.unique(first[~near]).tolist():
+        stop = int(ends[np.searchsorted(ends, start, "right")])
+        inside = np.arange(start, stop)
+        known, left = inside[near[start:stop]][1:].tolist(), inside[~near[start:stop]]
+        while len(left):
+            if known:
+                at = known.pop()
+            else:
+                at, left = left[0], left[1:]
+            hit = _near(fp[left], sig[left], fp[at], sig[at])
+            a.append(left[hit])
+            b.append(np.full(hit.sum(), at))
+            known += left[hit].tolist()
+            left = left[~hit]
+    nodes, own = np.unique(fp, return_inverse=True)
+    parent = np.arange(len(nodes))
+    unite(parent, own[np.concatenate(a)], own[np.concatenate(b)])
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return pa.table([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[parent[moved]].view(np.int64))], schema=_LINKS)
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all near fingerprints which share a band; ``nodes`` has durable columns fp, sig and bands, fp distinct."""
+    keyed = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "fp")
+    sizes = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shards = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS)
+    parts = sizes.where(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
+    met = _dealt(keyed.join(sizes.select("key"), "key", "left_semi"), parts).join(nodes.select("fp", "sig"), "fp")
+    dealt = met.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(_band_shard, "a long, b long")
+
+
+JUDGED = "root long, fp long, first_id long, sig binary, lead_id long"
+_JUDGED = pa.schema([("root", pa.int64()), ("fp", pa.int64()), ("first_id", pa.int64()), ("sig", pa.binary()), ("lead_id", pa.int64())])
+
+
+def _judge(rows: pa.Table) -> pa.Table:
+    """Each component's members by first_id: lead_id is the first that stays and is near, null of those that stay."""
+    rows = rows.select(_JUDGED.names[:4]).sort_by([("root", "ascending"), ("first_id", "ascending"), ("fp", "ascending")])
+    fp, sig = _columns(rows)
+    group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1].ravel()
+    first, near = _to_first(group, fp, sig)
+    lead = np.where(near, first, -1)
+    lead[first] = -1
+    left = np.flatnonzero(~near)
+    for part in np.split(left, np.flatnonzero(np.diff(group[left])) + 1):
+        while len(part):
+            at, part = part[0], part[1:]
+            hit = _near(fp[part], sig[part], fp[at], sig[at])
+            lead[part[hit]] = at
+            part = part[~hit]
+    ids = rows["first_id"].to_numpy()
+    return rows.append_column("lead_id", pa.array(ids[lead], mask=lead < 0)).cast(_JUDGED)
+
+
+def _led(key, rows: pa.Table, leads: pa.Table) -> pa.Table:
+    """``rows`` with the first of ``leads`` that each is near."""
+    fp, sig = _columns(rows)
+    lead, mask, left = np.zeros(len(fp), np.int64), np.ones(len(fp), bool), np.arange(len(fp))
+    leads = leads.sort_by("first_id")
+    for one, own, at in zip(*_columns(leads), leads["first_id"].to_pylist(), strict=True):
+        hit = _near(fp[left], sig[left], one, own)
+        lead[left[hit]], mask[left[hit]] = at, False
+        left = left[~hit]
+    return rows.select(_JUDGED.names[:4]).append_column("lead_id", pa.array(lead, mask=mask)).cast(_JUDGED)
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """The ``TOGETHER`` members of least first_id of each root, chosen in parts first."""
+    order = [F.col("first_id"), F.col("fp")]
+    for by in (["root", F.pmod(F.xxhash64("fp"), F.lit(LEAD_PARTS))], ["root"]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= TOGETHER).drop("place")
+    return rows
+
+
+def led(members: DataFrame) -> DataFrame:
+    """(fp, lead_id) of the members (root, fp, first_id, sig; durable) that are near one that stays.
+
+    By first_id, a member stays if none that stays before it is near.  Components of up to
+    ``TOGETHER`` members are judged whole.  In larger ones the least members are judged
+    first, then all others against those that stay, until the rest is small.
+    """
+    columns, found, left = _JUDGED.names[:4], [], members
+    while True:
+        sizes = checkpointed(left.groupBy("root").agg(F.count("*").alias("n")))
+        large = checkpointed(sizes.where(F.col("n") > TOGETHER).select("root", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")))
+        small = left.join(large, "root", "left_anti")
+        some = not large.limit(1).count()
+        shards = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS)
+        heads = small if some else small.unionByName(_least(left.join(large, "root", "left_semi")))
+        judged = checkpointed(heads.withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards))).groupBy("shard").applyInArrow(_judge, JUDGED))
+        found.append(judged.where("lead_id is not null").select("fp", "lead_id"))
+        if some:
+            return reduce(DataFrame.unionByName, found)
+        rest = left.join(large, "root").join(judged.select("fp"), "fp", "left_anti").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        stay = judged.where("lead_id is null").join(large, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest, stay = rest.select(*columns, "part"), stay.select(*columns, "part")
+        after = checkpointed(rest.groupBy("root", "part").cogroup(stay.groupBy("root", "part")).applyInArrow(_led, JUDGED))
+        found.append(after.where("lead_id is not null").select("fp", "lead_id"))
+        left = after.where("lead_id is null").select(*columns)
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id of every near copy of a document that stays.
 
-    At a similarity of 0.8 over five-word shingles the query's fingerprints differ in
-    about 10 bits, too far for trees of radius 4; fingerprints over single words differ
-    in one or two.  Their components hold the candidates.  In each, the least doc_id
-    stays, and those go whose fingerprint over four-word shingles is within
-    ``ORDER_RADIUS`` of it (0.8 lies at about 10 bits, unrelated order far beyond).
-    What it does not cover is looked at again under its own least doc_id, ``LEADERS``
-    times; then only equal fingerprints go.
+    At a similarity of 0.8 over five-word shingles fingerprints differ in about 9 bits,
+    too far for trees of radius 4.  Candidates therefore share a band, ``BAND`` least
+    hashes of the four-word shingles (at 0.8 a pair misses all ``BANDS`` once in 10,000
+    times), or are linked by the trees.  Every pair of candidates is verified by the
+    fingerprints and the shared least hashes; components hold verified pairs only.  In
+    each, by doc_id, a document goes if it is near one that stays.
     """
-    prints = checkpointed(word_fingerprints(docs.where("doc_id is not null")).distinct())
-    roots = checkpointed(components(checkpointed(prints.select("fp").distinct())))
-    members = prints.join(roots, "fp").select("doc_id", "root", "order_fp")
-    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    left = checkpointed(members.join(several, "root"))
-    found = []
-    for _ in range(LEADERS):
-        if not left.limit(1).count():
-            break
-        lead = left.groupBy("root").agg(F.min(F.struct("doc_id", "order_fp")).alias("lead"))
-        judged = checkpointed(left.join(lead, "root").where("doc_id <> lead.doc_id").select(
-            "doc_id", "root", "order_fp", (F.bit_count(F.col("order_fp").bitwiseXOR(F.col("lead.order_fp"))) <= ORDER_RADIUS).alias("near")
-        ))
-        found.append(judged.where("near").select("doc_id"))
-        left = checkpointed(judged.where("not near").drop("near"))
-    equal = left.groupBy("root", "order_fp").agg(F.min("doc_id").alias("first"))
-    found.append(left.join(equal, ["root", "order_fp"]).where("doc_id <> first").select("doc_id"))
-    return reduce(DataFrame.unionByName, found)
+    prints = checkpointed(sketches(docs.where("doc_id is not null")).distinct())
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("first_id"), "x.sig", "x.bands"))
+    stars = smallest_reachable(links(nodes.select("fp")).unionByName(band_links(nodes)))
+    rooted = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
+    members = checkpointed(rooted.join(nodes, "fp").select(*_JUDGED.names[:4]))
+    gone = prints.join(led(members), "fp").where("doc_id <> lead_id").select("doc_id")
+    return gone.unionByName(prints.join(nodes.select("fp", "first_id"), "fp").where("doc_id <> first_id").select("doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -80,6 +80,34 @@ def test_groups_of_near_copies(spark):
     assert len(kept) - 25 <= 0.1 * (len(data) - 26)
 
 
+def edited(rng, words, n=2):
+    copy = list(words)
+    for _ in range(n):
+        copy[rng.randrange(len(copy))] = "changed"
+    return " ".join(copy)
+
+
+def test_every_group_of_a_bag_of_words_goes_but_one(spark):
+    """Texts of the same words in other orders have one word fingerprint; each has copies of its own."""
+    rng = random.Random(11)
+    bag, data = prose(rng, "de", 200).split(), []
+    for g in range(20):
+        rng.shuffle(bag)
+        data += [(g * 10, " ".join(bag))] + [(g * 10 + k, edited(rng, bag)) for k in (1, 2, 3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [g * 10 for g in range(20)]
+
+
+def test_large_components_are_judged_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [prose(rng, "en", 100).split() for _ in range(6)]
+    docs = spark.createDataFrame([(g + 6 * k, edited(rng, base[g], 3 * bool(k))) for g in range(6) for k in range(12)], "doc_id long, text string")
+    want = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    monkeypatch.setattr(simhash, "TOGETHER", 3)
+    monkeypatch.setattr(simhash, "TREE", 4)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want and want[:6] == list(range(6))
+
+
 def test_repeat_stage(tables):
     before, after = rows(tables[2]), rows(tables[3])
     want = cut([(i, r.text) for i, r in before.items()])
