@@ -8,23 +8,25 @@ not fail the base rules and neither distance is over its limit; a histogram with
 fewer than ``MIN_CHARS`` characters or ``MIN_WORDS`` words decides nothing.
 
 References sum the histograms of all documents of a language that pass the base
-rules.  Only the list of common words is fitted on a bounded sample (``FIT_ROWS``
-documents).  Null text is empty (base_failed); null lang adds to no reference;
+rules.  The ``COMMON`` words of a language are those in most of its documents, all
+counted.  Null text is empty (base_failed); null lang adds to no reference;
 repeated rows give repeated rows; with no reference at all (an empty or a tiny
 table) the distances are null and decide nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
-from .common import SPACES, batch, piece, sample, slices, texts
+from .common import SPACES, batch, slices, texts
 
-FIT_ROWS, COMMON = 1500, 40
+COMMON, PARTS = 40, 64
 MIN_CHARS, MIN_WORDS = 200, 60
 MAX_CLASS, MAX_WORD = 0.30, 0.45
 MIN_BASE_WORDS = 50
@@ -80,18 +82,29 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def common_words(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of each language, from the bounded sample."""
-    rows = sample(texts(docs, "lang").where("lang is not null"), FIT_ROWS, "lang", piece(F.col("text")).alias("text"))
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in rows:
-        own = counts.setdefault(r.lang, {})
-        for w in set(x.strip(STRIP) for x in r.text.encode().lower().split()):
-            if w:
-                own[w] = own.get(w, 0) + 1
-    chosen: set[bytes] = set()
-    for own in counts.values():
-        chosen |= {w for w, _ in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:COMMON]}
-    return sorted(chosen)
+    """The words that are in most documents of each language, counted over all documents."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def run(it):
+        held: Counter = Counter()
+
+        def out():
+            return batch(schema, lang=[k[0] for k in held], word=[k[1] for k in held], n=list(held.values()))
+
+        for b in slices(it):
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+                held.update((lang, w) for w in {x.strip(STRIP) for x in text.encode().lower().split()} if w)
+                if len(held) > 300_000:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    known = texts(docs, "lang").where("lang is not null").mapInArrow(run, "lang string, word binary, n long")
+    rows = known.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    for by in (["lang", F.pmod(F.xxhash64("word"), F.lit(PARTS))], ["lang"]):  # no language's words meet in one task
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON).drop("place")
+    return sorted({bytes(r.word) for r in rows.select("word").collect()})  # languages x COMMON
 
 
 FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, base_failed boolean, hist binary"

@@ -51,6 +51,13 @@ def test_odd_distribution_is_rejected(spark):
     assert all(kept[i] for i, _, _ in clean) and not any(kept[i] for i, _, _ in noisy)
 
 
+def test_common_words_of_a_rare_language(spark):
+    """Three documents among 4,000, whose words come after the first 4,000 characters."""
+    data = [(i, "alpha beta", "en") for i in range(4000)] + [(5000 + i, "x " * 3000 + "rara palabra", "es") for i in range(3)]
+    got = quality.common_words(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert got == [b"alpha", b"beta", b"palabra", b"rara", b"x"]
+
+
 def test_divergence_bounds():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0.0, 1.0])
     d = quality.divergence(p, q)
