@@ -3,30 +3,38 @@
 Every source is a queue of token ids.  A window is one sequence of 4,096 tokens;
 in each, every queue earns its share of the window, takes the whole tokens it has
 earned and carries the rest; tokens still free go around the ring, one each, to
-the queues that are owed most.  The shares are the queues' shares of all tokens,
-so all queues run out together and every window holds the target mixture.
-
-The same round-robin runs at two levels.  Over blocks of windows it runs once on
-the driver (at most ``MAX_BLOCKS`` blocks); inside a block it runs where the
-block's documents are.  A block's allotment is whole tokens per queue, so deficits
-are carried across windows and, through the blocks, across partitions, and no
-task needs what another has packed.  Documents are cut where a window's share
-ends.  The last window's tokens are parted into sequences of powers of two, which
-need no padding.
+the queues that are owed most (of queues owed alike, to the first by name).  The
+shares are the queues' shares of all tokens, so all queues run out together and
+every window holds the target mixture.
+
+The same round-robin runs at every level of a tree of blocks, each of up to
+``FAN`` blocks or windows: a block's allotment is whole tokens per queue, so
+deficits are carried across windows and, through the blocks, across partitions,
+and no task needs what another has packed.  The totals alone go to the tasks,
+which work out the blocks on the way to their documents' windows.  Documents are
+cut where a window's share ends.  The last window's tokens are parted into
+sequences of powers of two, which need no padding.
+
+The ``QUEUES`` sources of most tokens have a queue each.  All others, each of
+less than a window's ``1 / QUEUES``, share one queue more, in which they are
+interleaved by weighted fair queueing: a document's place is its start's share of
+its source's tokens, so every stretch of that queue holds the small sources in
+their proportions too.  The output names the true source throughout.
 
 Queue order is (scan partition, row).  Token ids are kept once, two bytes each, in
-a checkpoint; positions follow from one small table of token counts by partition
-and queue.  Null text is empty (its one token is the end mark), null source is a
-queue of its own, repeated rows are packed as often as they occur, an empty table
-gives no pieces.  Sources beyond ``MAX_QUEUES`` share queues by hash.
+a checkpoint; positions follow from a table of token counts by partition and
+source.  Null text is empty (its one token is the end mark), null source is a
+queue of its own (with the empty name), repeated rows are packed as often as they
+occur, an empty table gives no pieces, other columns are left behind whatever
+their names, and a very long text fills as many windows as it needs.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from bisect import bisect_right
+from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +48,11 @@ from .common import batch, slices, texts
 
 WINDOW, END_ID = 4096, 2
 END = np.array([END_ID], "<u2").tobytes()
-MAX_QUEUES, BLOCK_WINDOWS, MAX_BLOCKS = 256, 512, 4096
+QUEUES, FAN = 255, 512
+#: Blocks whose plan a task keeps.
+HELD = 12
+#: Tokens of one of the stretches of the shared queue in which documents are put in order, and stretches counted together.
+POOL_TOKENS, TOGETHER = 2_000_000, 4096
 #: Rows of the table of counts by partition and queue up to which it is sent to all executors; a larger one is joined.
 SENT_ROWS = 200_000
 #: Words whose ids a worker keeps.
@@ -163,40 +175,60 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
+class Block:
+    """Each queue's cumulative tokens by child (blocks or windows) and, of windows, where in each its tokens begin."""
+
+    def __init__(self, cum: np.ndarray, first: int):
+        self.cum, self.first = cum, first
+        self.held: dict[int, tuple[list, list]] = {}
+
+    def of(self, queue: int) -> tuple[list, list]:
+        if queue not in self.held:
+            before = np.diff(self.cum[:, :queue].sum(1))
+            self.held[queue] = self.cum[:, queue].tolist(), before.tolist()
+        return self.held[queue]
+
+
 class Plan:
     """Where each token of each queue goes."""
 
     def __init__(self, totals: np.ndarray):
         self.totals = np.asarray(totals, np.int64)
         self.full, self.rest = divmod(int(self.totals.sum()), WINDOW)
-        windows = self.full + (self.rest > 0)
-        self.per = max(BLOCK_WINDOWS, -(-windows // MAX_BLOCKS))
-        self.blocks = round_robin(self.totals, WINDOW * self.per)
-        self.starts = self.blocks.T.tolist()
-        self.held: dict[int, tuple[list, list]] = {}
-
-    def block(self, b: int):
-        """Block ``b``: each queue's cumulative tokens by window, counted from the queues' starts, and where
-        in the window its tokens begin (both as lists, by queue)."""
-        if b not in self.held:
-            if len(self.held) > 8:
-                self.held.clear()
-            cum = self.blocks[b] + round_robin(self.blocks[b + 1] - self.blocks[b], WINDOW)
-            took = np.diff(cum, axis=0)
-            self.held[b] = cum.T.tolist(), (np.cumsum(took, 1) - took).T.tolist()
-        return self.held[b]
+        self.spans = [1]  # windows of a block's children, by level
+        while self.spans[-1] * FAN < self.full + (self.rest > 0):
+            self.spans.append(self.spans[-1] * FAN)
+        self.held: OrderedDict[tuple[int, int], Block] = OrderedDict()
+
+    def _block(self, level: int, first: int, start: np.ndarray, totals: np.ndarray) -> Block:
+        if (level, first) not in self.held:
+            if len(self.held) >= HELD:
+                self.held.popitem(last=False)
+            self.held[level, first] = Block(start + round_robin(totals, WINDOW * self.spans[level]), first)
+        self.held.move_to_end((level, first))
+        return self.held[level, first]
+
+    def leaf(self, queue: int, at: int) -> Block:
+        """The block of windows that holds token ``at`` of ``queue``."""
+        level = len(self.spans) - 1
+        block = self._block(level, 0, np.zeros_like(self.totals), self.totals)
+        while level:
+            child = bisect_right(block.of(queue)[0], at) - 1
+            first, level = block.first + child * self.spans[level], level - 1
+            block = self._block(level, first, block.cum[child], block.cum[child + 1] - block.cum[child])
+        return block
 
     def pieces(self, queue: int, start: int, n: int):
         """(start in the document, length, sequence, offset) of the document at ``start`` of ``queue``."""
         at, end = start, start + n
         while at < end:
-            b = bisect_right(self.starts[queue], at) - 1
-            cum, before = (x[queue] for x in self.block(b))
+            block = self.leaf(queue, at)
+            cum, before = block.of(queue)
             w = bisect_right(cum, at) - 1
             while at < end and w < len(before):
                 stop = min(end, cum[w + 1])
                 if stop > at:
-                    offset, sequence = before[w] + at - cum[w], b * self.per + w
+                    offset, sequence = before[w] + at - cum[w], block.first + w
                     if sequence < self.full:
                         yield at - start, stop - at, sequence, offset
                     else:
@@ -224,7 +256,6 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def run(it):
         part, taken, vocabulary = TaskContext.get().partitionId(), {}, tokens(path)
-        gc.disable()  # there are no cycles to find, and a million cached words to look through
         for b in slices(it, 1 << 20):
             rows = []
             for doc, ids, queue in zip(b["doc_id"].to_pylist(), vocabulary.encode_batch(b["text"].to_pylist()), b["queue"].to_pylist(), strict=True):
@@ -232,38 +263,71 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((doc, queue, part, taken.get(queue, 0), n, ids))
                 taken[queue] = taken.get(queue, 0) + n
             yield batch(_IDS, **dict(zip(_IDS.names, zip(*rows, strict=True), strict=True)))
-        gc.enable()
 
     return docs.mapInArrow(run, IDS)
 
 
+PLACED = ("doc_id", "queue", "part", "start", "before", "n", "ids")
+
+
+def interleaved(ids: DataFrame, offsets: DataFrame, totals: DataFrame, tokens_: int) -> DataFrame:
+    """The rows of the sources in ``totals`` as one queue, every source spread evenly over its length.
+
+    A row's place is where its source's tokens have come to, as a share of them all.
+    Rows are ordered inside stretches of equal length of the places, which hold about
+    ``POOL_TOKENS`` each; the stretches' own starts are sums of sums.
+    """
+    stretches = max(1, -(-tokens_ // POOL_TOKENS))
+    offset = F.pmod(F.xxhash64("queue"), F.lit(1 << 20)) / F.lit(float(1 << 20))  # else all sources of one document were first
+    place = (F.col("before") + F.col("start") + offset * F.col("n")) / F.col("total")
+    spread = ids.join(offsets, ["part", "queue"]).join(totals, "queue").withColumn("place", place)
+    spread = spread.withColumn("stretch", F.least(F.floor(F.col("place") * stretches), F.lit(stretches - 1)))
+    sums = checkpointed(spread.groupBy("stretch").agg(F.sum("n").alias("n")).withColumn("together", F.floor(F.col("stretch") / TOGETHER)))
+    inside = F.sum("n").over(Window.partitionBy("together").orderBy("stretch")) - F.col("n")
+    base, at = [], 0
+    for r in sums.groupBy("together").agg(F.sum("n").alias("n")).orderBy("together").collect():  # one row for 8 billion tokens
+        base.append((r["together"], at))
+        at += r["n"]
+    known = ids.sparkSession.createDataFrame(base, "together long, base long")
+    starts = sums.withColumn("inside", inside).join(F.broadcast(known), "together").select("stretch", (F.col("base") + F.col("inside")).alias("base"))
+    order = Window.partitionBy("stretch").orderBy("place", "queue", "before", "start")
+    rows = spread.withColumn("own", F.sum("n").over(order) - F.col("n")).join(starts, "stretch")
+    return rows.select("doc_id", "queue", "part", F.col("own").alias("start"), F.col("base").alias("before"), "n", "ids")
+
+
 def pack(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence."""
-    rows = texts(docs, F.coalesce("source", F.lit("")).alias("queue"))
-    if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    ids = checkpointed(tokenize(rows, path))
+    ids = checkpointed(tokenize(texts(docs, F.coalesce("source", F.lit("")).alias("queue")), path))
     counts = checkpointed(ids.groupBy("part", "queue").agg(F.sum("n").alias("n")))
-    totals = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
-    names = sorted(totals)
+    totals = counts.groupBy("queue").agg(F.sum("n").alias("total"))
+    large = {r.queue: r.total for r in totals.orderBy(F.desc("total"), "queue").limit(QUEUES).collect()}
+    names = sorted(large)
+    whole = [large[q] for q in names]
+    pooled = (counts.agg(F.sum("n")).first()[0] or 0) - sum(whole)
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")
     offsets = counts.select("part", "queue", before.alias("before"))
+    of_large = F.col("queue").isin(names)
+    own = ids.where(of_large) if pooled else ids
     if counts.count() <= SENT_ROWS:
         known = {(r.part, r.queue): r.before for r in offsets.collect()}
-        placed = ids.withColumn("before", F.lit(None).cast("long"))
+        placed = own.withColumn("before", F.lit(None).cast("long"))
     else:
         known = {}
-        placed = ids.join(offsets, ["part", "queue"])
-    placed = placed.select("doc_id", "queue", "part", "start", "before", "n", "ids")
-    sent = ids.sparkSession.sparkContext.broadcast((Plan(np.array([totals[q] for q in names], np.int64)), {q: i for i, q in enumerate(names)}, known))
+        placed = own.join(offsets, ["part", "queue"])
+    placed = placed.select(*PLACED)
+    if pooled:
+        placed = placed.unionByName(interleaved(ids.where(~of_large), offsets, totals.where(~of_large), pooled).select(*PLACED))
+        whole.append(pooled)
+    sent = ids.sparkSession.sparkContext.broadcast((Plan(np.array(whole, np.int64)), {q: i for i, q in enumerate(names)}, known))
 
     def run(it):
         plan, number, known = sent.value
+        shared = len(number)
         for b in slices(it, 1 << 20, "ids"):
             out = []
-            for doc, queue, part, start, before, n, blob in zip(*(b[x].to_pylist() for x in ("doc_id", "queue", "part", "start", "before", "n", "ids")), strict=True):
+            for doc, queue, part, start, before, n, blob in zip(*(b[x].to_pylist() for x in PLACED), strict=True):
                 ids = np.frombuffer(blob, "<u2").astype("<u4").tobytes()
-                for s, length, sequence, offset in plan.pieces(number[queue], start + (known[part, queue] if before is None else before), n):
+                for s, length, sequence, offset in plan.pieces(number.get(queue, shared), start + (known[part, queue] if before is None else before), n):
                     out.append((doc, s, length, zlib.crc32(ids[4 * s : 4 * (s + length)]), n, sequence, offset, queue))
             if out:
                 yield batch(_PIECES, **dict(zip(_PIECES.names, zip(*out, strict=True), strict=True)))

@@ -280,8 +280,13 @@ def test_cache_that_starts_anew(monkeypatch):
         assert np.frombuffer(own.encode_batch([text])[0], "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
-def test_pieces(spark):
+@pytest.mark.parametrize("queues", [255, 2, 0])
+def test_pieces(spark, monkeypatch, queues):
+    monkeypatch.setattr(packing, "QUEUES", queues)
+    monkeypatch.setattr(packing, "POOL_TOKENS", 3000)
+    monkeypatch.setattr(packing, "TOGETHER", 3)
     docs = documents(spark, n=90)
+    sources = {r.doc_id: r.source or "" for r in docs.collect()}
     lib = Tokenizer.from_file(TOKENIZER)
     ids = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     at, seqs = defaultdict(list), defaultdict(list)
@@ -289,6 +294,7 @@ def test_pieces(spark):
         own = ids[p.doc_id][p.start : p.start + p.length]
         assert len(own) == p.length and p.doc_tokens == len(ids[p.doc_id])
         assert p.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+        assert p.source == sources[p.doc_id]
         at[p.doc_id].append((p.start, p.length))
         seqs[p.sequence_id].append((p.offset, p.length))
     for i, own in ids.items():
@@ -315,7 +321,8 @@ def test_round_robin_keeps_the_mixture():
 
 
 def test_blocks_meet(monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_WINDOWS", 3)
+    monkeypatch.setattr(packing, "FAN", 3)
+    monkeypatch.setattr(packing, "HELD", 2)
     totals = np.array([90_001, 7, 40_000])
     plan, used = packing.Plan(totals), defaultdict(list)
     for q, t in enumerate(totals):
@@ -373,6 +380,23 @@ def test_next_lower(spark):
     assert got == {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
 
 
+def test_many_sources_keep_their_mixture(spark, monkeypatch):
+    """Small sources share a queue and still have their part of every stretch of sequences."""
+    monkeypatch.setattr(packing, "QUEUES", 1)
+    monkeypatch.setattr(packing, "POOL_TOKENS", 5000)
+    rng = random.Random(3)
+    data = [(i, prose(rng, "en", 60), "large" if i % 2 else f"small{i % 7}") for i in range(1400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").orderBy("source").repartitionByRange(4, "source")
+    took = defaultdict(Counter)
+    for p in packing.pack(docs, TOKENIZER).collect():
+        took[p.sequence_id][p.source] += p.length
+    whole = sum(took.values(), Counter())
+    first, total = sum((took[i] for i in range(8)), Counter()), sum(whole.values())
+    assert len(took) > 16 and len(whole) == 8
+    for source, n in whole.items():
+        assert abs(first[source] / (8 * 4096) - n / total) < 0.02
+
+
 def test_joined_offsets_equal_sent_ones(spark, monkeypatch):
     docs = documents(spark, n=40)
     sent = sorted(map(tuple, packing.pack(docs, TOKENIZER).collect()), key=str)
