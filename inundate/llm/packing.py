@@ -31,14 +31,16 @@ their names, and a very long text fills as many windows as it needs.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_right
 from collections import OrderedDict
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,83 +57,191 @@ HELD = 12
 POOL_TOKENS, TOGETHER = 2_000_000, 4096
 #: Rows of the table of counts by partition and queue up to which it is sent to all executors; a larger one is joined.
 SENT_ROWS = 200_000
-#: Words whose ids a worker keeps.
-CACHE = 300_000
-
-#: Texts of these characters alone are cut into words here; others go to the library whole.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
-#: The tokenizer file's own pre-token pattern (a fixed value), spelled for those characters.
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Words whose ids a worker keeps, the first it meets (most of the common ones are among them).
+KEPT = 300_000
+#: Bytes of a word beyond which the library spells it.
+LONG = 64
+
+#: Texts with any other character go to the library whole (as do those that may hold a special token).
+PLAIN = r"\t\n\r\x20-\x7e\x{a1}-\x{b1}\x{b4}-\x{b8}\x{ba}\x{bb}\x{bf}-\x{12f}\x{131}-\x{17f}"
+#: The tokenizer file's own pre-token pattern (a fixed value).
+PRETOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|[\pL]+|[\pN]|[^\s\pL\pN]+)"
 #: A stop or comma that belongs to a longer run of marks.
-RUN = re.compile(r"(?:[^\w\s]|_)[.,](?=\s)")
+RUN = r"[^\pL\pN\s][.,]\s"
+
+
+class Merges:
+    """Byte-pair merges of many words at a time, as the vocabulary file orders them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, mark = model["vocab"], model["end_of_word_suffix"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; others are moved up
+        names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+        self.inner = np.array([vocab[names[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[names[b] + mark] for b in range(256)], np.int32)
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)  # by rank
+        self.none = len(pairs)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank = keys[order], order.astype(np.int32)
+        every = np.repeat(self.inner, 256), np.tile(self.inner, 256)
+        self.pairs = self._ranks(*every).astype(np.int32).reshape(256, 256)  # of two bytes inside a word
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 16 | b
+        place = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
+        return np.where(self.keys[place] == key, self.rank[place], self.none)
+
+    def spell(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ``sizes`` bytes (one at least), and each word's number of ids.
+
+        In each, the pair of least rank, leftmost of equals, is merged until none is left.
+        """
+        ends = np.cumsum(sizes)
+        sym = self.inner[data]
+        sym[ends - 1] = self.final[data[ends - 1]]
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        rank = np.empty(len(sym), np.int32)
+        rank[:-1] = self.pairs[data[:-1], data[1:]]
+        before = ends[sizes > 1] - 2  # the last pair of each word
+        rank[before] = self._ranks(sym[before], sym[before + 1])
+        rank[ends - 1] = self.none
+        first = ends - sizes
+        done, n_ids = [], np.empty(len(sizes), np.int64)
+        while len(sym):
+            least = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(sym)), first)
+            at = least & 0xFFFFFFFF
+            on = least >> 32 < self.none
+            length = np.diff(np.r_[first, len(sym)])
+            if not on.all():  # whole words leave
+                n_ids[word[first[~on]]] = length[~on]
+                stay = np.repeat(on, length)
+                done.append((word[~stay], sym[~stay]))
+                at = at[on] - (first - np.r_[0, np.cumsum(length * on)[:-1]])[on]
+                word, sym, rank, length = word[stay], sym[stay], rank[stay], length[on]
+                if not len(sym):
+                    break
+            sym[at] = self.made[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # each word before has lost one
+            word, sym, rank = word[keep], sym[keep], rank[keep]
+            length -= 1
+            stops = np.cumsum(length)
+            first = stops - length
+            rank[at] = self.none
+            right, left = at[at + 1 < stops], at[at > first]
+            ranks = self._ranks(sym[np.r_[right, left - 1]], sym[np.r_[right + 1, left]])
+            rank[right], rank[left - 1] = ranks[: len(right)], ranks[len(right) :]
+        word, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+        return sym[np.argsort(word, kind="stable")], n_ids
 
 
 class Tokens:
-    """Ids of the vocabulary file, equal to the library's, with a bounded cache of words.
+    """Ids of the vocabulary file, equal to the library's.
 
-    Ids are two little-endian bytes each.  Only words that were not seen before go to
-    the library, all of a batch in one call; stops and commas are set apart first, so
-    that a word is known whatever follows it.
+    Ids are two little-endian bytes each.  Texts are cut into words column-wise and
+    each different word of a batch is looked up once; stops and commas are set apart
+    first, so that a word is known whatever follows it.  Words that were not seen
+    before are merged together.  Very long words, and texts with characters that the
+    library would normalize, go to it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        vocab = self.lib.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _cut(self, text: str) -> list[str] | None:
-        if "<|" in text or PLAIN.fullmatch(text) is None:
-            return None
-        low = text.lower() + " "
-        if RUN.search(low) is None:
-            low = low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
-        return low.split()
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
-        single = [w for w in missing if w.isalpha()]
-        others = [(w, PRETOKEN.findall(w)) for w in missing if not w.isalpha()]
-        new = single + sorted({p for _, parts in others for p in parts} - self.words.keys() - set(single))
-        if new:
-            ids = np.array(self.lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
-            ends = (2 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            blob = ids.tobytes()
-            if len(ends) == len(new):
-                self.words.update(zip(new, [blob[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
-            else:  # a pre-token that is not one word to the library
-                self.words.update((p, self._whole(p)) for p in new)
-        known = self.words
-        for w, parts in others:
-            known[w] = b"".join([known[p] for p in parts])
-
-    def encode_batch(self, texts_: list[str]) -> list[bytes]:
-        split = [self._cut(t) for t in texts_]
-        found = [None if s is None else list(map(self.words.get, s)) for s in split]
-        holes, missing = [], set()
-        for s, f in zip(split, found, strict=True):
-            own = []
-            if f is not None:
-                at = -1
-                for _ in range(f.count(None)):
-                    at = f.index(None, at + 1)
-                    own.append(at)
-                missing.update([s[i] for i in own])
-            holes.append(own)
-        if missing:
-            self._learn(list(missing))
-            known = self.words
-            for s, f, own in zip(split, found, holes, strict=True):
-                for i in own:
-                    f[i] = known[s[i]]
-        return [self._whole(t) if f is None else b"".join(f) for t, f in zip(texts_, found, strict=True)]
+        self.lib, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, "<u2"), np.zeros(0, np.int64)  # of the words that stay, in order
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def _spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, of one digit or of marks alone, and each one's number of ids (of the empty word none)."""
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        short = (sizes > 0) & (sizes <= LONG)
+        some, ids, n = words.filter(pa.array(short)), np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        if len(some):
+            places = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+            data = np.frombuffer(some.buffers()[2], np.uint8)[places[0] : places[-1]]
+            ids, n[short] = self.merges.spell(data, sizes[short])
+        if (sizes <= LONG).all():
+            return ids, n
+        stops = np.cumsum(n)
+        got = [self._whole(words[i].as_py()) if size > LONG else ids[a:z] for i, (size, a, z) in enumerate(zip(sizes.tolist(), (stops - n).tolist(), stops.tolist(), strict=True))]
+        return np.concatenate(got), np.array(list(map(len, got)), np.int64)
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are not known, and each one's number of ids."""
+        alone = pc.utf8_is_alpha(words)
+        mixed = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(words.filter(pc.invert(alone)), PRETOKEN, r"\1 ")))
+        parts = mixed.flatten().dictionary_encode()
+        alone = alone.to_numpy(zero_copy_only=False)
+        ids, n = self._spelled(pa.concat_arrays([words.filter(pa.array(alone)), parts.dictionary]))
+        n_alone = int(alone.sum())
+        # a word's parts by number: itself, or what it was cut into
+        counts = np.ones(len(words), np.int64)
+        counts[~alone] = np.diff(mixed.offsets.to_numpy())
+        which = np.empty(int(counts.sum()), np.int64)
+        of_alone = np.repeat(alone, counts)
+        which[of_alone] = np.arange(n_alone)
+        which[~of_alone] = parts.indices.to_numpy() + n_alone
+        total = np.r_[0, np.cumsum(n[which])]
+        return gathered(ids.astype("<u2"), n, which), np.diff(total[np.r_[0, np.cumsum(counts)]])
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their number by word, and the place of each of ``words`` (all different) among these."""
+        names = words.to_pylist()
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.ids, self.sizes, place
+        ids, sizes = self._new(words.take(pa.array(new)))
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        place[new] = np.arange(len(self.sizes), len(sizes))
+        if len(sizes) <= KEPT:
+            self.known.update(zip([names[i] for i in new.tolist()], place[new].tolist(), strict=True))
+            self.ids, self.sizes = ids, sizes
+        return ids, sizes, place
+
+    def _plain(self, column: pa.Array) -> list[bytes]:
+        low = pc.binary_join_element_wise(pc.utf8_lower(column), "", " ")
+        apart = low
+        for mark in ".,":
+            for after in " \n":
+                apart = pc.replace_substring(apart, mark + after, f" {mark}{after}")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(low, RUN), low, apart))
+        coded = split.flatten().dictionary_encode()
+        ids, sizes, place = self._looked_up(coded.dictionary)
+        which = place[coded.indices.to_numpy()]
+        cuts = split.offsets.to_numpy()
+        blob = gathered(ids, sizes, which).tobytes()
+        stops = (2 * np.r_[0, np.cumsum(sizes[which])][cuts - cuts[0]]).tolist()
+        return [blob[a:z] for a, z in zip(stops, stops[1:], strict=False)]
+
+    def encode_batch(self, texts_) -> list[bytes]:
+        column = texts_ if isinstance(texts_, pa.Array) else pa.array(texts_, pa.string())
+        odd = pc.or_(pc.match_substring(column, "<|"), pc.match_substring_regex(column, f"[^{PLAIN}]")).to_numpy(zero_copy_only=False)
+        plain = iter(self._plain(column.filter(pa.array(~odd))) if not odd.all() else ())
+        return [self._whole(column[i].as_py()).tobytes() if x else next(plain) for i, x in enumerate(odd.tolist())]
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """The ids of the words numbered ``which``, one after another."""
+    begin = np.cumsum(sizes) - sizes
+    out = [ids[:0]]
+    for a in range(0, len(which), step):
+        w = which[a : a + step]
+        n = sizes.take(w)
+        stops = np.cumsum(n)
+        at = np.repeat(begin.take(w) - stops + n, n)
+        at += np.arange(len(at))
+        out.append(ids.take(at))
+    return np.concatenate(out)
 
 
 @lru_cache(1)
@@ -256,9 +366,9 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def run(it):
         part, taken, vocabulary = TaskContext.get().partitionId(), {}, tokens(path)
-        for b in slices(it, 1 << 20):
+        for b in slices(it):
             rows = []
-            for doc, ids, queue in zip(b["doc_id"].to_pylist(), vocabulary.encode_batch(b["text"].to_pylist()), b["queue"].to_pylist(), strict=True):
+            for doc, ids, queue in zip(b["doc_id"].to_pylist(), vocabulary.encode_batch(b["text"]), b["queue"].to_pylist(), strict=True):
                 ids, n = ids + END, len(ids) // 2 + 1
                 rows.append((doc, queue, part, taken.get(queue, 0), n, ids))
                 taken[queue] = taken.get(queue, 0) + n

@@ -273,13 +273,28 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(ids, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
-def test_cache_that_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 5)
+def test_words_beyond_those_kept(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 5)
     own, lib = packing.Tokens(TOKENIZER), Tokenizer.from_file(TOKENIZER)
-    for text in ["the cat sat on a mat", "a dog and the cat ran", "one two three four five six seven"]:
+    for text in ["the cat sat on a mat", "a dog and the cat ran", "one two three four five six seven", "the " + "longer" * 30 + " dog, ran."]:
         assert np.frombuffer(own.encode_batch([text])[0], "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_odd_characters_equal_the_library():
+    own, lib, rng = packing.Tokens(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(5)
+    every = [chr(c) for c in [9, 10, 11, 12, 13, 0x1C, *range(32, 127), 0x85, *range(0xA0, 0x181), 0x301, 0x3000]]
+    texts = ["".join(rng.choices(every if i % 3 == 0 else every[:102] if i % 3 == 1 else list(" .,ab's\n_-1<|"), k=rng.randint(0, 60))) for i in range(3000)]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_equal_pairs_merge_leftmost_first():
+    own, lib = packing.Tokens(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["aaaaaaa", "ananananan", "thththth in", "a", "!!!!!!!", "inininin"]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("queues", [255, 2, 0])
 def test_pieces(spark, monkeypatch, queues):
     monkeypatch.setattr(packing, "QUEUES", queues)
