@@ -195,7 +195,7 @@ class Tokens:
 
     def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, their number by word, and the place of each of ``words`` (all different) among these."""
-        names = words.to_pylist()
+        names = words.to_numpy(zero_copy_only=False).tolist()
         place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(place < 0)
         if not len(new):

@@ -31,10 +31,11 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,9 @@ from .common import batch, slices, texts
 SAMPLES = 2
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-CHARS = 1 << 19
-#: Nodes of lattices that a worker keeps (about 25 MB).
-KEPT = 400_000
+CHARS = 1 << 21
+#: Nodes of lattices that a worker keeps (about 60 MB).
+KEPT = 1_000_000
 
 
 BASE, SPREAD, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
@@ -98,7 +99,6 @@ class Pieces:
         starts = np.array(sorted({ord(x[0]) for x in ids}), np.uint64) + np.uint64(1)
         self.single[starts.astype(np.int64)] = self._find(starts)
         self.unit: dict[str, int] = {}
-        self.passing: list[str] = []
         self.nodes = self.edges = 0
         self.count, self.begin, self.to, self.id, self.phi = (np.zeros(0, k) for k in ("i4", "i4", "i4", "i4", "f8"))
         self.spelled: dict[str, int] = {}  # a character without a piece: a number from ``size`` on
@@ -122,28 +122,30 @@ class Pieces:
             todo = todo[~hit & (place + 1 < end[todo])]
         return out
 
-    def learn(self, units: list[str]) -> None:
-        """Lattices of the words: a node for each place, edges with their share of all ways on from the node.
+    def learn(self, units: list[str]) -> np.ndarray:
+        """The first node of each word's lattice (words all different): a node for each place, edges with their share
+        of all ways on from the node.
 
         The words met first stay, up to ``KEPT`` nodes, as most of the common ones are
-        among them; the others' lattices last for one batch.
+        among them; the others' lattices last until the next call.
         """
-        for u in self.passing:
-            del self.unit[u]
-        new = [u for u in units if u not in self.unit]
+        first = np.fromiter(map(self.unit.get, units, repeat(-1)), np.int32, len(units))
+        missing = np.flatnonzero(first < 0)
+        new = [units[i] for i in missing.tolist()]
         count, to, ids, phi = self._lattices(new)
-        n, e, base, first = len(count), len(to), self.nodes, self.edges
-        self._reserve(base + n, first + e)
+        n, e, base, edge = len(count), len(to), self.nodes, self.edges
+        self._reserve(base + n, edge + e)
         self.count[base : base + n] = count
-        self.begin[base : base + n] = np.cumsum(count, dtype=np.int32) - count + first
-        self.to[first : first + e] = np.where(to >= 0, to + base, -1)
-        self.id[first : first + e] = ids
-        self.phi[first : first + e] = phi
+        self.begin[base : base + n] = np.cumsum(count, dtype=np.int32) - count + edge
+        self.to[edge : edge + e] = np.where(to >= 0, to + base, -1)
+        self.id[edge : edge + e] = ids
+        self.phi[edge : edge + e] = phi
         sizes = np.fromiter(map(len, new), np.int64, len(new))
-        self.unit.update(zip(new, (np.cumsum(sizes) - sizes + base).tolist(), strict=True))
-        self.passing = new
+        first[missing] = np.cumsum(sizes) - sizes + base
         if base + n <= KEPT:
-            self.passing, self.nodes, self.edges = [], base + n, first + e
+            self.unit.update(zip(new, first[missing].tolist(), strict=True))
+            self.nodes, self.edges = base + n, edge + e
+        return first
 
     def _reserve(self, nodes: int, edges: int) -> None:
         for names, size in ((("count", "begin"), nodes), (("to", "id", "phi"), edges)):
@@ -313,27 +315,31 @@ class Walk:
 
 
 #: What keeps a text from being cut at single spaces and line ends.
-UNEVEN = ("  ", "\n\n", " \n", "\n ", MARK)
+UNEVEN = f"  |\n\n| \n|\n |{MARK}|^[ \n]|[ \n]$|^$"
 
 
-def cut(text: str) -> list[str]:
-    """The words that no piece reaches beyond, space marks with the word after them."""
-    if not text:
-        return []
-    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
-        return UNIT.findall(MARK + text.replace(" ", MARK))
-    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+def cut(column: pa.Array) -> pa.ListArray:
+    """Each text's words that no piece reaches beyond, space marks with the word after them."""
+    uneven = pc.match_substring_regex(column, UNEVEN)
+    marked = pc.replace_substring(pc.replace_substring(column.filter(pc.invert(uneven)), " ", " " + MARK), "\n", " \n ")
+    even = pc.split_pattern(pc.binary_join_element_wise(MARK, marked, ""), " ")
+    odd = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in column.filter(uneven).to_pylist()]
+    if not odd:
+        return even
+    order = np.argsort(uneven.to_numpy(zero_copy_only=False), kind="stable")
+    both = pa.concat_arrays([even, pa.array(odd, even.type)])
+    return both.take(pa.array(np.argsort(order)))
 
 
-def sample_batch(model: Pieces, keys: list[int], texts_: list[str], k: int = SAMPLES):
+def sample_batch(model: Pieces, keys: list[int], texts_, k: int = SAMPLES):
     """For each text, its samples: (ids as two-byte numbers, log-probability, perturbed value, inclusion)."""
-    split = [cut(t) for t in texts_]
-    model.learn(list(set().union(*split)))  # the order of words changes nothing
+    split = cut(texts_ if isinstance(texts_, pa.Array) else pa.array(texts_, pa.string()))
+    coded = split.flatten().dictionary_encode()
     docs = len(texts_)
-    sizes = np.fromiter(map(len, split), np.int64, docs)
+    sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(docs), sizes)
-    node0 = np.array(list(map(model.unit.__getitem__, chain.from_iterable(split))), np.int32)
+    node0 = model.learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
     place = np.arange(len(doc)) - first[doc] if len(doc) else np.zeros(0, np.int64)
     row_key = np.array([x & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64) * P1
     top = _gumbel(row_key ^ P2)
@@ -443,17 +449,24 @@ def _siblings(model: Pieces, key, depth: int, node: int, top: float):
     return own, _below(top, own.max(), own)
 
 
-def decoded(model: Pieces, ids: bytes) -> bytes:
-    """The text's bytes: the pieces' one after another, space marks as spaces, without the leading one."""
-    i = np.frombuffer(ids, "<u2")
-    sizes = model.sizes[i]
-    ends = np.cumsum(sizes)
-    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat(model.places[i] - (ends - sizes), sizes)
-    return model.spelled_out[at].tobytes()[1:]
+def decoded(model: Pieces, several: list[bytes]) -> list[bytes]:
+    """The texts' bytes: the pieces' one after another, space marks as spaces, without the leading one."""
+    i = np.frombuffer(b"".join(several), "<u2")
+    out = []
+    for a in range(0, len(i), 1 << 14):
+        own = i[a : a + (1 << 14)]
+        sizes = model.sizes[own]
+        ends = np.cumsum(sizes)
+        at = np.repeat(model.places[own] - (ends - sizes), sizes).astype(np.int64)
+        at += np.arange(len(at))
+        out.append(model.spelled_out.take(at).tobytes())
+    whole = b"".join(out)
+    stops = np.r_[0, np.cumsum(model.sizes[i], dtype=np.int64)][np.cumsum([0, *(len(x) // 2 for x in several)])].tolist()
+    return [whole[a + 1 : z] for a, z in zip(stops, stops[1:], strict=False)]
 
 
 def decode(model: Pieces, ids: bytes) -> str:
-    return decoded(model, ids).decode("utf-8", "replace")
+    return decoded(model, [ids])[0].decode("utf-8", "replace")
 
 
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
@@ -467,7 +480,7 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES) -> DataFrame:
         model = pieces(path)
         for b in slices(it, CHARS):
             docs_ = b["doc_id"].to_pylist()
-            got = sample_batch(model, [-1 if x is None else x for x in docs_], b["text"].to_pylist(), k)
+            got = sample_batch(model, [-1 if x is None else x for x in docs_], b["text"], k)
             rows = [(doc, i, *row) for doc, samples in zip(docs_, got, strict=True) for i, row in enumerate(samples)]
             yield batch(_SEGMENTS, **dict(zip(_SEGMENTS.names, zip(*rows, strict=True), strict=True)))
 
@@ -485,6 +498,6 @@ def digest(segments: DataFrame, path: str) -> DataFrame:
         for b in it:
             ids = b["ids"].to_pylist()
             same = {n: b[n] for n in ("doc_id", "sample", "log_prob", "perturbed", "inclusion")}
-            yield batch(_DIGEST, **same, n_pieces=[len(x) // 2 for x in ids], ids_crc32=[zlib.crc32(x) for x in ids], decoded_sha256=[hashlib.sha256(decoded(model, x)).hexdigest() for x in ids])
+            yield batch(_DIGEST, **same, n_pieces=[len(x) // 2 for x in ids], ids_crc32=[zlib.crc32(x) for x in ids], decoded_sha256=[hashlib.sha256(x).hexdigest() for x in decoded(model, ids)])
 
     return segments.mapInArrow(run, "doc_id long, sample int, n_pieces long, ids_crc32 long, decoded_sha256 string, log_prob double, perturbed double, inclusion double")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from .helpers import PARTS, documents, prose
@@ -150,6 +151,18 @@ def test_inclusion_scores(model):
 
 
 
-@pytest.mark.parametrize("text", ["a b\nc d", " a", "a ", "a  b", "\na", "a\n\nb", "a \nb", "a\n b", "x\u2581y z", "one", "\n", " ", "é ü\nß"])
-def test_cut_equals_the_pattern(text):
-    assert segments.cut(text) == segments.UNIT.findall(segments.MARK + text.replace(" ", segments.MARK))
+def test_cut_equals_the_pattern():
+    texts = ["a b\nc d", "", " a", "a ", "a  b", "\na", "a\n\nb", "", "a \nb", "a\n b", "x\u2581y z", "one", "\n", " ", "é ü\nß", "a\n", "the end"]
+    mark = segments.MARK
+    want = [segments.UNIT.findall(mark + t.replace(" ", mark)) if t else [] for t in texts]
+    assert segments.cut(pa.array(texts)).to_pylist() == want
+    assert segments.cut(pa.array(["a b", "c"])).to_pylist() == [[mark + "a", mark + "b"], [mark + "c"]]
+
+
+def test_words_beyond_those_kept(model, monkeypatch):
+    texts = ["the cat sat on the mat", "señor under the hat", "the cat again"]
+    whole = segments.sample_batch(model, [1, 2, 3], texts)
+    monkeypatch.setattr(segments, "KEPT", 8)
+    small = segments.Pieces(PIECES)
+    for i, t in enumerate(texts):
+        assert [s[0] for s in segments.sample_batch(small, [i + 1], [t])[0]] == [s[0] for s in whole[i]]
