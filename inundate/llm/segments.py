@@ -44,9 +44,9 @@ from .common import batch, slices, texts
 SAMPLES = 2
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-CHARS = 1 << 21
-#: Nodes of lattices that a worker keeps (about 60 MB).
-KEPT = 1_000_000
+CHARS = 1 << 20
+#: Nodes of lattices that a worker keeps (about 45 MB).
+KEPT = 700_000
 
 
 BASE, SPREAD, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20

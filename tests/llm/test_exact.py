@@ -371,26 +371,65 @@ def test_fingerprints(spark):
         if min(len(a), len(b)) > 100:
             errors.append(r.near_edited - len(a & b) / min(len(a), len(b)))
         assert 0 <= r.near_next <= 1
-    assert np.abs(errors).mean() < 0.12
+    assert np.abs(errors).mean() < 0.09
     by = defaultdict(set)
     for i, t in text.items():
         by[t].add(got[i].fingerprint)
     assert all(len(x) == 1 for x in by.values())
 
 
-def test_merged_sketch(spark):
+def compared(spark, pairs, *columns):
     from pyspark.sql import functions as F
 
-    a, b = prose(random.Random(1), "en", 80), prose(random.Random(2), "en", 3)
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
-    r = df.select("a", "b", fingerprints.merged(F.col("a"), F.col("b")).alias("m")).first()
-    low = sorted(x for x in {*r.a, *r.b} if 0 <= x < fingerprints.LIMIT)
-    assert r.m == (low or [min({*r.a, *r.b})])
+    df = spark.createDataFrame(pairs, "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    return df.select(*(f(F.col("a"), F.col("b")).alias(f.__name__) for f in columns), "a", "b").collect()
 
 
-def test_next_lower(spark):
-    ids = [5, 1 << 40, -3, 5, 4096, 4095, 70_000]
-    got = dict(fingerprints.next_lower(spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")).collect())
+def test_merged_sketch(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, "en", n) for n in (400, 3, 30, 40, 0, 90)]
+    pairs = [(a, b) for a in texts for b in texts]
+    limit, whole = fingerprints.LIMIT, fingerprints.WHOLE
+    got = compared(spark, pairs, fingerprints.merged)
+    for r in got:
+        every = sorted({*r.a.hashes, *r.b.hashes})
+        if r.a.whole and r.b.whole and len(every) <= whole:
+            assert r.merged.whole and r.merged.hashes == every
+        else:
+            assert not r.merged.whole and r.merged.hashes == [x for x in every if 0 <= x < limit]
+    assert {(r.a.whole, r.merged.whole) for r in got} == {(True, True), (True, False), (False, False)}
+
+
+@pytest.mark.parametrize("n", [6, 8, 12, 20])
+def test_short_passages_inside_a_long_text(spark, n):
+    """A passage's containment is 1 but where the long text keeps none of its hashes; a strange one's is 0."""
+    rng = random.Random(n)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(2000)]
+    places = [rng.randrange(2000 - n - 4) for _ in range(60)]
+    inside = compared(spark, [(" ".join(words[a : a + n + 4]), " ".join(words)) for a in places], fingerprints.containment)
+    assert all(r.a.whole and not r.b.whole and r.containment == float(any(0 <= x < fingerprints.LIMIT for x in r.a.hashes)) for r in inside)
+    assert np.mean([r.containment for r in inside]) > 1 - 0.75**n - 0.12
+    strange = [" ".join(f"x{rng.randrange(10**9)}" for _ in range(n + 4)) for _ in range(20)]
+    assert all(r.containment == 0 for r in compared(spark, [(t, " ".join(words)) for t in strange], fingerprints.containment))
+
+
+def test_short_texts_are_compared_exactly(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 60))]
+        pairs.append((" ".join(w), " ".join(w[rng.randrange(3) : rng.randrange(70)])))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4)) if w}
+    for r, (x, y) in zip(compared(spark, pairs, fingerprints.containment, fingerprints.resemblance), pairs, strict=True):
+        a, b = shingles(x), shingles(y)
+        least = min(len(a), len(b))
+        assert r.containment == pytest.approx(1.0 if not a and not b else len(a & b) / least if least else 0.0)
+        assert r.resemblance == pytest.approx(len(a & b) / len(a | b) if a or b else 1.0)
+
+
+@pytest.mark.parametrize("ids", [[5, 1 << 40, -3, 5, 4096, 4095, 70_000], [random.Random(9).randrange(-(1 << 63), 1 << 63) for _ in range(500)], [7], []])
+def test_next_lower(spark, ids):
+    got = dict(fingerprints.next_lower(spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long").repartition(4)).collect())
     order = sorted(set(ids), reverse=True)
     assert got == {a: order[(k + 1) % len(order)] for k, a in enumerate(order)}
 
