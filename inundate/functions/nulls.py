@@ -37,6 +37,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def ratio_above(a: Column, b: Column) -> Column:
+    """a / b where b is above 0; else NULL."""
+    return F.when(b > 0, ratio(a, b))
+
+
 def complete(agg: Column, c: Column) -> Column:
     """An aggregate that is NULL as soon as one of its inputs is."""
     return F.when(F.count(c) == F.count(F.lit(1)), agg)

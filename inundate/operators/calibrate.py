@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import complete, depth_over, ratio, yes
+from ..functions.nulls import complete, depth_over, ratio, ratio_above, yes
 from .curves import volume_at_stage
 from .zonal import inside, spread
 
@@ -50,7 +50,7 @@ def cross_check_volume(cells: DataFrame, stages: DataFrame, indexed: DataFrame,
     """Observed volume of each zone against its curve's volume at h100."""
     direct = inside(cells, zone).groupBy(zone).agg((complete(F.sum(depth), F.col(depth)) * cell_area).alias("v_direct"))
     both = volume_at_stage(stages.select(zone, "h100").join(direct, zone, "left"), indexed, zone, "h100", "v_curve")
-    off = ratio(F.abs(F.col("v_curve") - F.col("v_direct")), F.col("v_direct"))
+    off = ratio_above(F.abs(F.col("v_curve") - F.col("v_direct")), F.col("v_direct"))
     return both.withColumn("rel_diff", off).withColumn("flag_volume_mismatch", yes(F.col("rel_diff") > tolerance)).drop("h100")
 
 
@@ -70,7 +70,7 @@ def zone_sums(cells: DataFrame, zone: str = "catchment_id", depth: str = "d100",
 
 def alpha_from_sums(sums: DataFrame, zone: str = "catchment_id", bounds=ALPHA_RANGE) -> DataFrame:
     """The same as ``calibrate_alpha`` from ``zone_sums``."""
-    both = sums.withColumn("v_rain", F.col("p100") * F.col("area")).withColumn("alpha", ratio(F.col("v_obs"), F.col("v_rain")))
+    both = sums.withColumn("v_rain", F.col("p100") * F.col("area")).withColumn("alpha", ratio_above(F.col("v_obs"), F.col("v_rain")))
     return both.select(zone, "v_obs", "v_rain", "alpha", (~yes(F.col("alpha").between(*bounds))).alias("flag_alpha_out_of_range"))
 
 

@@ -18,8 +18,9 @@ def stage_curves(
     """(zone, step, h, volume, area) at ``steps`` stages from 0 to ``multiple`` times the anchor stage.
 
     Area counts the cells strictly below the stage, volume sums the water over them.
-    A zone without an anchor stage reaches to its highest cell.  All steps are
-    conditional sums of one pass over the cells, combined in the map tasks.
+    A zone without an anchor stage reaches to its highest cell.  A cell is put under the
+    first stage above it and summed once, in the map tasks; the steps' sums run over
+    the few rows of these.
     """
     rows = inside(cells, zone).where(F.col(datum).isNotNull()).select(zone, F.col(datum).alias("z"))
     tops = rows.groupBy(zone).agg(F.max("z").alias("_top"))
@@ -31,11 +32,18 @@ def stage_curves(
     tops = tops.select(zone, F.greatest(top, F.lit(LEAST)).alias("h_max"))
     apart = F.col("h_max") / max(steps - 1, 1)
     at = [F.lit(0.0) if i == 0 else F.col("h_max") if i == steps - 1 else i * apart for i in range(steps)]
+    # a division finds the stage but for rounding, so the stages around it are compared as they are
+    guess = F.least(F.greatest(F.floor(F.col("z") / apart), F.lit(0)), F.lit(steps - 1)).cast("int")
+    stage = lambda i: F.when(i >= steps - 1, F.col("h_max")).otherwise(i * apart)
+    k = F.col("guess")
+    first = F.when((k > 0) & (F.col("z") < stage(k - 1)), k - 1).when(F.col("z") < stage(k), k).when((k < steps - 1) & (F.col("z") < stage(k + 1)), k + 1).otherwise(k + 2)
+    placed = rows.join(tops, zone).withColumn("guess", guess).withColumn("first", first)
+    summed = placed.groupBy(zone, "h_max", "first").agg(F.count("*").alias("n"), F.sum("z").alias("s"))
     sums = []
-    for i, h in enumerate(at):
-        below = F.col("z") < h
-        sums += [F.count(F.when(below, 1)).alias(f"n{i}"), F.sum(F.when(below, F.col("z"))).alias(f"s{i}")]
-    wide = rows.join(tops, zone).groupBy(zone, "h_max").agg(*sums)
+    for i in range(steps):
+        below = F.col("first") <= i
+        sums += [F.coalesce(F.sum(F.when(below, F.col("n"))), F.lit(0)).alias(f"n{i}"), F.sum(F.when(below, F.col("s"))).alias(f"s{i}")]
+    wide = summed.groupBy(zone, "h_max").agg(*sums)
     points = [
         F.struct(F.lit(i).alias("step"), h.alias("h"), ((h * F.col(f"n{i}") - F.coalesce(f"s{i}", F.lit(0.0))) * cell_area).alias("volume"), (F.col(f"n{i}") * F.lit(float(cell_area))).alias("area"))
         for i, h in enumerate(at)

@@ -36,9 +36,19 @@ def fit(moments: DataFrame) -> DataFrame:
     return moments.withColumns(gev.parameters(F.col("l1"), F.col("l2"), F.col("t3")))
 
 
-def regional_moments(maxima: DataFrame, station: str = "station_id", region: str = "region_id", value: str = "value") -> DataFrame:
+def station_regions(maxima: DataFrame, station: str = "station_id", region: str = "region_id", order: str | None = None) -> DataFrame:
+    """(station, region): the region of each station's first row by ``order``.  A table has no order of its own, so
+    without that column a station of several regions is an error."""
+    if order is not None:
+        return maxima.groupBy(station).agg(F.min_by(region, order).alias(region))
+    several = F.raise_error(F.concat(F.lit("several regions for station "), F.col(station).cast("string"))).cast(maxima.schema[region].dataType)
+    both = maxima.groupBy(station).agg(F.min(region).alias("_a"), F.max(region).alias("_b"))
+    return both.select(station, F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_a").isNotNull(), several).alias(region))
+
+
+def regional_moments(maxima: DataFrame, station: str = "station_id", region: str = "region_id", value: str = "value", order: str | None = None) -> DataFrame:
     """(region, lcv, t3, n_stations): record-length weighted means over a region's stations; a station counts in its first region."""
-    where = maxima.groupBy(station).agg(F.min(region).alias(region))
+    where = station_regions(maxima, station, region, order)
     s = l_moments(maxima, station, value).withColumn("lcv", ratio(F.col("l2"), F.col("l1"))).where("lcv is not null and t3 is not null")
     n = F.col("n")
     return s.join(where, station).groupBy(region).agg(

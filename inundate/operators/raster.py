@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .terrain import neighbours
+from .zonal import quantiles
 
 CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
@@ -89,9 +90,9 @@ def bounds(vertices: DataFrame) -> DataFrame:
 
 
 def color_limit(cells: DataFrame, depth: str = "depth") -> DataFrame:
-    """The 98th percentile of wet depth for a picture's scale; 1 without a wet cell.  Equal depths are counted first."""
-    counted = cells.where(F.col(depth) > 0).groupBy(depth).agg(F.count("*").alias("n"))
-    return counted.agg(F.coalesce(F.expr(f"percentile({depth}, 0.98D, n)"), F.lit(1.0)).alias("vmax"))
+    """The 98th percentile of wet depth for a picture's scale; 1 without a wet cell."""
+    wet = cells.where(F.col(depth) > 0).select(F.lit(1).alias("all"), F.col(depth))
+    return quantiles(wet, "all", depth, {"vmax": 0.98}).agg(F.coalesce(F.max("vmax"), F.lit(1.0)).alias("vmax"))
 
 
 def first_valid(rows: DataFrame, order: str, *keys: str) -> DataFrame:

@@ -28,10 +28,10 @@ def low_confidence(
     if slope is not None:
         flag = flag | yes(slope > steep)
     if urban is not None:
-        flag = flag | urban
+        flag = flag | yes(urban)
     if period is not None:
         flag = flag | F.lit(period < short)
-    return flag if coastal is None else flag | coastal
+    return flag if coastal is None else flag | yes(coastal)
 
 
 def departs(rain: Column, anchor_rain: Column, limit: float = LOG_RATIO) -> Column:

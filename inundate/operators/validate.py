@@ -35,9 +35,9 @@ def event_gate(metrics: DataFrame, at: float = CSI_AT, least: float = EVENT_CSI)
     return rows.agg(F.coalesce(F.bool_and(yes(F.col("csi") >= least)), F.lit(False)).alias("passed"))
 
 
-def reconstruction_gate(cells: DataFrame, zone: str = "catchment_id", datum: str = "hand", depth: str = "d100", indexed: DataFrame | None = None, cell_area: float = 1.0) -> DataFrame:
-    """The zones' quality report, with the volume check where curves are given."""
-    stages = anchor_stage_spread(cells, zone, datum, depth)
+def reconstruction_gate(cells: DataFrame, zone: str = "catchment_id", datum: str = "hand", depth: str = "d100", indexed: DataFrame | None = None, cell_area: float = 1.0, stages: DataFrame | None = None) -> DataFrame:
+    """The zones' quality report, with the volume check where curves are given; ``stages`` if they are known already."""
+    stages = anchor_stage_spread(cells, zone, datum, depth) if stages is None else stages
     report = reconstruction_quality(reconstruct_depth(cells, stages, zone, datum), stages, zone, depth)
     if indexed is not None:
         report = report.join(cross_check_volume(cells, stages, indexed, zone, depth, cell_area), zone, "left")

@@ -20,6 +20,7 @@ class Side:
 
     zone: str
     datum: str
+    spread: DataFrame
     anchor: DataFrame
     curves: DataFrame
     indexed: DataFrame
@@ -31,13 +32,14 @@ class Side:
 def side(cells: DataFrame, zone: str, datum: str, cell_area: float = 1.0, rain: str = "rain_p100", scenario: str = "rain_pp") -> Side:
     """Calibrates one zone system.  Its tables have a row or a few for each zone; anchors, curves and sums are
     checkpointed, so that what follows does not read the cells again for them."""
-    anchor = checkpointed(zonal.anchor_stage(cells, zone, datum))
+    spread = checkpointed(zonal.anchor_stage_spread(cells, zone, datum))
+    anchor = spread.select(zone, F.col("h100").alias("stage"))
     table = checkpointed(curves.stage_curves(cells, anchor, zone, datum, cell_area))
     sums = checkpointed(calibrate.zone_sums(cells, zone, "d100", rain, scenario, cell_area))
     indexed = curves.index_curves(table, zone)
     alpha = calibrate.alpha_from_sums(sums, zone)
     stages = render.zone_stage(alpha, sums.select(zone, "p_prime"), sums.select(zone, "area"), indexed, zone)
-    return Side(zone, datum, anchor, table, indexed, alpha, sums.select(zone, "area"), stages)
+    return Side(zone, datum, spread, anchor, table, indexed, alpha, sums.select(zone, "area"), stages)
 
 
 @dataclass
@@ -51,26 +53,31 @@ class Basin:
 
 def run_basin(
     cells: DataFrame, cell_area: float = 1.0, min_cells: int = MIN_CELLS, split: str = "depression", naive: bool = False, ring: list[tuple[float, float]] | None = None,
+    confidence: dict | None = None,
 ) -> Basin:
     """Calibrates both zone systems at the anchor and renders the scenario.
 
     ``cells`` has catchment_id, depression_id, hand, dem, d100, rain_p100, rain_pp
     (and flow_acc for ``split="regime"``).  Unknown anchor depth counts as 0; unknown
     rain stays unknown.  With ``ring`` the depth is clipped to a polygon of x and y
-    (flags are not).
+    (flags are not).  low_confidence follows the zones' quality, the rain's departure
+    and the curves' ends; with ``confidence``, the arguments of
+    ``regime.low_confidence`` (log_ratio and any others), that rule instead.
     """
     ready = cells.withColumn("d100", F.coalesce("d100", F.lit(0.0)))
-    ready = zonal.keep_large_zones(ready, "depression_id", min_cells)
-    ready = zonal.relative_elevation(ready, "depression_id", "dem", "hd")
+    ready = zonal.large_zone_elevation(ready, "depression_id", min_cells, "dem", "hd")
     pluvial = side(ready, "depression_id", "hd", cell_area)
     fluvial = side(ready, "catchment_id", "hand", cell_area)
-    spread_ = checkpointed(zonal.anchor_stage_spread(ready))
-    quality = checkpointed(calibrate.reconstruction_quality(calibrate.reconstruct_depth(ready, spread_), spread_))
+    quality = checkpointed(calibrate.reconstruction_quality(calibrate.reconstruct_depth(ready, fluvial.spread), fluvial.spread))
     out = render.render_depth(ready, fluvial.stages, "catchment_id", "hand", "fluvial_depth", "fluvial_extrapolated")
     out = render.render_depth(out, pluvial.stages, "depression_id", "hd", "pluvial_depth", "pluvial_extrapolated")
     if split == "regime":
         out = out.withColumn("regime", regime.classify(F.col("hand"), F.col("flow_acc")))
-    out = render.pipeline_confidence(render.combine(out, split), quality)
+    out = render.combine(out, split)
+    if confidence is None:
+        out = render.pipeline_confidence(out, quality)
+    else:
+        out = out.withColumn("low_confidence", regime.low_confidence(**confidence))
     if ring is not None:
         out = clip(out, ring, "depth")
     if naive:

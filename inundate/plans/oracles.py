@@ -9,7 +9,7 @@ CELLS = f"cells AS ({fx.as_sql(fx.CELLS, 'lineitem')})"
 
 
 def r(expr: str, name: str | None = None) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0e0 AS {name or expr}"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, 6) + 0e0 AS {name or expr}"
 
 
 def statement(ctes: list[str], body: str, recursive: bool = False) -> str:
@@ -32,7 +32,7 @@ def stage_ctes(p: str, src: str, zone: str, alpha: str = "alpha", where: str = "
     """Scenario stages; needs the curves."""
     return [
         f"""{p}_zone AS (SELECT {zone} AS z, sum(d100) AS v_obs, avg(rain_p100) * count(*) AS v_rain, avg({rain}) AS pp, CAST(count(*) AS DOUBLE) AS area,
-          sum(d100) / (avg(rain_p100) * count(*)) AS alpha FROM {src} WHERE {zone} > 0 GROUP BY 1)""",
+          CASE WHEN avg(rain_p100) * count(*) > 0 THEN sum(d100) / (avg(rain_p100) * count(*)) END AS alpha FROM {src} WHERE {zone} > 0 GROUP BY 1)""",
         f"{p}_target AS (SELECT z, {alpha} * pp * area AS v FROM {p}_zone WHERE {where})",
         f"""{p}_lo AS (SELECT t.z, t.v, max(c.i) FILTER (c.volume <= t.v) AS lo, max(c.i) AS n, min(c.volume) AS v0, max(c.volume) AS v1
           FROM {p}_target t LEFT JOIN {p}_curve c USING (z) GROUP BY 1, 2)""",
@@ -80,7 +80,7 @@ QC = """qc AS (SELECT catchment_id, {} AS c15, {} AS c30, {} AS c50, {} AS c100,
   CASE WHEN count(*) FILTER (d100 > 0 AND recon IS NULL) = 0 THEN sqrt(avg((d100 - recon) * (d100 - recon)) FILTER (d100 > 0 OR recon > 0)) END AS rmse,
   count(*) FILTER (recon > 0) / nullif(CAST(count(*) FILTER (d100 > 0) AS DOUBLE), 0) AS area_ratio, max(h100) AS h100
   FROM rec WHERE h100 IS NOT NULL GROUP BY 1)""".format(*map(csi, ("0.15e0", "0.3e0", "0.5e0", "1e0")))
-CHECK = "ck AS (SELECT h.catchment_id, d.v_direct, k.v_curve, abs(k.v_curve - d.v_direct) / nullif(d.v_direct, 0) AS rel FROM h JOIN (SELECT catchment_id, sum(d100) AS v_direct FROM cells GROUP BY 1) d USING (catchment_id) LEFT JOIN fwd k ON k.z = h.catchment_id)"
+CHECK = "ck AS (SELECT h.catchment_id, d.v_direct, k.v_curve, CASE WHEN d.v_direct > 0 THEN abs(k.v_curve - d.v_direct) / d.v_direct END AS rel FROM h JOIN (SELECT catchment_id, sum(d100) AS v_direct FROM cells GROUP BY 1) d USING (catchment_id) LEFT JOIN fwd k ON k.z = h.catchment_id)"
 FORWARD = [
     "flo AS (SELECT h.catchment_id AS z, h.h100 AS x, max(c.i) FILTER (c.h <= h.h100) AS lo, max(c.i) AS n FROM h LEFT JOIN f_curve c ON c.z = h.catchment_id GROUP BY 1, 2)",
     """fwd AS (SELECT l.z, l.x, CASE WHEN l.n IS NULL THEN NULL WHEN l.lo IS NULL THEN c0.volume WHEN l.lo = l.n OR a.h = l.x THEN a.volume
@@ -104,12 +104,13 @@ def fit_ctes(src: str, key: str, l1: str, l2: str) -> list[str]:
     return [
         f"fk AS (SELECT {key}, {l1} AS l1, {l2} AS l2, 7.8590e0 * {c} + 2.9554e0 * {c} * {c} AS k FROM {src} WHERE t3 IS NOT NULL)",
         "fs AS (SELECT *, CASE WHEN abs(k) < 1e-6 THEN l2 / ln(2) ELSE l2 * k / ((1 - pow(2e0, -k)) * gamma(1 + k)) END AS scale FROM fk)",
-        f"fit AS (SELECT {key}, CASE WHEN abs(k) < 1e-6 THEN l1 - 0.5772156649015329e0 * scale ELSE l1 - scale * (1 - gamma(1 + k)) / k END AS loc, scale, k AS shape FROM fs)",
+        f"fit AS (SELECT {key}, CASE WHEN abs(k) < 1e-6 THEN l1 - 0.5772156649015329e0 * scale ELSE l1 - scale * (1 - gamma(1 + k)) / k END AS loc, scale, CASE WHEN abs(k) < 1e-6 THEN 0e0 ELSE k END AS shape FROM fs)",
     ]
 
 
 def level(t: float) -> str:
-    return f"(loc + scale / shape * (1 - pow(-ln(1 - 1 / {t}e0), shape)))"
+    y = f"(-ln(1 - 1 / {t}e0))"
+    return f"(CASE WHEN abs(shape) < 1e-8 THEN loc - scale * ln({y}) ELSE loc + scale / shape * (1 - pow({y}, shape)) END)"
 
 
 GROWTH = [*MOMENTS, REGION, *fit_ctes("g", "region_id", "1e0", "lcv")]
@@ -200,7 +201,7 @@ ORACLES: dict[str, str] = {
     "calibrate_alpha": statement(FLUVIAL, f"SELECT z AS catchment_id, {r('v_obs')}, {r('v_rain')}, {r('alpha')}, NOT coalesce(alpha BETWEEN 0.05e0 AND 0.4e0, FALSE) AS flag_alpha_out_of_range FROM f_zone"),
     "calibration_table": statement(
         [*H100, QC, *curve_ctes("f", "cells", "catchment_id", "hand"), *stage_ctes("f", "cells", "catchment_id")],
-        f"SELECT coalesce(a.z, c.catchment_id) AS catchment_id, {r('v_obs')}, {r('v_rain')}, {r('alpha')}, flag_alpha_out_of_range, {r('rmse')}, flag_low_csi FROM (SELECT *, NOT coalesce(alpha BETWEEN 0.05e0 AND 0.4e0, FALSE) AS flag_alpha_out_of_range FROM f_zone WHERE z % 7 <> 0) a FULL JOIN (SELECT catchment_id, rmse, coalesce(c30 < 0.8e0, FALSE) AS flag_low_csi FROM qc WHERE catchment_id % 3 <> 0) c ON c.catchment_id = a.z",
+        f"SELECT coalesce(a.z, c.catchment_id) AS catchment_id, {r('v_obs')}, {r('v_rain')}, {r('alpha')}, flag_alpha_out_of_range, {r('rmse')}, flag_low_csi FROM (SELECT *, NOT coalesce(alpha BETWEEN 0.05e0 AND 0.4e0, FALSE) AS flag_alpha_out_of_range FROM f_zone) a FULL JOIN (SELECT catchment_id, rmse, coalesce(c30 < 0.8e0, FALSE) AS flag_low_csi FROM qc) c ON c.catchment_id = a.z",
     ),
     "zone_rain_and_area": statement(
         [CELLS],
@@ -210,7 +211,7 @@ ORACLES: dict[str, str] = {
     "render_channel_ratio": statement(
         [
             CELLS,
-            "k AS (SELECT catchment_id AS z, quantile_cont(d100 / rain_p100, 0.5e0) AS k FROM cells WHERE catchment_id > 0 AND d100 > 0 AND rain_p100 > 0 AND catchment_id % 11 <> 0 GROUP BY 1)",
+            "k AS (SELECT catchment_id AS z, quantile_cont(d100 / rain_p100, 0.5e0) AS k FROM cells WHERE catchment_id > 0 AND d100 > 0 AND rain_p100 > 0 GROUP BY 1)",
             "d AS (SELECT catchment_id, CASE WHEN d100 > 0 THEN k * rain_pp ELSE 0 END AS depth FROM cells LEFT JOIN k ON z = catchment_id)",
         ],
         f"SELECT catchment_id, {SUMS} FROM d GROUP BY 1",
@@ -240,6 +241,10 @@ ORACLES: dict[str, str] = {
         [CELLS, *both()],
         f"SELECT catchment_id, CAST(regime AS BIGINT) AS regime, {SUMS}, count(*) FILTER (e) AS n_extrapolated FROM (SELECT *, CASE WHEN regime = 0 THEN fd ELSE pd END AS depth, CASE WHEN regime = 0 THEN fe ELSE pe END AS e FROM (SELECT *, {REGIME} AS regime FROM paired)) GROUP BY 1, 2",
     ),
+    "render_regime_confidence": statement(
+        [CELLS, *both()],
+        f"SELECT catchment_id, CAST(regime AS BIGINT) AS regime, {SUMS}, count(*) FILTER (e) AS n_extrapolated, count(*) FILTER (abs(ln(rain_pp / rain_p100)) > ln(2e0) OR slope > 0.15e0 OR urban OR coastal) AS n_low_confidence FROM (SELECT *, CASE WHEN regime = 0 THEN fd ELSE pd END AS depth, CASE WHEN regime = 0 THEN fe ELSE pe END AS e FROM (SELECT *, {REGIME} AS regime FROM paired)) GROUP BY 1, 2",
+    ),
     "run_scenario": statement(
         [
             CELLS, *GROWTH, DELTAS, CLIMATE, MULTIPLIER, "sm AS (SELECT mu.region_id, mu.x * cl.climate AS x FROM mu JOIN cl USING (region_id))",

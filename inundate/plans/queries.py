@@ -22,12 +22,13 @@ RING = [(4.5, 3.5), (33.5, 6.5), (28.5, 44.5), (17.5, 22.5), (6.5, 38.5)]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, counts as BIGINT, dots in names replaced: the form both engines are compared in."""
+    """Doubles rounded (what lies half-way, but for the order of a sum, goes up), counts as BIGINT, dots in names
+    replaced: the form both engines are compared in."""
     out = []
     for f in df.schema:
         c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
         name = f.name.replace(".", "_")
-        c = F.round(c.cast("double"), digits) + F.lit(0.0) if kind in ("double", "float", "decimal") else c.cast("bigint") if kind in ("integer", "long", "byte", "short") else c
+        c = F.round(c.cast("double") + F.lit(1e-9), digits) + F.lit(0.0) if kind in ("double", "float", "decimal") else c.cast("bigint") if kind in ("integer", "long", "byte", "short") else c
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -127,8 +128,8 @@ def calibrate_alpha(spark, sf_dir):
 def calibration_table(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
     stages = zonal.anchor_stage_spread(c)
-    qc = calibrate.reconstruction_quality(calibrate.reconstruct_depth(c, stages), stages).where("catchment_id % 3 <> 0")
-    return calibrate.calibration_table(qc.select("catchment_id", "rmse", "flag_low_csi"), _fluvial(c).alpha.where("catchment_id % 7 <> 0"))
+    qc = calibrate.reconstruction_quality(calibrate.reconstruct_depth(c, stages), stages)
+    return calibrate.calibration_table(qc.select("catchment_id", "rmse", "flag_low_csi"), _fluvial(c).alpha)
 
 
 @query
@@ -146,8 +147,7 @@ def channel_ratio(spark, sf_dir):
 @query
 def render_channel_ratio(spark, sf_dir):
     c = fx.cells(spark, sf_dir)
-    ratios = zonal.channel_ratio(c).where("catchment_id % 11 <> 0")
-    return _by_zone(render.channel_ratio_depth(c, ratios), "catchment_id")
+    return _by_zone(render.channel_ratio_depth(c, zonal.channel_ratio(c)), "catchment_id")
 
 
 @query
@@ -181,6 +181,13 @@ def render_depth_regime(spark, sf_dir):
     return _by_zone(out.depth, "catchment_id", "regime", flags=("extrapolated",))
 
 
+@query
+def render_regime_confidence(spark, sf_dir):
+    rule = {"log_ratio": F.ln(ratio(F.col("rain_pp"), F.col("rain_p100"))), "slope": F.col("slope"), "urban": F.col("urban"), "period": PERIOD, "coastal": F.col("coastal")}
+    out = basin.run_basin(fx.cells(spark, sf_dir), min_cells=MIN_CELLS, split="regime", confidence=rule)
+    return _by_zone(out.depth, "catchment_id", "regime", flags=("extrapolated", "low_confidence"))
+
+
 @query
 def run_scenario(spark, sf_dir):
     m = rainfall.scenario_multiplier(rainfall.growth_curves(fx.annual_maxima(spark, sf_dir)), rainfall.climate_multiplier(fx.climate_deltas(spark, sf_dir), ["region_id"], warming="warming"), PERIOD)
@@ -484,8 +491,9 @@ def vertex_bounds(spark, sf_dir):
 def calibration_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor stages, reconstruction and its quality, curves, volume check and coefficients in one report."""
     c = _filled(spark, sf_dir)
-    report = validate.reconstruction_gate(c, indexed=_fluvial(c).indexed)
-    return rounded(calibrate.calibration_table(report, _fluvial(c).alpha))
+    side = _fluvial(c)
+    report = validate.reconstruction_gate(c, indexed=side.indexed, stages=side.spread)
+    return rounded(calibrate.calibration_table(report, side.alpha))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,3 +207,45 @@ def test_empty_tables(spark):
 def test_anchor_of_unknown_height_falls_back(spark):
     df = cells(spark, [(1, None, 1.0), (1, 2.0, 0.0)])
     assert max(r.h for r in curves.stage_curves(df, zonal.anchor_stage(df)).collect()) == 2.0
+
+
+def test_curves_at_stages_equal_to_cells(spark):
+    """A cell at a stage is not below it, whatever the division that finds the stage rounds to."""
+    top = 0.3
+    at = [i * (top * 1.5 / 19) for i in range(20)]
+    zs = [*at, *np.nextafter(at, 9).tolist(), *np.nextafter(at, -9).tolist(), -0.2, 7.0]
+    rows = cells(spark, [(1, z, 0.0) for z in zs])
+    anchor = spark.createDataFrame([(1, top)], "catchment_id long, stage double")
+    for r in curves.stage_curves(rows, anchor).collect():
+        below = [z for z in zs if z < r.h]
+        assert r.area == len(below) and r.volume == pytest.approx(sum(r.h - z for z in below))
+
+
+@pytest.mark.parametrize("rain", [-1.0, 0.0])
+def test_no_ratio_without_a_positive_denominator(spark, rain):
+    df = spark.createDataFrame([(1, 0.5, rain, 1.0)], "catchment_id long, d100 double, rain_p100 double, rain_pp double")
+    r = one(calibrate.alpha_from_sums(calibrate.zone_sums(df)))
+    assert r.alpha is None and r.flag_alpha_out_of_range and r.v_rain == rain
+
+
+def test_calibration_table_keeps_unmatched_zones(spark):
+    qc = spark.createDataFrame([(1, 0.1), (2, 0.2)], "catchment_id long, rmse double")
+    alpha = spark.createDataFrame([(2, 0.3), (3, 0.4)], "catchment_id long, alpha double")
+    got = {(r.catchment_id, r.rmse, r.alpha) for r in calibrate.calibration_table(qc, alpha).collect()}
+    assert got == {(1, 0.1, None), (2, 0.2, 0.3), (3, None, 0.4)}
+
+
+def test_zones_without_a_ratio_are_unknown(spark):
+    df = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.5, 2.0), (2, 0.0, 2.0)], "catchment_id long, d100 double, rain_pp double")
+    ratios = spark.createDataFrame([(1, 0.25)], "catchment_id long, k double")
+    got = sorted((r.catchment_id, r.d100, r.depth) for r in render.channel_ratio_depth(df, ratios).collect())
+    assert got == [(1, 0.5, 0.5), (2, 0.0, 0.0), (2, 0.5, None)]
+
+
+def test_large_zone_elevation_equals_its_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 9)), None if i % 17 == 0 else float(rng.normal())) for i in range(300)] + [(900, 77, 1.0)]
+    df = spark.createDataFrame(rows, "i long, depression_id long, dem double")
+    want = zonal.relative_elevation(zonal.keep_large_zones(df, "depression_id", 5)).select("i", "depression_id", "hd").collect()
+    got = zonal.large_zone_elevation(df, min_cells=5).select("i", "depression_id", "hd").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

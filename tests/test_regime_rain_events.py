@@ -152,3 +152,33 @@ def test_streamed_maxima(spark, tmp_path):
     got = {(r.station_id, str(r.block)[:10], r.value) for r in spark.table("maxima").collect()}
     assert (1, "2024-01-01", 7.0) in got and (1, "2024-01-02", 1.0) in got and all(b != "2024-01-20" for _, b, _ in got)
     assert got < {(r.station_id, str(r.block)[:10], r.value) for r in gauges.block_maxima(df).collect()}
+
+
+def test_gamma_equals_the_library(spark):
+    xs = [0.02, 0.3, 0.5, 0.999, 1.0, 1.0000005, 1.5, 2.0, 4.7]
+    got = [r.g for r in spark.createDataFrame([(x,) for x in xs], "x double").select(gev.gamma(F.col("x")).alias("g")).collect()]
+    assert got == [pytest.approx(math.gamma(x), rel=1e-12) for x in xs]
+
+
+def test_flat_shapes_are_gumbels(spark):
+    """A shape within the tolerance is exactly 0, so the quantile takes Gumbel's formula too."""
+    c0 = math.log(2) / math.log(3)
+    t3 = 2 / (c0 + 5e-7 / 7.859) - 3  # about k = 5e-7
+    r = rainfall.fit(spark.createDataFrame([(1.0, 0.2, t3)], "l1 double, l2 double, t3 double")).first()
+    assert r["shape"] == 0.0 and r["scale"] == pytest.approx(0.2 / math.log(2))
+    q = spark.range(1).select(gev.quantile(F.lit(r["loc"]), F.lit(r["scale"]), F.lit(r["shape"]), 100.0).alias("q")).first().q
+    assert q == pytest.approx(r["loc"] - r["scale"] * math.log(-math.log(1 - 1 / 100)))
+
+
+def test_station_of_several_regions(spark):
+    df = spark.createDataFrame([(1, 5, 2.0, 1), (1, 3, 1.0, 2), (2, 4, 1.0, 3)], "station_id long, region_id long, value double, at long")
+    assert dict(rainfall.station_regions(df, order="at").collect()) == {1: 5, 2: 4}
+    assert dict(rainfall.station_regions(df.where("at <> 2")).collect()) == {1: 5, 2: 4}
+    with pytest.raises(Exception, match="several regions"):
+        rainfall.station_regions(df).collect()
+
+
+def test_unknown_flags_do_not_spread(spark):
+    df = spark.createDataFrame([(0.1, None, None), (0.1, True, None), (2.0, None, False)], "q double, urban boolean, coastal boolean")
+    got = [r.x for r in df.select(regime.low_confidence(F.col("q"), urban=F.col("urban"), coastal=F.col("coastal")).alias("x")).collect()]
+    assert got == [False, True, True]
