@@ -9,13 +9,16 @@ global numbering.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
-from .graph import accumulate, paths_from, smallest_reachable, terminals
+from .graph import accumulate, alone, paths_from, small, smallest_reachable, terminals
 from .zonal import lowest_cell, relabel_by_mode
 
 AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
@@ -58,7 +61,7 @@ def streams(acc: DataFrame, threshold: int = STREAM_CELLS) -> DataFrame:
     return acc.where(F.col("acc") >= threshold).select("cell")
 
 
-def _to_streams(pointers: DataFrame, stream: DataFrame) -> DataFrame:
+def drained_to(pointers: DataFrame, stream: DataFrame) -> DataFrame:
     """(cell, terminal) with stream cells as terminals; paths that end elsewhere get NULL."""
     marked = pointers.join(stream.select("cell", F.lit(True).alias("on")), "cell", "left")
     ended = terminals(marked.select("cell", F.when(F.col("on"), F.col("cell")).otherwise(F.col("down")).alias("down")))
@@ -66,10 +69,11 @@ def _to_streams(pointers: DataFrame, stream: DataFrame) -> DataFrame:
     return ended.join(reached, "terminal", "left").select("cell", F.when(F.col("on"), F.col("terminal")).alias("terminal"))
 
 
-def height_above_drainage(grid: DataFrame, pointers: DataFrame, stream: DataFrame, z: str = "z") -> DataFrame:
-    """(cell, hand): elevation over the stream cell that a cell drains to; NULL if it reaches none."""
+def height_above_drainage(grid: DataFrame, pointers: DataFrame, stream: DataFrame, z: str = "z", drained: DataFrame | None = None) -> DataFrame:
+    """(cell, hand): elevation over the stream cell that a cell drains to; NULL if it reaches none.  ``drained`` if it is known already."""
+    drained = drained_to(pointers, stream) if drained is None else drained
     low = grid.select(F.col("cell").alias("terminal"), F.col(z).alias("zt"))
-    return _to_streams(pointers, stream).join(low, "terminal", "left").join(grid.select("cell", F.col(z).alias("z")), "cell").select("cell", (F.col("z") - F.col("zt")).alias("hand"))
+    return drained.join(low, "terminal", "left").join(grid.select("cell", F.col(z).alias("z")), "cell").select("cell", (F.col("z") - F.col("zt")).alias("hand"))
 
 
 def stream_links(pointers: DataFrame, stream: DataFrame) -> DataFrame:
@@ -81,16 +85,17 @@ def stream_links(pointers: DataFrame, stream: DataFrame) -> DataFrame:
     return terminals(chain).select("cell", (F.col("terminal") + 1).alias("link_id"))
 
 
-def catchments(pointers: DataFrame, stream: DataFrame, links: DataFrame) -> DataFrame:
-    """(cell, catchment_id): the id of the link a cell drains to; 0 if it reaches none."""
+def catchments(pointers: DataFrame, stream: DataFrame, links: DataFrame, drained: DataFrame | None = None) -> DataFrame:
+    """(cell, catchment_id): the id of the link a cell drains to; 0 if it reaches none.  ``drained`` if it is known already."""
+    drained = drained_to(pointers, stream) if drained is None else drained
     named = links.select(F.col("cell").alias("terminal"), "link_id")
-    return _to_streams(pointers, stream).join(named, "terminal", "left").select("cell", F.coalesce("link_id", F.lit(0)).alias("catchment_id"))
+    return drained.join(named, "terminal", "left").select("cell", F.coalesce("link_id", F.lit(0)).alias("catchment_id"))
 
 
-def _basins(zs: DataFrame):
+def _basins(zs: DataFrame, pointers: DataFrame | None = None):
     """The grid with each cell's pit; passes (terminal, other, pass, cell, over): the lowest way from basin to
     basin, ``cell`` in the one and ``over`` in the other; and outlets (terminal, level, cell) at the border."""
-    ends = terminals(flow_direction(zs))
+    ends = terminals(flow_direction(zs) if pointers is None else pointers)
     labelled = checkpointed(zs.join(ends, "cell"))
     beside = neighbours(labelled, "cell", "terminal", "z").withColumnsRenamed({"cell": "over", "terminal": "other", "z": "zn"})
     met = beside.join(labelled, ["r", "c"])
@@ -101,23 +106,73 @@ def _basins(zs: DataFrame):
     return labelled, checkpointed(low.select("terminal", "other", "m.pass", "m.cell", "m.over")), outlets
 
 
+OUTSIDE = -1
+
+
+def _ways(terminal: np.ndarray, other: np.ndarray, w: np.ndarray):
+    """``_levels`` of a small graph: levels in ascending order from the outside, then fewest hops among the lowest ways."""
+    beside = defaultdict(list)
+    for t, o, x in zip(terminal.tolist(), other.tolist(), w.tolist(), strict=True):
+        beside[o].append((t, x))
+    level: dict[int, float] = {}
+    heap = [(-math.inf, OUTSIDE)]
+    while heap:
+        low, at = heapq.heappop(heap)
+        if at not in level:
+            level[at] = low
+            for t, x in beside[at]:
+                if t not in level:
+                    heapq.heappush(heap, (max(low, x), t))
+    hops, ring = {OUTSIDE: (-1, OUTSIDE)}, [OUTSIDE]
+    while ring:
+        found: dict[int, int] = {}
+        for at in ring:
+            for t, x in beside[at]:
+                if t not in hops and max(level[at], x) == level[t]:
+                    found[t] = min(found.get(t, at), at)
+        n = hops[ring[0]][0] + 1
+        hops |= {t: (n, o) for t, o in found.items()}
+        ring = list(found)
+    done = [t for t in hops if t != OUTSIDE]
+    return np.array(done, np.int64), np.array([level[t] for t in done]), np.array([hops[t][0] for t in done], np.int32), np.array([hops[t][1] for t in done], np.int64)
+
+
 def _levels(labelled: DataFrame, passes: DataFrame, outlets: DataFrame) -> DataFrame:
-    """(terminal, level, hops, other): each basin's least highest pass on its way out, and the next basin on it.
+    """(terminal, level, hops, other): each basin's least highest pass on its way out, and the next basin on it
+    (``OUTSIDE`` from an outlet).
 
-    Basins are relaxed over their graph, which is far smaller than the grid; of equal
-    levels the way of fewest hops counts, so the next basins form a tree.
+    Of equal levels the way of fewest hops counts, then the least next basin, so the
+    next basins form a tree.  Basins are a far smaller graph than the grid.  Up to
+    ``graph.ALONE`` passes one task solves it; a larger one is relaxed, first to the
+    levels and then, over the passes that lie on lowest ways, to the hops.
     """
-    start = outlets.select("terminal", F.struct("level", F.lit(0).alias("hops"), F.lit(-1).cast("bigint").alias("other")).alias("best"))
-    now = checkpointed(labelled.select("terminal").distinct().join(start, "terminal", "left"))
-    while True:
-        known = now.where("best is not null").select(F.col("terminal").alias("other"), F.col("best.level").alias("lo"), F.col("best.hops").alias("hops"))
-        way = F.struct(F.greatest("pass", "lo").alias("level"), (F.col("hops") + 1).cast("int").alias("hops"), F.col("other"))
-        offer = passes.join(known, "other").groupBy("terminal").agg(F.min(way).alias("new"))
-        better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))
-        step = checkpointed(now.join(offer, "terminal", "left").select("terminal", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"), better.alias("moved")))
-        now = step.select("terminal", "best")
-        if not step.where("moved").limit(1).count():
-            return now.select("terminal", "best.*")
+    edges = checkpointed(
+        passes.select("terminal", "other", F.col("pass").cast("double").alias("w")).unionByName(outlets.select("terminal", F.lit(OUTSIDE).cast("bigint").alias("other"), F.col("level").cast("double").alias("w")))
+    )
+    if small(edges):
+        return alone(edges, _ways, "terminal long, level double, hops int, other long")
+
+    def relaxed(links: DataFrame, start: DataFrame, step, kind: str) -> DataFrame:
+        now = checkpointed(start)
+        while True:
+            known = now.select(F.col("terminal").alias("other"), F.col("best").alias("b"))
+            offer = links.join(known, "other").groupBy("terminal").agg(F.min(step).cast(kind).alias("new"))
+            better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))
+            both = checkpointed(now.join(offer, "terminal", "full_outer").select("terminal", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"), better.alias("moved")))
+            now = both.select("terminal", "best")
+            if not both.where("moved").limit(1).count():
+                return now
+
+    outlet = edges.where(F.col("other") == OUTSIDE)
+    inner = edges.where(F.col("other") != OUTSIDE)
+    level = relaxed(inner, outlet.select("terminal", F.col("w").alias("best")), F.greatest("w", "b"), "double").withColumnRenamed("best", "level")
+    beyond = level.select(F.col("terminal").alias("other"), F.col("level").alias("lo")).unionByName(level.sparkSession.createDataFrame([(OUTSIDE, float("-inf"))], "other long, lo double"))
+    tight = checkpointed(edges.join(level, "terminal").join(beyond, "other").where(F.greatest("w", "lo") == F.col("level")).select("terminal", "other"))
+    start = tight.where(F.col("other") == OUTSIDE).select("terminal", F.lit(0).alias("best"))
+    hops = relaxed(tight.where(F.col("other") != OUTSIDE), start, F.col("b") + 1, "int").withColumnRenamed("best", "hops")
+    before = hops.select(F.col("terminal").alias("other"), (F.col("hops") + 1).alias("hops")).unionByName(hops.sparkSession.createDataFrame([(OUTSIDE, 0)], "other long, hops int"))
+    following = tight.join(before, "other").join(hops, ["terminal", "hops"]).groupBy("terminal", "hops").agg(F.min("other").alias("other"))
+    return following.join(level, "terminal").select("terminal", "level", "hops", "other")
 
 
 def fill(grid: DataFrame, z: str = "z") -> DataFrame:
@@ -129,34 +184,45 @@ def fill(grid: DataFrame, z: str = "z") -> DataFrame:
     return labelled.join(_levels(labelled, passes, outlets), "terminal").select("cell", F.greatest("z", "level").alias("filled"))
 
 
-def breach(grid: DataFrame, z: str = "z") -> DataFrame:
+def breach(grid: DataFrame, z: str = "z", max_dist: int | None = None) -> DataFrame:
     """(cell, down, z): a drainage that reaches the border from every cell, and the terrain carved to fit it.
 
     Each pit that is not an outlet drains over its basin's lowest way out: the flow
-    path from that pass down to the pit is turned round, and the cells on it are
-    lowered to the pit's level, so the carved terrain never rises along a turned path.
+    path from that pass down to the pit is turned round.  Every cell is lowered to the
+    least elevation that drains through it, so the carved terrain never rises along
+    the drainage.  A path of more than ``max_dist`` cells is left as it is, and its pit stays.
     This is a least-pass breach, not a least-cost one.
     """
     zs = checkpointed(grid.select("cell", "r", "c", F.col(z).alias("z")))
-    labelled, passes, outlets = _basins(zs)
-    tree = checkpointed(_levels(labelled, passes, outlets))
     pointers = checkpointed(flow_direction(zs))
-    out = tree.where("hops > 0").join(passes.select("terminal", "other", "cell", "over"), ["terminal", "other"]).select("terminal", "cell", "over")
-    rim = tree.where("hops = 0").join(outlets.select("terminal", "cell"), "terminal").select("terminal", "cell", F.col("cell").alias("over"))
+    labelled, passes, outlets = _basins(zs, pointers)
+    tree = checkpointed(_levels(labelled, passes, outlets))
+    out = tree.join(passes.select("terminal", "other", "cell", "over"), ["terminal", "other"]).select("terminal", "cell", "over")
+    rim = tree.where(F.col("other") == OUTSIDE).join(outlets.select("terminal", "cell"), "terminal").select("terminal", "cell", F.col("cell").alias("over"))
     heads = checkpointed(out.unionByName(rim))
-    path = paths_from(heads.select("cell"), pointers)
+    path = paths_from(heads.select("cell"), pointers).join(labelled.select("cell", "terminal"), "cell")
+    if max_dist is not None:
+        path = checkpointed(path)
+        far = path.groupBy("terminal").agg(F.count("*").alias("n")).where(F.col("n") > max_dist).select("terminal")
+        path, heads = path.join(far, "terminal", "left_anti"), heads.join(far, "terminal", "left_anti")
     back = path.join(pointers, "cell").where("down <> cell").select(F.col("down").alias("cell"), F.col("cell").alias("back"))
     turned = back.unionByName(heads.select("cell", F.col("over").alias("back")))
-    pits = labelled.select(F.col("cell").alias("terminal"), F.col("z").alias("zp"))
-    cut = path.join(labelled.select("cell", "terminal"), "cell").join(pits, "terminal").select("cell", "zp")
-    done = pointers.join(turned, "cell", "left").select("cell", F.coalesce("back", "down").alias("down"))
-    return done.join(zs.select("cell", "z"), "cell").join(cut, "cell", "left").select("cell", "down", F.coalesce("zp", "z").alias("z"))
+    done = checkpointed(pointers.join(turned, "cell", "left").select("cell", F.coalesce("back", "down").alias("down")).join(zs.select("cell", "z"), "cell"))
+    return done.select("cell", "down").join(accumulate(done, weight="z", least=True).withColumnRenamed("acc", "z"), "cell")
+
+
+#: Cells that a breach may be long; deeper-lying pits are filled.
+MAX_DIST = 1000
 
 
-def condition_dem(grid: DataFrame, z: str = "z", method: str = "breach") -> DataFrame:
-    """The grid with a terrain conditioned by ``breach`` or ``fill``."""
-    new = breach(grid, z).select("cell", F.col("z").alias("_new")) if method == "breach" else fill(grid, z).withColumnRenamed("filled", "_new")
-    return grid.join(new, "cell").withColumn(z, F.col("_new")).drop("_new")
+def condition_dem(grid: DataFrame, z: str = "z", method: str = "breach", max_dist: int | None = MAX_DIST) -> DataFrame:
+    """The grid with a terrain conditioned by ``breach``, pits it leaves filled, or by ``fill`` alone."""
+    if method == "breach":
+        carved = checkpointed(grid.select("cell", "r", "c").join(breach(grid, z, max_dist).select("cell", "z"), "cell"))
+        new = fill(carved, "z") if max_dist is not None else carved.select("cell", F.col("z").alias("filled"))
+    else:
+        new = fill(grid, z)
+    return grid.join(new.withColumnRenamed("filled", "_new"), "cell").withColumn(z, F.col("_new")).drop("_new")
 
 
 def sinks(grid: DataFrame, z: str = "z") -> DataFrame:
@@ -164,7 +230,7 @@ def sinks(grid: DataFrame, z: str = "z") -> DataFrame:
     wet = checkpointed(grid.select("cell", "r", "c", F.col(z).alias("z")).join(fill(grid, z), "cell").withColumn("on", F.col("filled") > F.col("z")))
     on = wet.where("on").select("cell", "r", "c")
     links = neighbours(on, "cell").withColumnRenamed("cell", "a").join(on, ["r", "c"]).select("a", F.col("cell").alias("b")).where("a < b")
-    stars = smallest_reachable(links).select(F.col("a").alias("cell"), F.col("b").alias("least"))
+    stars = smallest_reachable(links, together=True).select(F.col("a").alias("cell"), F.col("b").alias("least"))
     return wet.join(stars, "cell", "left").select("cell", F.when(F.col("on"), F.coalesce("least", "cell") + 1).otherwise(0).cast("bigint").alias("depression_id"))
 
 
@@ -215,7 +281,8 @@ def build_hand_stack(grid: DataFrame, threshold: int = STREAM_CELLS, segments: D
     if segments is not None:
         snapped = snap_to_lines(links.join(grid.select("cell", "r", "c"), "cell"), segments)
         named = links.join(snapped, "link_id").select("cell", F.col("label").alias("link_id"))
-    hand = height_above_drainage(filled, pointers, stream)
-    areas = catchments(pointers, stream, named)
+    drained = checkpointed(drained_to(pointers, stream))
+    hand = height_above_drainage(filled, pointers, stream, drained=drained)
+    areas = catchments(pointers, stream, named, drained)
     reach = named.select("cell", F.col("link_id").alias("reach_id"))
     return grid.join(hand, "cell", "left").join(areas, "cell", "left").join(reach, "cell", "left").withColumn("reach_id", F.coalesce("reach_id", F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..sources import fixtures as fx
 from . import queries as q
 
@@ -162,6 +164,43 @@ DRAINED = [
     "climb AS (SELECT cell, cell AS cur FROM st UNION ALL SELECT c.cell, u.up FROM climb c JOIN ups u ON u.cell = c.cur WHERE u.n = 1)",
     "link AS (SELECT c.cell, c.cur + 1 AS link_id FROM climb c JOIN ups u ON u.cell = c.cur WHERE u.n <> 1)",
 ]
+def carved(amplitude: int, reach: int | None = None) -> list[str]:
+    """The breach of a grid g0: pointers ptr and terrain grid.  Levels come by as many relaxations as there are basins."""
+    near = "" if reach is None else f" AND t IN (SELECT t FROM pth JOIN lab USING (cell) GROUP BY 1 HAVING count(*) <= {reach})"
+    return [
+        grid(amplitude).replace("grid AS", "g0 AS", 1), re.sub(r"\bgrid\b", "g0", re.sub(r"\bptr\b", "p0", POINTERS)),
+        "w0 AS (SELECT cell AS src, cell AS cur FROM p0 UNION ALL SELECT w.src, p.down FROM w0 w JOIN p0 p ON p.cell = w.cur WHERE p.down <> p.cell)",
+        "lab AS (SELECT g0.*, cur AS t FROM g0 JOIN w0 ON src = g0.cell JOIN p0 ON p0.cell = cur AND p0.down = cur)",
+        "nb AS (SELECT a.cell, a.t, a.z, b.cell AS over, b.t AS other, b.z AS zn FROM lab a JOIN lab b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND b.cell <> a.cell)",
+        "rim AS (SELECT t, min(z) AS w, arg_min(cell, (z, cell)) AS cell FROM lab WHERE cell NOT IN (SELECT cell FROM nb GROUP BY 1 HAVING count(*) = 8) GROUP BY 1)",
+        "pass AS (SELECT t, other, w, cell, over FROM (SELECT t, other, greatest(z, zn) AS w, cell, over, row_number() OVER (PARTITION BY t, other ORDER BY greatest(z, zn), cell, over) AS n FROM nb WHERE other <> t) WHERE n = 1)",
+        "edge AS (SELECT t, other, w FROM pass UNION ALL SELECT t, -1, w FROM rim UNION ALL SELECT -1, -1, CAST('-inf' AS DOUBLE))",
+        "lv AS (SELECT -1 AS t, CAST('-inf' AS DOUBLE) AS level, 0 AS i UNION ALL SELECT e.t, min(greatest(e.w, l.level)), l.i + 1 FROM lv l JOIN edge e ON e.other = l.t WHERE l.i <= (SELECT count(DISTINCT t) FROM lab) GROUP BY e.t, l.i)",
+        "lev AS (SELECT t, level FROM lv WHERE i = (SELECT max(i) FROM lv))",
+        "tight AS (SELECT e.t, e.other FROM edge e JOIN lev a ON a.t = e.t JOIN lev b ON b.t = e.other WHERE e.t <> -1 AND greatest(e.w, b.level) = a.level)",
+        "hp AS (SELECT -1 AS t, 0 AS h UNION SELECT k.t, h + 1 FROM hp JOIN tight k ON k.other = hp.t WHERE h <= (SELECT count(DISTINCT t) FROM lab))",
+        "hops AS (SELECT t, min(h) AS h FROM hp GROUP BY 1)",
+        "nxt AS (SELECT k.t, min(k.other) AS other FROM tight k JOIN hops a ON a.t = k.t JOIN hops b ON b.t = k.other AND a.h = b.h + 1 GROUP BY 1)",
+        "heads0 AS (SELECT t, cell, over FROM nxt JOIN pass USING (t, other) UNION ALL SELECT t, cell, cell FROM nxt JOIN rim USING (t) WHERE other = -1)",
+        "pth AS (SELECT cell FROM heads0 UNION SELECT p.down FROM pth JOIN p0 p USING (cell) WHERE p.down <> p.cell)",
+        f"way AS (SELECT cell, t FROM pth JOIN lab USING (cell) WHERE TRUE{near})",
+        f"turn AS (SELECT down AS cell, cell AS back FROM way JOIN p0 USING (cell) WHERE down <> cell UNION ALL SELECT cell, over FROM heads0 WHERE TRUE{near})",
+        "ptr AS (SELECT p0.cell, coalesce(back, down) AS down FROM p0 LEFT JOIN turn USING (cell))",
+        "w1 AS (SELECT cell AS src, cell AS cur FROM ptr UNION ALL SELECT w.src, p.down FROM w1 w JOIN ptr p ON p.cell = w.cur WHERE p.down <> p.cell)",
+        "grid AS (SELECT g0.* REPLACE (low AS z) FROM g0 JOIN (SELECT cur AS cell, min(z) AS low FROM w1 JOIN g0 ON g0.cell = src GROUP BY 1) USING (cell))",
+    ]
+
+
+def flooded(src: str) -> list[str]:
+    """The filled level of every cell: as many relaxations as a way out may take on these grids."""
+    return [
+        f"nbr AS (SELECT a.cell, b.cell AS over FROM {src} a JOIN {src} b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND b.cell <> a.cell)",
+        "inner_ AS (SELECT cell FROM nbr GROUP BY 1 HAVING count(*) = 8)",
+        f"fl AS (SELECT cell, CASE WHEN cell IN (SELECT cell FROM inner_) THEN CAST('inf' AS DOUBLE) ELSE z END AS w, 0 AS i FROM {src} UNION ALL (SELECT cell, w, i FROM (SELECT n.cell, greatest(g.z, min(f.w)) AS w, f.i + 1 AS i FROM fl f JOIN nbr n ON n.over = f.cell JOIN {src} g ON g.cell = n.cell WHERE f.i < 250 AND n.cell IN (SELECT cell FROM inner_) GROUP BY n.cell, g.z, f.i UNION ALL SELECT f.cell, f.w, f.i + 1 FROM fl f WHERE f.i < 250 AND f.cell NOT IN (SELECT cell FROM inner_))))",
+        "filled AS (SELECT cell, w AS filled FROM fl WHERE i = 250)",
+    ]
+
+
 BLOCK_GRID = [grid(fx.AMPLITUDE_ROUGH), f"blk AS (SELECT *, {q.BLOCKS} AS depression_id FROM grid)", "pour AS (SELECT * FROM (SELECT depression_id, cell, z, row_number() OVER (PARTITION BY depression_id ORDER BY z, r, c) AS n FROM blk WHERE depression_id > 0) WHERE n = 1)"]
 
 
@@ -328,6 +367,21 @@ ORACLES: dict[str, str] = {
     "hand_grid": statement(DRAINED[:7], f"SELECT g.cell, {r('g.z - t.z', 'hand')} FROM grid g LEFT JOIN reach ON reach.cell = g.cell LEFT JOIN grid t ON t.cell = reach.terminal", True),
     "stream_links": statement(DRAINED, "SELECT cell, link_id FROM link", True),
     "subbasins": statement(DRAINED, "SELECT g.cell, coalesce(link_id, 0) AS catchment_id FROM grid g LEFT JOIN reach ON reach.cell = g.cell LEFT JOIN link ON link.cell = reach.terminal", True),
+    "hand_stack": statement(
+        [*carved(fx.AMPLITUDE_SMOOTH), *DRAINED[2:]],
+        f"SELECT g.cell, {r('g.z - t.z', 'hand')}, coalesce(mine.link_id, 0) AS reach_id, coalesce(link.link_id, 0) AS catchment_id FROM grid g LEFT JOIN reach ON reach.cell = g.cell LEFT JOIN grid t ON t.cell = reach.terminal LEFT JOIN link ON link.cell = reach.terminal LEFT JOIN link mine ON mine.cell = g.cell",
+        True,
+    ),
+    "condition_dem": statement([*carved(fx.AMPLITUDE_ROUGH, 3), *flooded("grid")], f"SELECT cell, {r('filled', 'z')} FROM filled", True),
+    "fill_dem": statement([grid(fx.AMPLITUDE_ROUGH), *flooded("grid")], f"SELECT cell, {r('filled')} FROM filled", True),
+    "delineate_depressions": statement(
+        [
+            grid(fx.AMPLITUDE_ROUGH), *flooded("grid"), "wet AS (SELECT cell FROM filled JOIN grid USING (cell) WHERE filled > z)",
+            "conn AS (SELECT cell, cell AS low FROM wet UNION SELECT n.over, c.low FROM conn c JOIN nbr n USING (cell) WHERE n.over IN (SELECT cell FROM wet))",
+        ],
+        "SELECT grid.cell, CAST(coalesce(min(low) + 1, 0) AS BIGINT) AS depression_id FROM grid LEFT JOIN conn USING (cell) GROUP BY 1",
+        True,
+    ),
     "pour_points": statement(BLOCK_GRID, f"SELECT depression_id, cell, {r('z')} FROM pour"),
     "watershed": statement(
         [*BLOCK_GRID, POINTERS, "walk AS (SELECT cell AS src, cell AS cur FROM ptr UNION ALL SELECT w.src, p.down FROM walk w JOIN ptr p ON p.cell = w.cur WHERE p.down <> p.cell AND w.cur NOT IN (SELECT cell FROM pour))"],

@@ -423,6 +423,12 @@ def hand_stack(spark, sf_dir):
     return out.select("cell", "hand", "reach_id", "catchment_id")
 
 
+@query
+def condition_dem(spark, sf_dir):
+    """A short reach, so that some pits are breached and others filled."""
+    return terrain.condition_dem(fx.grid(spark, sf_dir, fx.AMPLITUDE_ROUGH), max_dist=3).select("cell", "z")
+
+
 @query
 def fill_dem(spark, sf_dir):
     return terrain.fill(fx.grid(spark, sf_dir, fx.AMPLITUDE_ROUGH))

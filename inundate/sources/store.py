@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The table, written to the checkpoint folder all executors share, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one only where
-    that is unset (tests, local mode).
+    A temporary folder stands in for it in local mode (tests); on a cluster, where
+    executors would each write to their own disk, it must be set.
     """
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master") or ""):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="inundate-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table, written to the checkpoint folder all executors share, without its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inundate-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

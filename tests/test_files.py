@@ -82,3 +82,23 @@ def test_vectors(spark, tmp_path):
     rings = vectors.read_rings(spark, path)
     assert rings.first().ring == [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
     assert tuple(raster.bounds(vectors.vertices(rings)).first()) == (0.0, 0.0, 4.0, 3.0)
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    from inundate.sources import store
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            conf: dict = {}
+
+            @classmethod
+            def getConf(cls):  # noqa: N802
+                return cls.conf
+
+    for conf, kind in (({"spark.master": "yarn"}, ValueError), ({"spark.master": "local-cluster[2,1,1024]"}, ValueError), ({"spark.master": "yarn", "spark.checkpoint.dir": "s3://x/y"}, str), ({"spark.master": "local[4]"}, str)):
+        Session.sparkContext.conf = conf
+        if kind is ValueError:
+            with pytest.raises(ValueError, match="share"):
+                store.shared_folder(Session)
+        else:
+            assert isinstance(store.shared_folder(Session), str)

@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from inundate.operators import graph, raster, terrain
 from inundate.sources import tables
@@ -163,3 +164,50 @@ def test_stage_tables(spark, tmp_path):
     assert tables.stage_table(spark, path, lambda: make(3)).count() == 3
     assert tables.stage_table(spark, path, lambda: make(5)).count() == 3
     assert tables.stage_table(spark, path, lambda: make(5), overwrite=True).count() == 5 and made == [3, 5]
+
+
+def rough(spark, seed=0, rows=8, cols=7):
+    rng = np.random.default_rng(seed)
+    z = np.round(rng.random((rows, cols)) * 6)  # many ties
+    return spark.createDataFrame([(r * cols + c, r, c, float(z[r, c])) for r in range(rows) for c in range(cols)], "cell long, r long, c long, z double")
+
+
+def test_one_task_and_rounds_agree(spark, monkeypatch):
+    """Small graphs are solved in one task; the rounds of large ones come to the same."""
+    g = rough(spark).cache()
+    pointers = terrain.flow_direction(g).cache()
+    links = spark.createDataFrame([(1, 2), (3, 2), (7, 5), (5, 9), (9, 9), (12, 7)], "a long, b long")
+    starts = g.where("cell % 13 = 0").select("cell")
+
+    def everything():
+        found = (
+            graph.terminals(pointers), graph.accumulate(pointers), graph.accumulate(pointers.withColumn("w", F.col("cell") * 0.5), weight="w"), graph.accumulate(pointers.withColumn("w", 9 - F.col("cell")), weight="w", least=True), graph.paths_from(starts, pointers),
+            graph.smallest_reachable(links, together=True), terrain.breach(g, max_dist=2),
+        )
+        return [sorted(map(tuple, df.select(sorted(df.columns)).collect())) for df in found]
+
+    alone = everything()
+    monkeypatch.setattr(graph, "ALONE", 0)
+    assert alone == everything()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_breach_within_a_distance(spark, seed):
+    """Far pits stay in the carved terrain and are filled afterwards; without a bound nothing is left to fill."""
+    g = rough(spark, seed)
+    whole = {r.cell: r.z for r in terrain.condition_dem(g, max_dist=None).collect()}
+    assert {r.cell: r.z for r in terrain.condition_dem(g, max_dist=1000).collect()} == whole
+    carved = spark.createDataFrame([(r.cell, r.r, r.c, whole[r.cell]) for r in g.collect()], g.schema)
+    assert {r.cell: r.filled for r in terrain.fill(carved).collect()} == whole
+    none = {r.cell: r.z for r in terrain.condition_dem(g, max_dist=0).collect()}
+    assert none == {r.cell: r.filled for r in terrain.fill(g).collect()}
+    some = {r.cell: r.z for r in terrain.condition_dem(g, max_dist=2).collect()}
+    mine = {r.cell: r.z for r in g.collect()}
+    assert all(some[c] >= min(whole[c], mine[c]) for c in some) and some != none
+
+
+def test_graphs_without_rows(spark):
+    none = spark.createDataFrame([], "cell long, down long")
+    assert graph.terminals(none).count() == 0 and graph.accumulate(none).count() == 0 and graph.paths_from(none.select("cell"), none).count() == 0
+    assert graph.smallest_reachable(spark.createDataFrame([], "a long, b long"), together=True).count() == 0
+    assert terrain.fill(spark.createDataFrame([], "cell long, r long, c long, z double")).count() == 0
