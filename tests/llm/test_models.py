@@ -59,32 +59,91 @@ def test_no_letters_is_unknown(spark):
     assert got[1000] == got[1001] == got[1006] == ("und", 0.0)
 
 
-def test_pseudo_likelihood_learns_and_sums_to_one():
+def by_hand(net, text, counts):
+    """The score word by word, from the parameters and the corpus's counts."""
+    ws = [likelihood.stripped(w) for w in likelihood.words(text)]
+    place = net.place
+    known = lambda w, n: place.get(w, n) < n
+    target = lambda w: place[w] if known(w, likelihood.VOCAB) else likelihood.VOCAB + likelihood.shape(w)
+    context = lambda w: place[w] if known(w, likelihood.CONTEXT) else likelihood.CONTEXT + likelihood.shape(w)
+    totals, total = Counter(), 0.0
+    for w, n in counts.items():
+        totals[target(w)] += n
+    for i, w in enumerate(ws):
+        h = net.w["bias"].astype(float)
+        for k, d in enumerate(likelihood.OFFSETS):
+            h = h + net.w["context"][k][context(ws[i + d]) if 0 <= i + d < len(ws) else likelihood.CONTEXT + likelihood.OTHERS]
+        logits = np.tanh(h) @ net.w["out"].astype(float) + net.w["out_bias"]
+        total += logits[target(w)] - np.logaddexp.reduce(logits) + (0 if known(w, likelihood.VOCAB) else math.log(counts[w] / totals[target(w)]))
+    return total
+
+
+def test_pseudo_likelihood_learns():
     rng = random.Random(0)
     texts = [" ".join(rng.choice(["a b c d", "a x y d"]) for _ in range(20)) for _ in range(60)]
-    net = likelihood.Network([b"a", b"b", b"c", b"d", b"x", b"y"], np.ones(likelihood.OTHERS))
-    losses = net.fit([net.classes(t) for t in texts], rounds=150)
+    net = likelihood.Network([(w, 100) for w in (b"a", b"b", b"c", b"d", b"x", b"y")], np.ones(likelihood.CLASSES))
+    losses = net.fit([net.codes(t) for t in texts], rounds=150)
     assert losses[-1] < 0.3 * losses[0]
-    assert net.score([net.classes("a b c d")])[0] > net.score([net.classes("a b y d")])[0] + 1
-    flat, at = net.laid_out([net.classes("a b c d")])
-    total = np.zeros(len(at))
-    for c in range(likelihood.CLASSES):
-        other = flat.copy()
-        one = np.zeros(len(at))
-        for k, p in enumerate(at):  # only the target changes, not the context
-            other = flat.copy()
-            h = net.hidden(flat, np.array([p])) @ net.out + net.out_bias
-            one[k] = math.exp(h[0, c]) / np.exp(h).sum()
-        total += one
-    assert np.allclose(total, 1, atol=1e-4)
-
-
-def test_scores_add_up(spark):
+    assert net.score([net.codes("a b c d")])[0] > net.score([net.codes("a b y d")])[0] + 1
+
+
+def test_window_gradients():
+    net = likelihood.Network([(w, 100) for w in (b"a", b"b", b"c")], np.ones(likelihood.CLASSES))
+    net.w = {k: v.astype(float) for k, v in net.w.items()}
+    flat, at = net.laid_out([net.codes("a b c a zz b"), net.codes("c c a")])
+    near, target = net.context_of[flat], net.target_of[flat]
+    _, g = net.gradients(near, target, at)
+    for name, grad in g.items():
+        i = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        old, eps = net.w[name][i], 1e-5
+        net.w[name][i] = old + eps
+        up = net.gradients(near, target, at)[0]
+        net.w[name][i] = old - eps
+        down = net.gradients(near, target, at)[0]
+        net.w[name][i] = old
+        assert grad[i] == pytest.approx((up - down) / (2 * eps), rel=1e-3), name
+
+
+@pytest.mark.parametrize("sent", [65_536, 300])
+def test_scores_equal_brute_force(spark, monkeypatch, sent):
+    """Whether a word's count is sent or joined, its score is the class's probability times its share by the whole corpus."""
+    monkeypatch.setattr(likelihood, "SENT", sent)
+    monkeypatch.setattr(likelihood, "ROUNDS", 30)
     docs = documents(spark, n=40)
-    net = likelihood.train(docs)
-    for r in likelihood.score(docs, net).collect():
-        assert (r.mean_log_prob is None) == (r.n_words == 0)
-        assert r.n_words == 0 or r.log_prob / r.n_words == pytest.approx(r.mean_log_prob)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counts = Counter(likelihood.stripped(w) for t in texts.values() for w in likelihood.words(t))
+    model = likelihood.train(docs)
+    assert len(model.net.place) <= sent and (sent > 300) == (model.rare.count() == 0)
+    assert model.net.place == {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))) if i < len(model.net.place)}
+    for r in likelihood.score(docs, model).collect():
+        n = len(likelihood.words(texts[r.doc_id]))
+        assert r.n_words == n and r.log_prob == pytest.approx(by_hand(model.net, texts[r.doc_id], counts), rel=1e-4, abs=1e-3)
+        assert (r.mean_log_prob is None) if n == 0 else r.mean_log_prob == pytest.approx(r.log_prob / n)
+
+
+def test_gradients_of_all_documents(spark, monkeypatch):
+    """Every document takes part, whatever the tasks, and steps along them lower the loss."""
+    monkeypatch.setattr(likelihood, "TASKS", 2)
+    docs = documents(spark, n=60)
+    net = likelihood.train(docs).net
+    net = likelihood.Network([(w, 1) for w in net.place], np.ones(likelihood.CLASSES))
+    net.fit([net.codes("the of the")], rounds=3)
+    loss, g = likelihood.corpus_gradients(docs, net)
+    other, h = likelihood.corpus_gradients(docs.repartition(7), net)
+    assert loss == pytest.approx(other, rel=1e-6) and all(np.allclose(g[k], h[k], atol=1e-6) for k in g)
+    for _ in range(3):
+        net.step(likelihood.corpus_gradients(docs, net)[1])
+    assert likelihood.corpus_gradients(docs, net)[0] < loss
+
+
+def test_words_of_the_corpus_tell_texts_apart(spark):
+    """Of two strange texts alike in form, the one whose words occur elsewhere too is the likelier."""
+    rng = random.Random(4)
+    strange = ["".join(rng.choice("bcdfgk") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    once, twice = " ".join(strange[:30]), " ".join(strange[30:])
+    data = [(i, prose(rng, "en", 60)) for i in range(40)] + [(100, once), (101, twice), (102, twice)]
+    got = {r.doc_id: r.log_prob for r in likelihood.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[101] == pytest.approx(got[102]) and got[101] > got[100] + 10
 
 
 @pytest.fixture(scope="module")
