@@ -3,15 +3,19 @@ r"""Quality rules: base counts and distribution divergence.
 Words are ``[^\x20\x09-\x0D]+``.  The base counts follow the query's contract.  The
 method compares two histograms of a document, of character classes and of common
 words, with those of every language's reference by Jensen-Shannon distance (base
-2); the least distance over the languages counts.  A document is kept if it does
-not fail the base rules and neither distance is over its limit; a histogram with
-fewer than ``MIN_CHARS`` characters or ``MIN_WORDS`` words decides nothing.
+2); the least distance over the languages counts.  Distances of words are measured
+against the distance that a text without any common word has from the same
+reference (``word_distance`` 1), as most words of any text are others.  A document is
+kept if it does not fail the base rules and neither distance is over its limit; a
+histogram with fewer than ``MIN_CHARS`` characters or ``MIN_WORDS`` words decides
+nothing, and neither does a reference with less than ``MIN_COMMON`` common words.
 
 References sum the histograms of all documents of a language that pass the base
 rules.  The ``COMMON`` words of a language are those in most of its documents, all
-counted.  Null text is empty (base_failed); null lang adds to no reference;
-repeated rows give repeated rows; with no reference at all (an empty or a tiny
-table) the distances are null and decide nothing.
+counted; of words in as many documents the first by bytes.  Null text is empty
+(base_failed); null lang adds to no reference; repeated rows give repeated rows; with
+no reference at all (an empty or a tiny table) the distances are null and decide
+nothing; other columns are left behind, whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from .common import SPACES, batch, slices, texts
 
 COMMON, PARTS = 40, 64
 MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CLASS, MAX_WORD = 0.30, 0.45
+MAX_CLASS, MAX_WORD = 0.30, 0.90
+#: Share of common words that a reference needs to tell them from others.
+MIN_COMMON = 0.05
 MIN_BASE_WORDS = 50
 
 LOWER, UPPER, DIGIT, SPACE, STOP, SYMBOL, MARK, BEYOND, REST = range(9)
@@ -166,16 +172,19 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = checkpointed(features(docs, common))
     refs = references(rows, size)
     classes = [r[:REST] / r[:REST].sum() for r in refs]
-    words = [r[REST:] / r[REST:].sum() for r in refs]
+    words = [p for r in refs for p in [r[REST:] / r[REST:].sum()] if 1 - p[-1] >= MIN_COMMON]
+    none = np.zeros(size - REST)
+    none[-1] = 1.0
+    strange = [float(divergence(none, p)) for p in words]  # of a text without common words
 
     def run(it):
         for b in it:
             n = b.num_rows
             hist = np.frombuffer(b"".join(b["hist"].to_pylist()), "<u4").reshape(n, size).astype(float)
             out = {}
-            for name, part, refs, least in (("class_distance", hist[:, :REST], classes, MIN_CHARS), ("word_distance", hist[:, REST:], words, MIN_WORDS)):
+            for name, part, refs, units, least in (("class_distance", hist[:, :REST], classes, [1.0] * len(classes), MIN_CHARS), ("word_distance", hist[:, REST:], words, strange, MIN_WORDS)):
                 total = part.sum(1)
-                d = np.min([divergence(part / np.maximum(total, 1)[:, None], r) for r in refs], 0) if refs else np.zeros(n)
+                d = np.min([divergence(part / np.maximum(total, 1)[:, None], r) / unit for r, unit in zip(refs, units, strict=True)], 0) if refs else np.zeros(n)
                 out[name] = np.where((total >= least) & bool(refs), d, np.nan)
             failed = b["base_failed"].to_numpy(zero_copy_only=False)
             far = (np.nan_to_num(out["class_distance"]) > MAX_CLASS) | (np.nan_to_num(out["word_distance"]) > MAX_WORD)

@@ -1,6 +1,7 @@
 """Operators against plain brute-force versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -58,6 +59,67 @@ def test_common_words_of_a_rare_language(spark):
     assert got == [b"alpha", b"beta", b"palabra", b"rara", b"x"]
 
 
+def zipf(rng, n, words):
+    return " ".join(w if rng.random() < 0.35 else "".join(rng.choices("abdefgiklmnorstu", k=rng.randint(4, 9))) for w in rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
+
+
+def test_text_without_common_words_is_rejected(spark):
+    rng = random.Random(6)
+    english, spanish = ["the", "of", "and", "to", "in", "is", "that", "for"], ["que", "de", "los", "las", "por", "con", "una", "del"]
+    clean = [(i, zipf(rng, rng.choice([80, 150, 400]), english if i % 2 else spanish), "en" if i % 2 else "es") for i in range(200)]
+    strange = [(1000 + i, zipf(rng, 200, ["zug"]).replace("zug", "glim"), "en") for i in range(5)]
+    strange = [(i, " ".join(w for w in t.split() if w != "glim"), lang) for i, t, lang in strange]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(clean + strange, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, _, _ in clean) and not any(got[i].kept for i, _, _ in strange)
+    assert all(got[i].word_distance > 0.98 for i, _, _ in strange)
+
+
+def test_verdict_equals_plain_recomputation(spark, monkeypatch):
+    """Both histograms, references and distances by hand, over documents of two languages with odd ones among them."""
+    rng = random.Random(7)
+    monkeypatch.setattr(quality, "COMMON", 6)
+    data = [(r[0], r[1], r[2]) for r in rows(n=60)] + [(5000 + i, zipf(rng, 90, ["the", "of", "and"]) + " # $ 77" * (i % 40), ["en", "de", None][i % 3]) for i in range(60)]
+    strip = lambda w: w.strip(".,;:!?'\"()-")
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    by_lang = defaultdict(Counter)
+    for _, t, lang in data:
+        if lang is not None:
+            by_lang[lang].update({strip(w) for w in WORD.findall(low(t))} - {""})
+    common = sorted({w for c in by_lang.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:6]})
+
+    def kinds(t):
+        sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\x0b\x0c", ".,;:!?'\"()-", "#*$%&|<>"]
+        return Counter(next((i for i, x in enumerate(sets) if ch in x), 7 if ord(ch) > 127 else 6) for ch in t or "")
+
+    def named(t):
+        return Counter(strip(w) if strip(w) in common else None for w in WORD.findall(low(t)))
+
+    def js(p, q):
+        a, b, total = sum(p.values()), sum(q.values()), 0.0
+        for k in set(p) | set(q):
+            x, y = p[k] / a, q[k] / b
+            for v in (x, y):
+                total += v * np.log2(2 * v / (x + y)) / 2 if v else 0.0
+        return math.sqrt(max(total, 0.0))
+
+    refs = {}
+    for lang in by_lang:
+        own = [t for _, t, other in data if other == lang and not base(t)[5]]
+        if own:
+            refs[lang] = sum((kinds(t) for t in own), Counter()), sum((named(t) for t in own), Counter())
+    seen = set()
+    for r in quality.judge(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)).collect():
+        t = next(x for i, x, _ in data if i == r.doc_id)
+        chars, ws = len(t or ""), len(WORD.findall(t or ""))
+        classes = min(js(kinds(t), a) for a, _ in refs.values()) if chars >= quality.MIN_CHARS else None
+        common_ = min(js(named(t), b) / js(Counter([None]), b) for _, b in refs.values()) if ws >= quality.MIN_WORDS else None
+        assert r.class_distance == (None if classes is None else pytest.approx(classes, abs=1e-9))
+        assert r.word_distance == (None if common_ is None else pytest.approx(common_, abs=1e-9))
+        assert r.kept == (not base(t)[5] and (classes or 0) <= quality.MAX_CLASS and (common_ or 0) <= quality.MAX_WORD)
+        seen.add((r.base_failed, r.kept))
+    assert {(False, True), (False, False), (True, False)} <= seen
+
+
 def test_divergence_bounds():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0.0, 1.0])
     d = quality.divergence(p, q)
