@@ -10,10 +10,11 @@ share at least 2 whole blocks, so every distinct fingerprint goes to 15 trees, o
 for each pair of blocks and value.  A tree's children are keyed by their integer
 Hamming distance to the parent, and a search follows only edges within the radius
 of the distance just measured.  Trees of a shard are built and searched level by
-level, all at once.  A key with more than ``TREE`` fingerprints is parted by a hash
-into trees of about ``TREE`` nodes, and each pair of parts meets once: the one's tree
-goes to the other's fingerprints (sending every tree to every executor would grow
-with the corpus).
+level, all at once.  The fingerprints of a key with more than ``TREE`` of them are
+dealt out again in the same way by the bits that they do not share yet, until no
+tree is larger (or ``FEW`` bits are left, which bound it); so a hot key costs 15 rows
+for each of its fingerprints, not a row for each pair of parts.  Sending every tree to
+every executor would grow with the corpus.
 
 Equal fingerprints are one node, whatever the number of copies.  From a shard only
 a spanning forest of the links found leaves, at most one link for each row.
@@ -40,14 +41,16 @@ from .common import batch, slices, texts
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 6
-TREE = 2048
+TREE, FEW = 16_384, 14
 SHARD_ROWS = 60_000
-#: Of the pipeline's stage: bands of least hashes, bits that copies may differ in, and the least hashes (of ``BANDS *
-#: BAND``) that they share at least then, or whatever their bits.
-BANDS, BAND = 14, 4
-ORDER_RADIUS, SHARED, SURE = 14, 28, 42
-#: Members of a component judged in one task; of a larger one so many lead at a time.
-TOGETHER, LEAD_PARTS = 2000, 16
+#: Of the pipeline's stage: members of a band compared in one task; those of a larger one meet in parts.
+PART = 2048
+#: Of the pipeline's stage: words of a shingle and the similarity of copies; bands of least hashes, and how many of the
+#: ``BANDS * BAND`` two texts share that are compared (copies share about 46 and hardly ever fewer than 40).
+WIDTH, ALIKE = 5, 0.8
+BANDS, BAND, SHARED = 14, 4, 36
+#: Members of a component judged in one task; of a larger one so many lead at a time.  Members of a task.
+TOGETHER, LEAD_PARTS, JUDGED_ROWS = 2000, 16, 15_000
 
 
 def _hashes(data: bytes, width: int):
@@ -106,11 +109,11 @@ def least_hashes(parts: list[np.ndarray]) -> np.ndarray:
     return least
 
 
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, the fingerprint fp, a byte of each least hash (sig) and the keys of the bands."""
+    """doc_id, the text's hash, the fingerprint fp, a byte of each least hash (sig) and the keys of the bands."""
 
     def run(it):
         for b in slices(it):
@@ -122,9 +125,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sigs.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
                 bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND))])
             keys = np.array(bands, "<u8").reshape(-1, BANDS).view("<i8").tolist()
-            yield batch(_SKETCHES, doc_id=b["doc_id"], fp=np.array(fps, "<u8").view("<i8"), sig=sigs, bands=keys)
+            yield batch(_SKETCHES, doc_id=b["doc_id"], text_hash=b["text_hash"], fp=np.array(fps, "<u8").view("<i8"), sig=sigs, bands=keys)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, sig binary, bands array<long>")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, sig binary, bands array<long>")
+
+
+def shingle_set(data: bytes) -> bytes:
+    """The different ``WIDTH``-word shingles' hashes, 32 bits each, ascending."""
+    parts = [p >> np.uint64(32) for p in _hashes(data, WIDTH)]
+    return np.unique(np.concatenate(parts) if parts else np.zeros(0, "<u8")).astype("<u4").tobytes()
 
 
 class Forest:
@@ -204,44 +213,71 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _shard(rows: pa.Table) -> pa.Table:
-    key, low, high, part, fp = (rows[n].to_numpy() for n in ("key", "low", "high", "part", "fp"))
-    fp, held, asks = fp.view(np.uint64), part == low, part == high
-    tree = np.unique(np.stack([key, low, high], 1), axis=0, return_inverse=True)[1].ravel()
+    key, fp = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+    tree = np.unique(key, return_inverse=True)[1].ravel()
     nodes, own = np.unique(fp, return_inverse=True)
-    forest = Forest(tree[held], fp[held])
-    mine, asking = own[held][forest.order], own[asks]
+    forest = Forest(tree, fp)
+    mine = own[forest.order]
     parent = np.arange(len(nodes))
-    for q, node in forest.search(tree[asks], fp[asks]):
-        unite(parent, asking[q], mine[node])
+    for q, node in forest.search(tree, fp):
+        unite(parent, own[q], mine[node])
     while not np.array_equal(up := parent[parent], parent):
         parent = up
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return pa.table([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[parent[moved]].view(np.int64))], schema=_LINKS)
 
 
-def _keys(fp):
-    """The 15 keys of a fingerprint: the pair of blocks' number and their bits."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(edges, edges[1:], strict=False)]
-    keys = [F.shiftleft(F.lit(n).cast("long"), 56).bitwiseOR(F.shiftleft(parts[i], 28)).bitwiseOR(parts[j]) for n, (i, j) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))]
-    return F.explode(F.array(*keys))
+def blocks(free: int) -> list[int]:
+    """Masks of the keys: the free bits (a mask) cut into ``BLOCKS`` blocks, and every choice of as many as must be whole."""
+    bits = [b for b in range(64) if free >> b & 1]
+    cuts = [len(bits) * i // BLOCKS for i in range(BLOCKS + 1)]
+    parts = [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(parts, BLOCKS - RADIUS)]
 
 
-def _dealt(keyed: DataFrame, hot: DataFrame) -> DataFrame:
-    """(key, fp, part, low, high): every two parts of a key's fingerprints meet once; ``hot`` has the parts of large keys."""
-    salted = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+EVERY = (1 << 64) - 1
+_KEYED = pa.schema([("key", pa.int64()), ("free", pa.int64()), ("fp", pa.int64())])
+KEYED = "key long, free long, fp long"
+
+
+def deal(it):
+    """(key, free, fp) rows under the next keys: a hash of the key so far and the bits of a choice of blocks.
+
+    Should two keys hash alike, their fingerprints share a tree, which loses nothing.
+    """
+    for b in it:
+        key, free, fp = (b[n].to_numpy().view(np.uint64) for n in ("key", "free", "fp"))
+        for mask in np.unique(free).tolist():
+            own = free == mask
+            for i, chosen in enumerate(blocks(mask)):
+                z = (key[own] ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & EVERY)) * np.uint64(0xBF58476D1CE4E5B9) + (fp[own] & np.uint64(chosen))
+                z = (z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+                z ^= z >> np.uint64(29)
+                rest = np.full(len(z), mask & ~chosen, np.uint64)
+                yield batch(_KEYED, key=z.view(np.int64), free=rest.view(np.int64), fp=fp[own].view(np.int64))
+
+
+def dealt(prints: DataFrame) -> tuple[DataFrame, int]:
+    """(key, fp) of all trees, and how many rows there are; ``prints`` has a durable column fp, distinct."""
+    whole, done, rows = prints.select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"), "fp"), [], 0
+    while True:
+        keyed = whole.mapInArrow(deal, KEYED)
+        sizes = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.bit_count("free")).alias("left")).where("n > 1"))
+        hot = sizes.where((F.col("n") > TREE) & (F.col("left") > FEW)).select("key")
+        rows += sizes.where((F.col("n") <= TREE) | (F.col("left") <= FEW)).agg(F.sum("n")).first()[0] or 0
+        if not hot.limit(1).count():
+            done.append(keyed)
+            return reduce(DataFrame.unionByName, (k.select("key", "fp") for k in done)), rows
+        hot = checkpointed(hot)
+        done.append(keyed.join(hot, "key", "left_anti"))
+        whole = checkpointed(keyed.join(hot, "key", "left_semi").select("key", "free", "fp"))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints of a component; ``prints`` has a durable column fp, distinct."""
-    shards = max(1, prints.count() * 15 // SHARD_ROWS)
-    keyed = prints.select(_keys(F.col("fp")).alias("key"), "fp")
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    dealt = _dealt(keyed, hot).withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_shard, "a long, b long")
+    keyed, rows = dealt(prints)
+    shards = max(1, rows // SHARD_ROWS)
+    return keyed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(_shard, "a long, b long")
 
 
 def components(nodes: DataFrame) -> DataFrame:
@@ -264,9 +300,21 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def _near(fp: np.ndarray, sig: np.ndarray, other_fp, other_sig) -> np.ndarray:
-    """Whether rows are near copies, by their fingerprints and least hashes."""
-    bits, same = np.bitwise_count(fp ^ other_fp), (sig == other_sig).sum(-1)
-    return (bits <= RADIUS) | (bits <= ORDER_RADIUS) & (same >= SHARED) | (same >= SURE)
+    """Whether rows may be near copies, by their fingerprints and least hashes."""
+    return (np.bitwise_count(fp ^ other_fp) <= RADIUS) | ((sig == other_sig).sum(-1) >= SHARED)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, ascending, have a similarity of ``ALIKE`` or more."""
+    least, most = sorted((len(a), len(b)))
+    if least < ALIKE * most:
+        return False
+    both = len(a) + len(b) - len(np.unique(np.concatenate((a, b)))) if most else 0
+    return both >= ALIKE * (len(a) + len(b) - both)
+
+
+def _sets(rows: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in rows["grams"].to_pylist()]
 
 
 def _columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -313,34 +361,42 @@ def _band_shard(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[parent[moved]].view(np.int64))], schema=_LINKS)
 
 
+def _paired(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, fp, part, low, high): every two parts of a key's fingerprints meet once; ``hot`` has the parts of large keys."""
+    salted = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.select("key", "fp", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+
 def band_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join all near fingerprints which share a band; ``nodes`` has durable columns fp, sig and bands, fp distinct."""
     keyed = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "fp")
     sizes = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shards = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS)
-    parts = sizes.where(F.col("n") > TREE).select("key", F.ceil(F.col("n") / TREE).cast("int").alias("parts"))
-    met = _dealt(keyed.join(sizes.select("key"), "key", "left_semi"), parts).join(nodes.select("fp", "sig"), "fp")
+    parts = sizes.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    met = _paired(keyed.join(sizes.select("key"), "key", "left_semi"), parts).join(nodes.select("fp", "sig"), "fp")
     dealt = met.withColumn("shard", F.pmod(F.xxhash64("key", "low", "high"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_band_shard, "a long, b long")
 
 
-JUDGED = "root long, fp long, first_id long, sig binary, lead_id long"
-_JUDGED = pa.schema([("root", pa.int64()), ("fp", pa.int64()), ("first_id", pa.int64()), ("sig", pa.binary()), ("lead_id", pa.int64())])
+MEMBER = "root long, fp long, first_id long, sig binary, grams binary"
+JUDGED = f"{MEMBER}, lead_id long"
+_JUDGED = pa.schema([("root", pa.int64()), ("fp", pa.int64()), ("first_id", pa.int64()), ("sig", pa.binary()), ("grams", pa.binary()), ("lead_id", pa.int64())])
+_MEMBER = _JUDGED.names[:5]
 
 
 def _judge(rows: pa.Table) -> pa.Table:
-    """Each component's members by first_id: lead_id is the first that stays and is near, null of those that stay."""
-    rows = rows.select(_JUDGED.names[:4]).sort_by([("root", "ascending"), ("first_id", "ascending"), ("fp", "ascending")])
-    fp, sig = _columns(rows)
-    group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1].ravel()
-    first, near = _to_first(group, fp, sig)
-    lead = np.where(near, first, -1)
-    lead[first] = -1
-    left = np.flatnonzero(~near)
-    for part in np.split(left, np.flatnonzero(np.diff(group[left])) + 1):
-        while len(part):
+    """Each component's members by first_id: lead_id is the first that stays and is alike, null of those that stay."""
+    rows = rows.select(_MEMBER).sort_by([("root", "ascending"), ("first_id", "ascending"), ("fp", "ascending")])
+    (fp, sig), sets = _columns(rows), _sets(rows)
+    lead = np.full(len(fp), -1)
+    for part in np.split(np.arange(len(fp)), np.flatnonzero(np.diff(rows["root"].to_numpy())) + 1):
+        while len(part) > 1:
             at, part = part[0], part[1:]
-            hit = _near(fp[part], sig[part], fp[at], sig[at])
+            near = _near(fp[part], sig[part], fp[at], sig[at])
+            hit = near.copy()
+            hit[near] = [alike(sets[at], sets[i]) for i in part[near].tolist()]
             lead[part[hit]] = at
             part = part[~hit]
     ids = rows["first_id"].to_numpy()
@@ -348,15 +404,17 @@ def _judge(rows: pa.Table) -> pa.Table:
 
 
 def _led(key, rows: pa.Table, leads: pa.Table) -> pa.Table:
-    """``rows`` with the first of ``leads`` that each is near."""
-    fp, sig = _columns(rows)
+    """``rows`` with the first of ``leads`` that each is alike."""
+    rows, leads = rows.select(_MEMBER), leads.select(_MEMBER).sort_by("first_id")
+    (fp, sig), sets = _columns(rows), _sets(rows)
     lead, mask, left = np.zeros(len(fp), np.int64), np.ones(len(fp), bool), np.arange(len(fp))
-    leads = leads.sort_by("first_id")
-    for one, own, at in zip(*_columns(leads), leads["first_id"].to_pylist(), strict=True):
-        hit = _near(fp[left], sig[left], one, own)
+    for one, own, grams, at in zip(*_columns(leads), _sets(leads), leads["first_id"].to_pylist(), strict=True):
+        near = _near(fp[left], sig[left], one, own)
+        hit = near.copy()
+        hit[near] = [alike(grams, sets[i]) for i in left[near].tolist()]
         lead[left[hit]], mask[left[hit]] = at, False
         left = left[~hit]
-    return rows.select(_JUDGED.names[:4]).append_column("lead_id", pa.array(lead, mask=mask)).cast(_JUDGED)
+    return rows.append_column("lead_id", pa.array(lead, mask=mask)).cast(_JUDGED)
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -368,19 +426,19 @@ def _least(rows: DataFrame) -> DataFrame:
 
 
 def led(members: DataFrame) -> DataFrame:
-    """(fp, lead_id) of the members (root, fp, first_id, sig; durable) that are near one that stays.
+    """(fp, lead_id) of the members (root, fp, first_id, sig, grams; durable) that are alike to one that stays.
 
-    By first_id, a member stays if none that stays before it is near.  Components of up to
+    By first_id, a member stays if none that stays before it is alike.  Components of up to
     ``TOGETHER`` members are judged whole.  In larger ones the least members are judged
     first, then all others against those that stay, until the rest is small.
     """
-    columns, found, left = _JUDGED.names[:4], [], members
+    columns, found, left = _MEMBER, [], members
     while True:
         sizes = checkpointed(left.groupBy("root").agg(F.count("*").alias("n")))
         large = checkpointed(sizes.where(F.col("n") > TOGETHER).select("root", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts")))
         small = left.join(large, "root", "left_anti")
         some = not large.limit(1).count()
-        shards = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS)
+        shards = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // JUDGED_ROWS)
         heads = small if some else small.unionByName(_least(left.join(large, "root", "left_semi")))
         judged = checkpointed(heads.withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards))).groupBy("shard").applyInArrow(_judge, JUDGED))
         found.append(judged.where("lead_id is not null").select("fp", "lead_id"))
@@ -400,15 +458,24 @@ def copies(docs: DataFrame) -> DataFrame:
     At a similarity of 0.8 over five-word shingles fingerprints differ in about 9 bits,
     too far for trees of radius 4.  Candidates therefore share a band, ``BAND`` least
     hashes of the four-word shingles (at 0.8 a pair misses all ``BANDS`` once in 10,000
-    times), or are linked by the trees.  Every pair of candidates is verified by the
-    fingerprints and the shared least hashes; components hold verified pairs only.  In
-    each, by doc_id, a document goes if it is near one that stays.
+    times), or are linked by the trees; those that share ``SHARED`` least hashes, or
+    differ in ``RADIUS`` bits at most, make components.  In each, by doc_id, a document
+    goes if its set of shingles is alike (``ALIKE``) to that of one that stays.
     """
     prints = checkpointed(sketches(docs.where("doc_id is not null")).distinct())
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("fp", F.col("x.doc_id").alias("first_id"), "x.sig", "x.bands"))
+    first = F.min(F.struct("doc_id", "text_hash", "sig", "bands")).alias("x")
+    nodes = checkpointed(prints.groupBy("fp").agg(first).select("fp", F.col("x.doc_id").alias("first_id"), "x.text_hash", "x.sig", "x.bands"))
     stars = smallest_reachable(links(nodes.select("fp")).unionByName(band_links(nodes)))
     rooted = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    members = checkpointed(rooted.join(nodes, "fp").select(*_JUDGED.names[:4]))
+    named = rooted.join(nodes.select("fp", "first_id", "text_hash", "sig"), "fp")
+    rows = texts(docs).where("doc_id is not null").select(F.col("doc_id").alias("first_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+    def run(it):
+        for b in slices(it):
+            grams = pa.array([shingle_set(t.encode()) for t in b["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in _MEMBER[:4]), grams], _MEMBER)
+
+    members = checkpointed(named.join(rows, ["first_id", "text_hash"]).select(*_MEMBER[:4], "text").mapInArrow(run, MEMBER).dropDuplicates(["fp"]))
     gone = prints.join(led(members), "fp").where("doc_id <> lead_id").select("doc_id")
     return gone.unionByName(prints.join(nodes.select("fp", "first_id"), "fp").where("doc_id <> first_id").select("doc_id"))
 
