@@ -17,8 +17,10 @@ earlier in the same one.  Strings are judged on the input and never cross texts.
    Burrows-Wheeler transform.  Breadth-first backward extension of intervals then
    sets the common prefixes of neighbouring suffixes by increasing value and stops
    at 100; neighbours it has not parted share 100 bytes.  All windows of such a
-   class but the first go.  An anchor with more runs than a block holds is dealt
-   out again by window.
+   class but the first go.  The runs of an anchor with more than ``WIDE`` different
+   ones are cut by the anchor's place in the window, ``CUT`` places at a time, and
+   dealt out by the bytes that all windows of a part have, so not the anchor but the
+   passage around it is what meets in a task.
 4. A document's removed stretches come together and its text is cut.
 
 Texts move once, by document; every later step that needs them reads that exchange.
@@ -44,6 +46,8 @@ LEAST = 100
 ANCHOR = 24
 SPREAD = LEAST - ANCHOR + 1
 BLOCK = 1 << 18
+#: Different runs of an anchor that meet in one task, and places of an anchor in its window that stay together beyond that.
+WIDE, CUT = 256, 7
 #: Bytes hashed at once, and the bits that hold a place among them.
 PART, PLACE = 1 << 18, 20
 #: A null doc_id is ordered before all others.
@@ -252,19 +256,29 @@ def _anchors(it):
         yield batch(_ANCHORS, anchor=h[keep], fold=fold[keep], id=i[keep], dk=dk[keep], start=at[keep], n=n[keep].astype(np.int32), gone=gone[keep])
 
 
-_MET = pa.schema([*((n, pa.int64()) for n in ("id", "dk", "anchor", "start")), ("n", pa.int32()), ("gone", pa.bool_())])
-MET = "id long, dk long, anchor long, start long, n int, gone boolean"
+_MET = pa.schema([*((n, pa.int64()) for n in ("id", "dk", "anchor", "start")), ("n", pa.int32()), ("gone", pa.bool_()), ("wide", pa.bool_())])
+MET = "id long, dk long, anchor long, start long, n int, gone boolean, wide boolean"
 
 
 def _meet(it):
     """Of runs ordered by (anchor, fold, id, dk, start): those that equal an earlier one (gone), and the first of
-    each fold where an anchor has several folds.  Holds one row between batches."""
+    each fold where an anchor has several folds, with whether it has more than ``WIDE`` (wide).  Holds at most that
+    many rows between batches."""
     last = None  # key of the last row
-    pending = None  # the only fold's first row of the last anchor, not passed on yet
+    held: list[pa.RecordBatch] = []  # firsts of the anchor that the last batch ended with, not passed on yet
+    wide = False  # whether that anchor is known to be wide, and its firsts passed on
+
+    def passed(parts: list[pa.RecordBatch]):
+        n = sum(p.num_rows for p in parts)
+        if n > 1:
+            for p in parts:
+                yield _marked(p, np.zeros(p.num_rows, bool), np.full(p.num_rows, n > WIDE))
+
     for b in it:
         decided = b["gone"].to_numpy(zero_copy_only=False)
         if decided.any():
-            yield _marked(b.filter(pa.array(decided)), np.ones(int(decided.sum()), bool))
+            own = b.filter(pa.array(decided))
+            yield _marked(own, np.ones(own.num_rows, bool), np.zeros(own.num_rows, bool))
             b = b.filter(pa.array(~decided))
         if not b.num_rows:
             continue
@@ -273,43 +287,62 @@ def _meet(it):
         new_f = new_a | np.r_[last is None or f[0] != last[1], f[1:] != f[:-1]]
         same = (i[1:] == i[:-1]) & (dk[1:] == dk[:-1]) & (start[1:] == start[:-1])
         twin = ~new_f & np.r_[last is not None and (i[0], dk[0], start[0]) == last[2:], same]  # a repeated row
-        first = np.flatnonzero(new_f)
-        group = np.cumsum(new_a)[first]  # 0: the anchor the batch before ended with
-        several = np.bincount(group, minlength=int(group.max()) + 1 if len(group) else 1)
-        if last is not None and not new_a[0]:
-            if several[0] and pending is not None:
-                yield _marked(pending, np.array([False]))
-                pending = None
-            several[0] = 2
-        open_ = new_a.any() or last is None
-        keep = np.zeros(len(a), bool)
-        keep[first] = several[group] > 1
-        if open_:
-            pending = None
-            tail = first[group == np.cumsum(new_a)[-1]]
-            if len(tail) == 1:
-                pending = b.slice(int(tail[0]), 1)
         gone = ~new_f & ~twin
-        if (keep | gone).any():
-            yield _marked(b, gone).filter(pa.array(keep | gone))
+        group = np.cumsum(new_a)  # 0: the anchor the batch before ended with
+        before = new_f & (group == 0)
+        if before.any():
+            own = b.filter(pa.array(before))
+            if wide:
+                yield _marked(own, np.zeros(own.num_rows, bool), np.ones(own.num_rows, bool))
+            else:
+                held.append(own)
+        if group[-1]:
+            yield from passed(held)
+            held, wide = [], False
+            firsts = np.bincount(group[new_f], minlength=int(group[-1]) + 1)
+            open_ = new_f & (group == group[-1])
+            keep = (new_f & (group > 0) & ~open_ & (firsts[group] > 1)) | gone
+            yield _marked(b, gone, ~gone & (firsts[group] > WIDE)).filter(pa.array(keep))
+            held.append(b.filter(pa.array(open_)))
+        elif gone.any():
+            yield _marked(b, gone, np.zeros(len(a), bool)).filter(pa.array(gone))
+        if sum(p.num_rows for p in held) > WIDE:
+            yield from passed(held)
+            held, wide = [], True
         last = (a[-1], f[-1], i[-1], dk[-1], start[-1])
+    yield from passed(held)
 
 
-def _marked(b: pa.RecordBatch, gone: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(b[x] for x in ("id", "dk", "anchor", "start", "n")), pa.array(gone)], schema=_MET)
+def _marked(b: pa.RecordBatch, gone: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(b[x] for x in ("id", "dk", "anchor", "start", "n")), pa.array(gone), pa.array(wide)], schema=_MET)
 
 
 _RUNS = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("dk", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("context", pa.binary())])
 RUNS = "anchor long, id long, dk long, start long, n int, context binary"
 
 
+def _cut(anchor: int, data: bytes, start: int, n: int):
+    """A wide run's parts (key, first window, windows): the anchor's places of a part lie in one of the stretches of
+    ``CUT``, and its key is a hash of the bytes that all windows of these places have around the anchor."""
+    grams = np.frombuffer(data[start : start + n + LEAST - 1], np.uint8)
+    at = start + int(np.flatnonzero(gram_hashes(grams)[0].view(np.int64)[n - 1 : SPREAD] == anchor)[0]) + n - 1  # a byte in all windows
+    first = start
+    while first < start + n:
+        place = (at - first) // CUT * CUT  # places place .. place + CUT - 1; the window that begins at ``first`` has the greatest
+        stop = min(start + n, at - place + 1)
+        core = data[at - place : at - place - CUT + 1 + LEAST]
+        yield int.from_bytes(hashlib.blake2b(core + anchor.to_bytes(8, "little", signed=True) + bytes([place]), digest_size=8).digest(), "little", signed=True), first, stop - first
+        first = stop
+
+
 def _contexts(it):
     for b in slices(it, 1 << 21):
         out = []
         for i, dk, text, found in zip(*(b[x].to_pylist() for x in ("id", "dk", "text", "found")), strict=True):
             data = text.encode() if found else b""
             for r in found or ():
-                out.append((r["anchor"], i, dk, r["start"], r["n"], data[r["start"] : r["start"] + r["n"] + LEAST - 1]))
+                parts = _cut(r["anchor"], data, r["start"], r["n"]) if r["wide"] else ((r["anchor"], r["start"], r["n"]),)
+                out += [(key, i, dk, start, n, data[start : start + n + LEAST - 1]) for key, start, n in parts]
             if len(out) > 20_000:
                 yield batch(_RUNS, **dict(zip(_RUNS.names, zip(*out, strict=True), strict=True)))
                 out = []
@@ -374,9 +407,11 @@ def _decide_large(rows: list[tuple]) -> list[tuple]:
 
 
 def _blocks(it):
-    """Decides runs that come ordered by anchor, whole anchors at a time."""
+    """Decides runs that come ordered by (anchor, id, dk, start), whole anchors at a time.  Of runs of equal bytes
+    under an anchor only the first is held."""
     done: list[tuple] = []  # rows of whole anchors
     open_: list[tuple] = []  # rows of the anchor being read
+    known: dict[bytes, tuple] = {}  # and their bytes, with where they come first
     size = mine = 0
     before = None
     out: list[tuple] = []
@@ -389,6 +424,7 @@ def _blocks(it):
             done += open_
             size += mine
         open_, mine = [], 0
+        known.clear()
         if size > BLOCK:
             out.extend(_decide(done))
             done, size = [], 0
@@ -398,6 +434,11 @@ def _blocks(it):
             if before != anchor:
                 close()
                 before = anchor
+            if known.setdefault(c, (i, dk, start)) != (i, dk, start):
+                out.append((i, dk, start, n))
+                continue
+            if open_ and open_[-1][:3] == (i, dk, start):
+                continue  # a repeated row
             open_.append((i, dk, start, n, c))
             mine += len(c) + 1
         if out:
@@ -439,11 +480,11 @@ def _judged(docs: DataFrame, rest: Column) -> DataFrame:
     anchors = rows.mapInArrow(_anchors, ANCHORS)
     met = anchors.repartition("anchor").sortWithinPartitions("anchor", "fold", "id", "dk", "start").mapInArrow(_meet, MET)
     by_doc = met.groupBy(*KEY).agg(
-        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "n"))).alias("found"),
+        F.collect_list(F.when(~F.col("gone"), F.struct("anchor", "start", "n", "wide"))).alias("found"),
         F.collect_list(F.when(F.col("gone"), F.struct("start", "n"))).alias("gone"),
     )
     judged = rows.join(by_doc, KEY, "left")
-    more = judged.mapInArrow(_contexts, RUNS).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks, GONE)
+    more = judged.mapInArrow(_contexts, RUNS).repartition("anchor").sortWithinPartitions("anchor", "id", "dk", "start").mapInArrow(_blocks, GONE)
     more = more.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n")).alias("gone2"))
     return judged.join(more, KEY, "left")
 

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from .helpers import documents, prose, rows
 from inundate.llm import fingerprints, packing, quality, secrets, simhash, suffixes
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,7 +167,8 @@ def test_simhash_components(spark):
     assert {i: r.component_id for i, r in got.items()} == {i: least[comp[f]] for i, f in want.items()}
 
 
-def test_links_are_lossless(spark, monkeypatch):
+@pytest.mark.parametrize("tree", [3, 16_384])
+def test_links_are_lossless(spark, monkeypatch, tree):
     rng = random.Random(5)
     points = {rng.getrandbits(64) for _ in range(150)}
     for p in list(points)[:60]:
@@ -175,7 +177,13 @@ def test_links_are_lossless(spark, monkeypatch):
             for b in rng.sample(range(64), rng.randint(1, 5)):
                 q ^= 1 << b
             points.add(q)
-    monkeypatch.setattr(simhash, "TREE", 2)  # the driver parts hot keys by it
+    centre = rng.getrandbits(64)  # of a crowd that shares whole blocks
+    for _ in range(400):
+        q = centre
+        for b in rng.sample(range(22, 64), rng.randint(1, 12)):
+            q ^= 1 << b
+        points.add(q)
+    monkeypatch.setattr(simhash, "TREE", tree)
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
     got = simhash.links(spark.createDataFrame(signed, "fp long")).collect()
     parent = {p[0]: p[0] for p in signed}
@@ -196,6 +204,15 @@ def test_links_are_lossless(spark, monkeypatch):
     assert groups(mine) == groups(want)
 
 
+def test_a_hot_key_costs_rows_in_proportion(spark, monkeypatch):
+    """Fingerprints that share two blocks: a key of them all is dealt out again, 15 rows for each of them."""
+    monkeypatch.setattr(simhash, "TREE", 2000)
+    n = 100_000
+    prints = spark.range(n).select(F.xxhash64("id").bitwiseAND(F.lit(~((1 << 21) - 1))).alias("fp")).distinct()
+    keyed, rows = simhash.dealt(prints)
+    assert rows < 32 * n and keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 2000
+
+
 def test_tree_search_equals_brute_force():
     rng = np.random.default_rng(0)
     fp = np.unique(np.r_[rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.arange(200, dtype=np.uint64)])
@@ -264,6 +281,59 @@ def test_repeats_in_small_blocks(monkeypatch):
     assert flat(small) == sorted(want) == flat(suffixes._decide_large(contexts))
 
 
+def decided_here(docs, rows_a_batch):
+    """The steps of the operator without Spark, with the constants as they are patched: {(document, window)} to remove."""
+    import pyarrow as pa
+
+    def table(batches, *order):
+        batches = list(batches)
+        return pa.Table.from_batches(batches).sort_by([(x, "ascending") for x in order]) if batches else None
+
+    texts = pa.table({"id": [i for i, _ in docs], "dk": [0] * len(docs), "text": [t for _, t in docs], "is_first": [True] * len(docs)})
+    anchors = table(suffixes._anchors(texts.to_batches(rows_a_batch)), "anchor", "fold", "id", "dk", "start")
+    met = table(suffixes._meet(anchors.to_batches(rows_a_batch)), "anchor").to_pylist()
+    gone = {(r["id"], r["start"] + k) for r in met if r["gone"] for k in range(r["n"])}
+    found = [[r for r in met if not r["gone"] and r["id"] == i] for i, _ in docs]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("wide", pa.bool_())]))
+    judged = texts.append_column("found", pa.array([[{k: r[k] for k in ("anchor", "start", "n", "wide")} for r in f] for f in found], kind))
+    runs = table(suffixes._contexts(judged.to_batches(rows_a_batch)), "anchor", "id", "dk", "start")
+    more = [r for b in suffixes._blocks(runs.to_batches(rows_a_batch)) for r in b.to_pylist()] if runs else []
+    return gone | {(r["id"], r["start"] + k) for r in more for k in range(r["n"])}, met, runs
+
+
+@pytest.mark.parametrize("wide", [1, 3, 256])
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 1000])
+def test_wide_anchors(monkeypatch, wide, rows_a_batch):
+    """A passage of fewer than 100 bytes in many documents, longer ones in some: cut by its surroundings or not, the same windows go."""
+    monkeypatch.setattr(suffixes, "WIDE", wide)
+    rng = random.Random(8)
+    passage, docs = prose(rng, "de", 40)[:70], []
+    around = [(prose(rng, "en", 12), prose(rng, "en", 12)) for _ in range(12)]
+    for i in range(60):
+        left, right = around[rng.randrange(12)][0], around[rng.randrange(12)][1]
+        docs.append((i, left[rng.randrange(20) :] + passage + right[: rng.randrange(10, 60)] + ("ab " * 50 if i % 9 == 0 else "")))
+    found, met, runs = decided_here(docs, rows_a_batch)
+    seen, want = set(), set()
+    for i, t in docs:
+        d = t.encode()
+        for p in range(len(d) - 99):
+            if d[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(d[p : p + 100])
+    assert found == want
+    assert any(r["wide"] for r in met) == (wide < 256)
+    if wide == 1:
+        assert max(Counter(runs["anchor"].to_pylist()).values()) < max(Counter(r["anchor"] for r in met if not r["gone"]).values())
+
+
+def test_repeated_rows_are_one_document(spark):
+    """A document that comes twice is no copy of itself, and what it repeats of others goes in both rows."""
+    docs = repeating(5)[:40]
+    want = cut(docs)
+    got = suffixes.digest(spark.createDataFrame(docs + docs[:15], "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == 55 and all(tuple(r[1:]) == want[r[0]] for r in got)
+
+
 def test_runs_over_part_edges(monkeypatch):
     data = [prose(random.Random(4), "en", 400).encode(), b"short", b"y" * 700]
     whole = [set() for _ in data]
@@ -441,8 +511,6 @@ def test_fingerprints(spark):
 
 
 def compared(spark, pairs, *columns):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(pairs, "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
     return df.select(*(f(F.col("a"), F.col("b")).alias(f.__name__) for f in columns), "a", "b").collect()
 
