@@ -26,6 +26,7 @@ table.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -235,7 +236,7 @@ def blocks(free: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, BLOCKS - RADIUS)]
 
 
-EVERY = (1 << 64) - 1
+EVERY, KEYS = (1 << 64) - 1, math.comb(BLOCKS, BLOCKS - RADIUS)
 _KEYED = pa.schema([("key", pa.int64()), ("free", pa.int64()), ("fp", pa.int64())])
 KEYED = "key long, free long, fp long"
 
@@ -258,13 +259,13 @@ def deal(it):
 
 
 def dealt(prints: DataFrame) -> tuple[DataFrame, int]:
-    """(key, fp) of all trees, and how many rows there are; ``prints`` has a durable column fp, distinct."""
+    """(key, fp) of all trees, and the rows dealt; ``prints`` has a durable column fp, distinct."""
     whole, done, rows = prints.select(F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"), "fp"), [], 0
     while True:
         keyed = whole.mapInArrow(deal, KEYED)
         sizes = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.bit_count("free")).alias("left")).where("n > 1"))
         hot = sizes.where((F.col("n") > TREE) & (F.col("left") > FEW)).select("key")
-        rows += sizes.where((F.col("n") <= TREE) | (F.col("left") <= FEW)).agg(F.sum("n")).first()[0] or 0
+        rows += KEYS * whole.count()
         if not hot.limit(1).count():
             done.append(keyed)
             return reduce(DataFrame.unionByName, (k.select("key", "fp") for k in done)), rows
