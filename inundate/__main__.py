@@ -6,13 +6,14 @@ Tables are Parquet paths.  ``gate`` and ``events`` exit with 1 where the gate fa
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import curves, rainfall, terrain, validate, zonal
-from .plans import basin
+from .plans import basin, study
 from .sources import tables
 
 
@@ -49,6 +50,25 @@ def _delineate(spark, a) -> None:
     terrain.build_hand_stack(tables.read_cells(spark, a.grid), a.threshold).write.mode("overwrite").parquet(a.out)
 
 
+def _study(spark, a) -> None:
+    """The arguments of ``study.run_study`` come as a JSON file; dem_tiles there is the path of the tiles' table."""
+    with open(a.config, encoding="utf-8") as f:
+        given = json.load(f)
+    given["dem_tiles"] = spark.read.parquet(given["dem_tiles"])
+    print(study.run_study(spark, out=a.out, **given))
+
+
+def _depressions(spark, a) -> None:
+    grid = tables.read_cells(spark, a.grid)
+    zones = zonal.keep_large_zones(grid.join(terrain.sinks(grid), "cell"), "depression_id", a.min_cells)
+    zonal.relative_elevation(zones, "depression_id", "z", "hd").write.mode("overwrite").parquet(a.out)
+
+
+def _multiplier(spark, a) -> None:
+    climate = rainfall.climate_multiplier(spark.read.parquet(a.deltas), ["region_id"], warming=a.warming or None)
+    rainfall.scenario_multiplier(spark.read.parquet(a.growth), climate, a.period).write.mode("overwrite").parquet(a.out)
+
+
 def _gate(spark, a) -> int:
     c = tables.read_cells(spark, a.cells)
     report = validate.reconstruction_gate(c, a.zone, a.datum)
@@ -89,6 +109,9 @@ def parser() -> argparse.ArgumentParser:
     step("run", _run, "cells", cell_area=1.0, min_cells=basin.MIN_CELLS, split="depression", compare=False)
     step("rainfall", _rainfall, "maxima")
     step("delineate", _delineate, "grid", threshold=terrain.STREAM_CELLS)
+    step("study", _study, "config")
+    step("depressions", _depressions, "grid", min_cells=basin.MIN_CELLS)
+    step("multiplier", _multiplier, "growth", "deltas", period=25.0, warming="")
     step("gate", _gate, "cells", **zones)
     step("events", _events, "pairs")
     step("holdout", _holdout, "alpha", "attributes", features="area", zone="catchment_id", block="block")

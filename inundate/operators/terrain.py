@@ -271,11 +271,12 @@ def snap_to_lines(cells: DataFrame, segments: DataFrame, zone: str = "link_id",
 
 
 def build_hand_stack(grid: DataFrame, threshold: int = STREAM_CELLS, segments: DataFrame | None = None) -> DataFrame:
-    """The grid with hand, reach_id (0 off streams) and catchment_id, from conditioning to catchments."""
+    """The grid with hand, reach_id (0 off streams), catchment_id and flow_acc, from conditioning to catchments."""
     carved = checkpointed(breach(grid))
     pointers = carved.select("cell", "down")
     filled = checkpointed(grid.select("cell", "r", "c").join(carved.select("cell", "z"), "cell"))
-    stream = checkpointed(streams(flow_accumulation(pointers), threshold))
+    flow = checkpointed(flow_accumulation(pointers))
+    stream = checkpointed(streams(flow, threshold))
     links = checkpointed(stream_links(pointers, stream))
     named = links
     if segments is not None:
@@ -285,4 +286,5 @@ def build_hand_stack(grid: DataFrame, threshold: int = STREAM_CELLS, segments: D
     hand = height_above_drainage(filled, pointers, stream, drained=drained)
     areas = catchments(pointers, stream, named, drained)
     reach = named.select("cell", F.col("link_id").alias("reach_id"))
-    return grid.join(hand, "cell", "left").join(areas, "cell", "left").join(reach, "cell", "left").withColumn("reach_id", F.coalesce("reach_id", F.lit(0)))
+    out = grid.join(hand, "cell", "left").join(areas, "cell", "left").join(flow.withColumnRenamed("acc", "flow_acc"), "cell", "left")
+    return out.join(reach, "cell", "left").withColumn("reach_id", F.coalesce("reach_id", F.lit(0)))

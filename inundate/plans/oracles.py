@@ -372,6 +372,19 @@ ORACLES: dict[str, str] = {
         f"SELECT g.cell, {r('g.z - t.z', 'hand')}, coalesce(mine.link_id, 0) AS reach_id, coalesce(link.link_id, 0) AS catchment_id FROM grid g LEFT JOIN reach ON reach.cell = g.cell LEFT JOIN grid t ON t.cell = reach.terminal LEFT JOIN link ON link.cell = reach.terminal LEFT JOIN link mine ON mine.cell = g.cell",
         True,
     ),
+    "assemble_cells": statement(
+        [
+            *carved(fx.AMPLITUDE_SMOOTH), *DRAINED[2:], *flooded("g0"), "wet AS (SELECT cell FROM filled JOIN g0 USING (cell) WHERE filled > z)",
+            "conn AS (SELECT cell, cell AS low FROM wet UNION SELECT n.over, c.low FROM conn c JOIN nbr n USING (cell) WHERE n.over IN (SELECT cell FROM wet))",
+            "sink AS (SELECT cell, min(low) + 1 AS depression_id FROM conn GROUP BY 1)",
+            f"coarse AS (SELECT r, c, {q.RAIN} AS v FROM (SELECT DISTINCT floor(r / 4e0) AS r, floor(c / 4e0) AS c FROM g0))",
+            "wt AS (SELECT g.cell, k.v, (1 - abs((g.r + 0.5e0) / 4e0 - 0.5e0 - k.r)) * (1 - abs((g.c + 0.5e0) / 4e0 - 0.5e0 - k.c)) AS w FROM g0 g JOIN coarse k ON abs((g.r + 0.5e0) / 4e0 - 0.5e0 - k.r) < 1 AND abs((g.c + 0.5e0) / 4e0 - 0.5e0 - k.c) < 1)",
+            "rained AS (SELECT cell, sum(w * v) / sum(w) AS rain FROM wt GROUP BY 1)",
+        ],
+        f"SELECT g0.cell, g0.r, g0.c, {r('g0.z', 'dem')}, {r('g.z - t.z', 'hand')}, coalesce(mine.link_id, 0) AS reach_id, coalesce(link.link_id, 0) AS catchment_id, acc AS flow_acc, CAST(coalesce(sink.depression_id, 0) AS BIGINT) AS depression_id, {r('greatest(0e0, 0.8e0 - abs(g0.c - 20) / 10e0)', 'd100')}, {r('rain', 'rain_p100')} "
+        "FROM g0 JOIN grid g USING (cell) LEFT JOIN reach ON reach.cell = g0.cell LEFT JOIN grid t ON t.cell = reach.terminal LEFT JOIN link ON link.cell = reach.terminal LEFT JOIN link mine ON mine.cell = g0.cell JOIN acc ON acc.cell = g0.cell LEFT JOIN sink ON sink.cell = g0.cell JOIN rained ON rained.cell = g0.cell",
+        True,
+    ),
     "condition_dem": statement([*carved(fx.AMPLITUDE_ROUGH, 3), *flooded("grid")], f"SELECT cell, {r('filled', 'z')} FROM filled", True),
     "fill_dem": statement([grid(fx.AMPLITUDE_ROUGH), *flooded("grid")], f"SELECT cell, {r('filled')} FROM filled", True),
     "delineate_depressions": statement(

@@ -11,7 +11,7 @@ from ..functions import gev
 from ..functions.nulls import finite, ratio
 from ..operators import calibrate, curves, raster, rainfall, regime, render, terrain, validate, zonal
 from ..sources import fixtures as fx
-from . import basin
+from . import basin, study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,6 +423,20 @@ def hand_stack(spark, sf_dir):
     return out.select("cell", "hand", "reach_id", "catchment_id")
 
 
+@query
+def assemble_cells(spark, sf_dir):
+    """Terrain, drainage, depressions, depth and coarser rain as one cell table."""
+    grid = fx.grid(spark, sf_dir)
+    depth = grid.select("r", "c", F.expr(WATER).alias("depth"))
+    rain = grid.select(F.floor(F.col("r") / 4.0).alias("r"), F.floor(F.col("c") / 4.0).alias("c")).distinct().withColumn("rain_p100", F.expr(RAIN))
+    out = study.assemble_cells(grid.select("r", "c", "z"), depth, {"rain_p100": (rain, 4.0)}, STREAM)
+    return out.select("cell", "r", "c", "dem", "hand", "reach_id", "catchment_id", "flow_acc", "depression_id", "d100", "rain_p100")
+
+
+#: Made-up depth by cell, and rain by coarse cell.
+WATER, RAIN = "greatest(0e0, 0.8e0 - abs(c - 20) / 10e0)", "1e0 + (r * 3 + c) % 7 / 10e0"
+
+
 @query
 def condition_dem(spark, sf_dir):
     """A short reach, so that some pits are breached and others filled."""

@@ -62,13 +62,14 @@ def storage_path(href: str, scheme: str = "gs://") -> str:
 
 
 def extract_basin(
-    spark: SparkSession, box: tuple[float, float, float, float], out: str, dem_tiles: DataFrame, depth: tuple[str, str], rain: dict[str, tuple[str, str]], cell: float, overwrite: bool = False,
+    spark: SparkSession, box: tuple[float, float, float, float], out: str, dem_tiles: DataFrame, depth: tuple[str, str], rain: dict[str, tuple[str, str]], cell: float, overwrite: bool = False, rain_step: float = 1.0,
 ) -> dict[str, DataFrame]:
     """The terrain mosaic and the depth and rain grids of a box (xmin, ymin, xmax, ymax), each written once.
 
     ``dem_tiles`` has id, the box columns and href; ``depth`` and ``rain`` name the
-    path and band of a cell table.  Depth is stored in millimetres.  ValueError if no
-    tile overlaps the box.
+    path and band of a cell table.  Depth is stored in millimetres.  Rain may lie on
+    cells ``rain_step`` times as large; then a margin of one of these comes with it.
+    ValueError if no tile overlaps the box.
     """
     xmin, ymin, xmax, ymax = box
     tiles = overlapping(dem_tiles, xmin, ymin, xmax, ymax).select("id", "href").collect()  # the few tiles that meet the box
@@ -77,6 +78,7 @@ def extract_basin(
     rows = math.floor(-ymax / cell), math.ceil(-ymin / cell)
     cols = math.floor(xmin / cell), math.ceil(xmax / cell)
     place = (rows[0], cols[0], rows[1], cols[1])
+    wide = place if rain_step == 1 else (*(math.floor(x / rain_step) - 1 for x in place[:2]), *(math.ceil(x / rain_step) + 1 for x in place[2:]))
 
     def terrain() -> DataFrame:
         parts = [window(read_cells(spark, t.href), *place).select("r", "c", "z").withColumn("tile", F.lit(t.id)) for t in tiles]
@@ -85,7 +87,7 @@ def extract_basin(
     made = {"dem": stage_table(spark, f"{out}/dem", terrain, overwrite)}
     made["depth"] = stage_table(spark, f"{out}/depth", lambda: read_band(spark, *depth, place, 1000.0), overwrite)
     for name, (path, band) in rain.items():
-        made[name] = stage_table(spark, f"{out}/{name}", lambda path=path, band=band: read_band(spark, path, band, place), overwrite)
+        made[name] = stage_table(spark, f"{out}/{name}", lambda path=path, band=band: read_band(spark, path, band, wide), overwrite)
     return made
 
 
