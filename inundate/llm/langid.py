@@ -1,7 +1,10 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
 A text's UTF-8 bytes are cut into windows of 64; two recurrent layers, one from
-either side, give every byte position a distribution over the languages.  A
+either side, give every byte position a distribution over the languages.  Each layer
+starts ``AROUND`` bytes before the window it comes to, so every position has been
+reached over that many bytes of its text at least, from both sides, and no character
+or word is cut at a window's edge.  A
 document's probabilities are the mean over all its positions; ``lang_pred`` is the
 likeliest language and ``score`` its mean probability.  Training is plain
 backpropagation through time with Adam on windows of a bounded sample of labelled
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import LETTER, batch, bounded, piece, sample, slices, texts
 
 STEPS, HIDDEN = 64, 12
+#: Bytes on either side of a window that its layers read first, and bytes of a window with them.
+AROUND = 16
+WIDTH = STEPS + 2 * AROUND
 FIT_ROWS, ROUNDS, FIT_BATCH, RATE = 1500, 300, 160, 0.02
 AT_ONCE = 4096
 UNKNOWN = "und"
@@ -29,17 +35,19 @@ UNKNOWN = "und"
 MIN_SCORE = 0.4
 
 
-def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (windows, STEPS), each window's length and its text's number."""
-    counts = [-(-len(d) // STEPS) for d in data]
-    x = np.frombuffer(b"".join(d + bytes(-len(d) % STEPS) for d in data), np.uint8).reshape(-1, STEPS)
-    owner = np.repeat(np.arange(len(data)), counts)
-    lens = np.full(len(x), STEPS)
-    ends = np.cumsum(counts)
-    for d, c, e in zip(data, counts, ends, strict=True):
-        if c:
-            lens[e - 1] = len(d) - (c - 1) * STEPS
-    return x, lens, owner
+def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (windows, WIDTH), the first and the end of each window's places inside its text, and its text's number."""
+    counts = np.array([-(-len(d) // STEPS) for d in data], np.int64)
+    edge = bytes(AROUND)
+    flat = np.frombuffer(b"".join(edge + d + bytes(-len(d) % STEPS) + edge for d in data if d), np.uint8)
+    some = np.flatnonzero(counts)
+    owner = np.repeat(some, counts[some])
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])  # of the window in its text
+    begin = np.cumsum(STEPS * counts[some] + 2 * AROUND) - STEPS * counts[some] - 2 * AROUND
+    at = np.repeat(begin, counts[some]) + STEPS * number
+    x = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[at] if len(at) else np.zeros((0, WIDTH), np.uint8)
+    sizes = np.array([len(d) for d in data], np.int64)[owner]
+    return x, np.where(number == 0, AROUND, 0), np.minimum(WIDTH, sizes - STEPS * number + AROUND), owner
 
 
 def _sigmoid(x):
@@ -91,11 +99,12 @@ class Network:
         for name, rows in ((f"{d}_gates", by_gates), (f"{d}_cand", by_cand)):
             g[name][flat[order][cuts]] += np.add.reduceat(np.concatenate(rows)[order], cuts)
 
-    def step(self, x: np.ndarray, lens: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
+    def step(self, x: np.ndarray, first: np.ndarray, end: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
         """Mean loss over all positions and its gradients."""
         w, n = self.w, len(x)
         xt = np.ascontiguousarray(x.T)
-        valid = (np.arange(STEPS)[:, None] < lens).astype("f4")
+        t = np.arange(WIDTH)[:, None]
+        valid = ((t >= first) & (t < end)).astype("f4")
         fs, fk = self._forward("f", xt, valid)
         bs, bk = self._forward("b", xt[::-1], valid[::-1])
         hf, hb = np.array(fs), np.array(bs[::-1])
@@ -113,7 +122,7 @@ class Network:
         self._backward("b", xt[::-1], valid[::-1], bk, (p @ w["b_out"].T)[::-1], g)
         return loss, g
 
-    def fit(self, x: np.ndarray, lens: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> list[float]:
+    def fit(self, x: np.ndarray, first: np.ndarray, end: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> list[float]:
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(label == k) for k in range(len(self.languages))]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -121,7 +130,7 @@ class Network:
         losses = []
         for i in range(1, rounds + 1):
             pick = np.concatenate([rng.choice(b, max(1, FIT_BATCH // len(by))) for b in by])
-            loss, g = self.step(x[pick], lens[pick], label[pick])
+            loss, g = self.step(x[pick], first[pick], end[pick], label[pick])
             losses.append(loss)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             rate = RATE * min(1.0, 2 * (1 - i / (rounds + 1))) * min(1.0, 1 / max(norm, 1e-9))
@@ -137,10 +146,10 @@ class Network:
         bound = sum(np.abs(w[k]).sum(0).max() for k in ("f_out", "b_out")) + np.abs(w["bias"]).max()
         return w | {"bias": w["bias"] * min(1, 80 / bound), "f_out": w["f_out"] * min(1, 80 / bound), "b_out": w["b_out"] * min(1, 80 / bound)}  # exp() of any logit is finite
 
-    def positions(self, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Sums over each window's positions of the languages' probabilities."""
+    def positions(self, x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums over each window's own positions of the languages' probabilities."""
         w, n, H = self._tables(), len(x), HIDDEN
-        xt, short = np.ascontiguousarray(x.T), int(lens.min())
+        xt, least, most = np.ascontiguousarray(x.T), int(end.min()), int(first.max())
         gates, cand, tmp, held = (np.empty((n, k), "f4") for k in (2 * H, H, 2 * H, H))
         states = np.empty((STEPS, n, H), "f4")
         out = np.zeros((n, len(self.languages)), "f4")
@@ -161,23 +170,28 @@ class Network:
             np.multiply(held, gates[:, :H], held)
             np.add(cand, held, into)
 
-        h = np.zeros((n, H), "f4")
-        for t in range(STEPS):
-            step("f", t, h, states[t])
-            h = states[t]
-        h = np.zeros((n, H), "f4")
-        back = np.empty((n, H), "f4")
-        for t in range(STEPS - 1, -1, -1):
-            step("b", t, h, back)
-            h, back = back, h
-            p = states[t] @ w["f_out"]
+        h, spare = np.zeros((n, H), "f4"), np.empty((n, H), "f4")
+        for t in range(AROUND + STEPS):
+            into = states[t - AROUND] if t >= AROUND else spare
+            step("f", t, h, into)
+            if t < most:
+                into *= (first <= t).astype("f4")[:, None]
+            h, spare = into, h
+        h, spare = np.zeros((n, H), "f4"), np.empty((n, H), "f4")
+        for t in range(WIDTH - 1, AROUND - 1, -1):
+            step("b", t, h, spare)
+            h, spare = spare, h
+            inside = (end > t).astype("f4")[:, None] if t >= least else None
+            if inside is not None:
+                h *= inside
+            if t >= AROUND + STEPS:
+                continue
+            p = states[t - AROUND] @ w["f_out"]
             p += h @ w["b_out"]
             p += w["bias"]
             np.exp(p, p)
             p /= p @ ones
-            if t >= short:
-                inside = (lens > t).astype("f4")[:, None]
-                h *= inside
+            if inside is not None:
                 p *= inside
             out += p
         return out
@@ -190,10 +204,11 @@ class Network:
         size = 0
 
         def flush():
-            x, lens, own = windows(held)
+            x, first, end, own = windows(held)
             own = np.array(owner)[own]
             for a in range(0, len(x), AT_ONCE):
-                np.add.at(out, own[a : a + AT_ONCE], self.positions(x[a : a + AT_ONCE], lens[a : a + AT_ONCE]))
+                z = a + AT_ONCE
+                np.add.at(out, own[a:z], self.positions(x[a:z], first[a:z], end[a:z]))
 
         for i, d in enumerate(data):
             if d:
@@ -222,8 +237,8 @@ def train(docs: DataFrame, keep=None) -> Network:
     names = sorted({lang for lang, _ in got})
     net = Network(names)
     if len(names) > 1:
-        x, lens, owner = windows([d for _, d in got])
-        net.fit(x, lens, np.array([names.index(lang) for lang, _ in got])[owner])
+        x, first, end, owner = windows([d for _, d in got])
+        net.fit(x, first, end, np.array([names.index(lang) for lang, _ in got])[owner])
     return net
 
 

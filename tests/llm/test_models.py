@@ -18,30 +18,52 @@ def test_recurrent_gradients():
     net = langid.Network(["a", "b", "c"])
     net.w = {k: v.astype(float) for k, v in net.w.items()}
     rng = np.random.default_rng(0)
-    x, lens, label = rng.integers(97, 100, (4, langid.STEPS)).astype(np.uint8), np.array([64, 64, 9, 30]), np.array([0, 1, 2, 1])
-    _, g = net.step(x, lens, label)
+    x, first, end, label = rng.integers(97, 100, (4, langid.WIDTH)).astype(np.uint8), np.array([16, 0, 16, 0]), np.array([96, 96, 25, 46]), np.array([0, 1, 2, 1])
+    _, g = net.step(x, first, end, label)
     for name, grad in g.items():
         i = np.unravel_index(np.abs(grad).argmax(), grad.shape)
         old, eps = net.w[name][i], 1e-4
         net.w[name][i] = old + eps
-        up = net.step(x, lens, label)[0]
+        up = net.step(x, first, end, label)[0]
         net.w[name][i] = old - eps
-        down = net.step(x, lens, label)[0]
+        down = net.step(x, first, end, label)[0]
         net.w[name][i] = old
         assert grad[i] == pytest.approx((up - down) / (2 * eps), rel=0.05), name
 
 
 def test_prediction_equals_the_training_pass():
     net = langid.Network(["a", "b"])
-    data = [b"abc " * 40, b"xyz", "é ü".encode() * 30]
-    x, lens, owner = langid.windows(data)
-    xt, valid = np.ascontiguousarray(x.T), (np.arange(langid.STEPS)[:, None] < lens).astype("f4")
+    data = [b"abc " * 40, b"xyz", b"", "é ü".encode() * 30, bytes(range(32, 127)) * 3, b"k" * 64, b"k" * 65]
+    x, first, end, owner = langid.windows(data)
+    t = np.arange(langid.WIDTH)[:, None]
+    xt, valid = np.ascontiguousarray(x.T), ((t >= first) & (t < end)).astype("f4")
     f, b = net._forward("f", xt, valid)[0], net._forward("b", xt[::-1], valid[::-1])[0][::-1]
     logits = np.array(f) @ net.w["f_out"] + np.array(b) @ net.w["b_out"] + net.w["bias"]
     p = np.exp(logits)
-    p = (p / p.sum(-1, keepdims=True) * valid[:, :, None]).sum(0)
-    want = np.array([p[owner == i].sum(0) / len(d) for i, d in enumerate(data)])
-    assert np.allclose(net.documents(data), want, atol=1e-4)
+    own = valid * ((t >= langid.AROUND) & (t < langid.AROUND + langid.STEPS))
+    p = (p / p.sum(-1, keepdims=True) * own[:, :, None]).sum(0)
+    want = np.array([p[owner == i].sum(0) / max(len(d), 1) for i, d in enumerate(data)])
+    assert np.allclose(net.documents(data), want, atol=1e-4) and np.allclose(want.sum(1), [bool(d) for d in data], atol=1e-4)
+
+
+def test_windows_hold_their_surroundings():
+    """Every byte is the window's own once, with up to AROUND bytes of the same text before and after it."""
+    data = [bytes(np.random.default_rng(i).integers(1, 255, n).astype(np.uint8)) for i, n in enumerate([1, 63, 64, 65, 200, 0, 16, 128])]
+    x, first, end, owner = langid.windows(data)
+    seen = {i: b"" for i in range(len(data))}
+    for row, a, z, o in zip(x, first, end, owner, strict=True):
+        at = len(seen[o])
+        assert bytes(row[a:z]) == data[o][max(at - langid.AROUND, 0) : at + langid.STEPS + langid.AROUND]
+        seen[o] += bytes(row[langid.AROUND : min(z, langid.AROUND + langid.STEPS)])
+    assert list(seen.values()) == data
+
+
+def test_positions_see_over_window_edges():
+    """What comes before or after a window changes the probabilities of its positions."""
+    net = langid.Network(["a", "b"])
+    base = net.documents([b"x" * 64 + b"y" * 64])[0]
+    alone = (net.documents([b"x" * 64])[0] + net.documents([b"y" * 64])[0]) / 2
+    assert np.abs(base - alone).max() > 1e-4
 
 
 def test_held_out_languages(spark):
