@@ -5,14 +5,16 @@ and a value of 6 or more; ``access`` an AKIA key of 20 or more; ``hex`` a run of
 24 or more.  The method adds ``random``: runs of ``[A-Za-z0-9+/_=-]`` of
 ``MIN_RUN`` or more whose log-likelihood ratio between two first-order character
 models (random strings against ordinary identifiers) is over ``MIN_RATIO`` a
-character, with a digit in them, and that touch no rule's match.
+character, and that touch no rule's match.
 
 Both models learn from labelled samples: values the rules found in a bounded
 sample of documents and strings drawn from a seeded generator are random; the
 other words of that sample, alone and joined as identifiers are, are ordinary.
 
 Spans are code points, end exclusive.  Null text is empty and has no span;
-repeated rows give repeated rows; an empty table gives an empty table.
+repeated rows give repeated rows; an empty table gives an empty table; spans that
+start alike are in the order of the kinds; other columns are left behind (the stage
+of the pipeline keeps them), whatever their names; long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN, MIN_RATIO = 20, 0.7
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-DIGIT = re.compile(r"[0-9]")
 #: Documents whose words train the models (a bound on fitting only; the scan reads all).
 FIT_ROWS = 600
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -91,7 +92,7 @@ def scan(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     more = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if DIGIT.search(text, a, b) and not any(s < b and a < e for s, _, e in found) and ratio(table, m[0]) > MIN_RATIO:
+        if not any(s < b and a < e for s, _, e in found) and ratio(table, m[0]) > MIN_RATIO:
             more.append((a, 3, b))
     return sorted(found + more) if more else found
 

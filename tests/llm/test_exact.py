@@ -222,6 +222,30 @@ def test_tree_search_equals_brute_force():
     assert found == {(i, j) for i in range(len(fp)) for j in range(len(fp)) if tree[i] == tree[j] and int(fp[i] ^ fp[j]).bit_count() <= 4}
 
 
+def test_added_spans_equal_plain_recomputation(spark):
+    """Runs over the limit by the log-likelihoods summed pair by pair; strings of letters alone are found, words are not."""
+    rng = random.Random(2)
+    table = secrets.train(documents(spark, n=60))
+    strings = ["".join(rng.choices(a, k=rng.randint(20, 40))) for a in (secrets.SYMBOLS[:52], secrets.SYMBOLS[:62], secrets.SYMBOLS[26:62]) for _ in range(30)]
+    plain = ["_".join(prose(rng, "en", 6).lower().replace(".", "").split()) + "_value" for _ in range(30)]
+    texts = [f"{prose(rng, 'de', 8)} {x} {prose(rng, 'en', 5)}" for x in strings + plain] + [f"token: {strings[0]} and {strings[31]}", strings[1] + "." + strings[2], None, ""]
+    got = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table)).collect()}
+    for i, t in enumerate(texts):
+        fixed = secrets.rules(t or "")
+        want = [f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in fixed]
+        places = [(a, k) for a, k, _ in fixed]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or ""):
+            if len(m[0]) >= 20 and not any(a < m.end() and m.start() < z for a, _, z in fixed):
+                codes = [len(secrets.SYMBOLS), *map(secrets.SYMBOLS.index, m[0])]
+                if sum(table[x, y] for x, y in zip(codes, codes[1:], strict=False)) / len(m[0]) > secrets.MIN_RATIO:
+                    want.append(f"random:{m.start()}:{m.end()}")
+                    places.append((m.start(), 3))
+        want = [w for _, w in sorted(zip(places, want, strict=True))]
+        assert got[i].spans == ",".join(want)
+    found = [sum(got[i].n_random for i in range(a, a + 30)) for a in (0, 30, 60, 90)]
+    assert min(found[:3]) >= 28 and found[3] == 0
+
+
 # repeats
 
 
