@@ -51,7 +51,7 @@ PART = 2048
 WIDTH, ALIKE = 5, 0.8
 BANDS, BAND, SHARED = 14, 4, 36
 #: Members of a component judged in one task; of a larger one so many lead at a time.  Members of a task.
-TOGETHER, LEAD_PARTS, JUDGED_ROWS = 2000, 16, 15_000
+TOGETHER, LEAD_PARTS, JUDGED_ROWS = 2000, 16, 2000
 
 
 def _hashes(data: bytes, width: int):
