@@ -211,3 +211,14 @@ def test_graphs_without_rows(spark):
     assert graph.terminals(none).count() == 0 and graph.accumulate(none).count() == 0 and graph.paths_from(none.select("cell"), none).count() == 0
     assert graph.smallest_reachable(spark.createDataFrame([], "a long, b long"), together=True).count() == 0
     assert terrain.fill(spark.createDataFrame([], "cell long, r long, c long, z double")).count() == 0
+
+
+def test_a_loop_of_joins_keeps_the_estimated_size_bounded(spark):
+    from inundate.sources.store import checkpointed
+
+    now = spark.range(50).selectExpr("id as cell", "least(id + 1, 49) as at")
+    for _ in range(6):
+        hop = now.selectExpr("cell as at", "at as beyond")
+        now = checkpointed(now.join(hop, "at", "left").selectExpr("cell", "coalesce(beyond, at) as at"))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert {tuple(r) for r in now.collect()} == {(i, 49) for i in range(50)}
