@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -111,30 +110,37 @@ OUTSIDE = -1
 
 def _ways(terminal: np.ndarray, other: np.ndarray, w: np.ndarray):
     """``_levels`` of a small graph: levels in ascending order from the outside, then fewest hops among the lowest ways."""
-    beside = defaultdict(list)
-    for t, o, x in zip(terminal.tolist(), other.tolist(), w.tolist(), strict=True):
-        beside[o].append((t, x))
+    names, ends = np.unique(np.r_[OUTSIDE, terminal, other].astype(np.int64), return_inverse=True)
+    start, outside = ends[len(terminal) + 1 :], int(ends[0])
+    by = np.argsort(start, kind="stable")
+    ends, w = ends[1 : len(terminal) + 1][by], w[by]
+    first = np.searchsorted(start[by], np.arange(len(names) + 1)).tolist()
+
+    def beside(at: int):
+        part = slice(first[at], first[at + 1])
+        return zip(ends[part].tolist(), w[part].tolist(), strict=True)
+
     level: dict[int, float] = {}
-    heap = [(-math.inf, OUTSIDE)]
+    heap = [(-math.inf, outside)]
     while heap:
         low, at = heapq.heappop(heap)
         if at not in level:
             level[at] = low
-            for t, x in beside[at]:
+            for t, x in beside(at):
                 if t not in level:
                     heapq.heappush(heap, (max(low, x), t))
-    hops, ring = {OUTSIDE: (-1, OUTSIDE)}, [OUTSIDE]
+    hops, ring = {outside: (-1, outside)}, [outside]
     while ring:
         found: dict[int, int] = {}
         for at in ring:
-            for t, x in beside[at]:
+            for t, x in beside(at):
                 if t not in hops and max(level[at], x) == level[t]:
                     found[t] = min(found.get(t, at), at)
         n = hops[ring[0]][0] + 1
         hops |= {t: (n, o) for t, o in found.items()}
         ring = list(found)
-    done = [t for t in hops if t != OUTSIDE]
-    return np.array(done, np.int64), np.array([level[t] for t in done]), np.array([hops[t][0] for t in done], np.int32), np.array([hops[t][1] for t in done], np.int64)
+    done = [t for t in hops if t != outside]
+    return names[done], np.array([level[t] for t in done]), np.array([hops[t][0] for t in done], np.int32), names[[hops[t][1] for t in done]]
 
 
 def _levels(labelled: DataFrame, passes: DataFrame, outlets: DataFrame) -> DataFrame:
