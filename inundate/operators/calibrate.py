@@ -13,6 +13,8 @@ THRESHOLDS = (0.15, 0.3, 0.5, 1.0)
 CSI_GATE, CSI_AT = 0.8, 0.3
 VOLUME_TOLERANCE = 0.05
 ALPHA_RANGE = (0.05, 0.4)
+#: What the order of a sum may move a ratio by, as a part of it.
+SLACK = 1e-12
 
 
 def csi_name(t: float) -> str:
@@ -68,10 +70,15 @@ def zone_sums(cells: DataFrame, zone: str = "catchment_id", depth: str = "d100",
     )
 
 
+def within(value: Column, low: float, high: float) -> Column:
+    """Whether a ratio of sums lies in a range, ends included; one that equals an end but for the order of its sums does."""
+    return value.between(low - abs(low) * SLACK, high + abs(high) * SLACK)
+
+
 def alpha_from_sums(sums: DataFrame, zone: str = "catchment_id", bounds=ALPHA_RANGE) -> DataFrame:
     """The same as ``calibrate_alpha`` from ``zone_sums``."""
     both = sums.withColumn("v_rain", F.col("p100") * F.col("area")).withColumn("alpha", ratio_above(F.col("v_obs"), F.col("v_rain")))
-    return both.select(zone, "v_obs", "v_rain", "alpha", (~yes(F.col("alpha").between(*bounds))).alias("flag_alpha_out_of_range"))
+    return both.select(zone, "v_obs", "v_rain", "alpha", (~yes(within(F.col("alpha"), *bounds))).alias("flag_alpha_out_of_range"))
 
 
 def calibration_table(quality: DataFrame, alpha: DataFrame, zone: str = "catchment_id") -> DataFrame:

@@ -249,3 +249,11 @@ def test_large_zone_elevation_equals_its_parts(spark):
     want = zonal.relative_elevation(zonal.keep_large_zones(df, "depression_id", 5)).select("i", "depression_id", "hd").collect()
     got = zonal.large_zone_elevation(df, min_cells=5).select("i", "depression_id", "hd").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_coefficient_on_a_bound_is_in_range_in_any_order_of_its_sums(spark):
+    """0.05 and 0.4 as sums come out one bit off."""
+    rows = [(1, 2.9499999999999997, 1.0, 59.0), (2, 18.040000000000006, 1.0, 45.1), (3, 2.9499, 1.0, 59.0), (4, 18.0401, 1.0, 45.1), (5, None, 1.0, 59.0)]
+    assert rows[0][1] / 59.0 < 0.05 and rows[1][1] / 45.1 > 0.4
+    got = calibrate.alpha_from_sums(spark.createDataFrame(rows, "catchment_id long, v_obs double, p100 double, area double"))
+    assert {r.catchment_id: r.flag_alpha_out_of_range for r in got.collect()} == {1: False, 2: False, 3: True, 4: True, 5: True}
