@@ -40,7 +40,7 @@ def resample_bilinear(source: DataFrame, target: DataFrame, value: str) -> DataF
         F.struct((y + a).alias("r"), (x + b).alias("c"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)
     ))
     asked = target.select("cell", F.inline(corners)).where("w > 0")
-    met = asked.join(source.select("r", "c", F.col(value).alias("v")).where("v is not null"), ["r", "c"])
+    met = asked.join(source.select("r", "c", F.col(value).alias("v")).where("v is not null").hint("merge"), ["r", "c"])
     got = met.groupBy("cell").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"))
     return target.join(got, "cell", "left").select("cell", F.try_divide("wv", "w").alias(value))
 

@@ -34,11 +34,12 @@ def assemble_cells(
     depression, the anchor's depth (r, c, depth) and rain (name -> (grid, step), aligned).
 
     Grids meet by (r, c); a cell that a grid lacks is unknown there.  Depressions are
-    those of the terrain as it is, the drainage that of the conditioned one.
+    those of the terrain as it is, the drainage that of the conditioned one.  Grids meet
+    by shuffles alone: none goes through the driver, however small its files are.
     """
-    grid = checkpointed(numbered(dem))
+    grid = checkpointed(numbered(dem), sized=False)
     out = terrain.build_hand_stack(grid, threshold, segments).withColumnRenamed("z", "dem")
-    out = out.join(terrain.sinks(grid), "cell", "left").join(depth.select("r", "c", F.col("depth").alias("d100")), ["r", "c"], "left")
+    out = out.join(terrain.sinks(grid), "cell", "left").join(depth.select("r", "c", F.col("depth").alias("d100")).hint("merge"), ["r", "c"], "left")
     for name, (coarse, step) in rain.items():
         out = out.join(aligned(grid, coarse, step, name), "cell", "left")
     return out

@@ -27,6 +27,14 @@ def inputs(spark, tmp_path_factory):
     return str(at)
 
 
+def test_assembled_grids_are_not_broadcast(spark, inputs):
+    dem = spark.read.parquet(f"{inputs}/west").where("c < 11").unionByName(spark.read.parquet(f"{inputs}/east").where("c >= 11"))
+    depth = spark.read.parquet(f"{inputs}/water").withColumnRenamed("rp100", "depth")
+    rain = spark.read.parquet(f"{inputs}/rain").select("r", "c", (F.col("c") * 1.0).alias("v"))
+    out = study.assemble_cells(dem, depth, {"v": (rain, STEP)}, threshold=10)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_assembled_cells(spark, inputs):
     dem = spark.read.parquet(f"{inputs}/west").where("c < 11").unionByName(spark.read.parquet(f"{inputs}/east").where("c >= 11"))
     depth = spark.read.parquet(f"{inputs}/water").where("r <> -1").withColumnRenamed("rp100", "depth")
