@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.curve import SLACK
 from ..functions.nulls import complete, depth_over, ratio, ratio_above, yes
 from .curves import volume_at_stage
 from .zonal import inside, spread
@@ -13,8 +14,6 @@ THRESHOLDS = (0.15, 0.3, 0.5, 1.0)
 CSI_GATE, CSI_AT = 0.8, 0.3
 VOLUME_TOLERANCE = 0.05
 ALPHA_RANGE = (0.05, 0.4)
-#: What the order of a sum may move a ratio by, as a part of it.
-SLACK = 1e-12
 
 
 def csi_name(t: float) -> str:

@@ -76,6 +76,16 @@ def test_inversion_and_plateaus(spark, v, h, out):
     assert r.h == h and r.out == out
 
 
+def test_volume_at_a_point_but_for_the_order_of_its_sums(spark):
+    """The last bits of a sum decide neither the flag nor the stage; a part in a million does."""
+    end = 27.65
+    at = [math.nextafter(end, 0), end, math.nextafter(end, 99), end * (1 + 1e-6), end * (1 - 1e-6)]
+    df = spark.createDataFrame([(i, [(0.0, 0.0), (0.5, 9.0), (0.75, end)], v) for i, v in enumerate(at)], "i int, points array<struct<h:double,volume:double>>, v double")
+    got = df.select(curve.stage_for(F.col("points"), F.col("v")).alias("h"), curve.outside(F.col("points"), F.col("v")).alias("out")).orderBy("i").collect()
+    assert [r.out for r in got] == [False, False, False, True, False]
+    assert [r.h for r in got[:4]] == [0.75] * 4 and got[4].h < 0.75
+
+
 def test_inversion_equals_numpy(spark):
     rng = np.random.default_rng(3)
     h = np.linspace(0, 5, 20)
