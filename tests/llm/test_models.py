@@ -158,6 +158,18 @@ def test_gradients_of_all_documents(spark, monkeypatch):
     assert likelihood.corpus_gradients(docs, net)[0] < loss
 
 
+def test_gradients_count_every_word(spark):
+    """Loss and gradients of long texts are those of all their words at once."""
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choice("abcdefg") for _ in range(300 * (i + 1)))) for i in range(4)]
+    net = likelihood.Network([(w, 100) for w in (b"a", b"b", b"c", b"d", b"e", b"f", b"g")], np.ones(likelihood.CLASSES))
+    loss, g = likelihood.corpus_gradients(spark.createDataFrame(data, "doc_id long, text string"), net)
+    flat, at = net.laid_out([net.codes(t) for _, t in data])
+    whole, h = net.gradients(net.context_of[flat], net.target_of[flat], at)
+    assert len(at) == 3000 and loss == pytest.approx(whole / len(at), rel=1e-5)
+    assert all(np.allclose(g[k], h[k] / len(at), atol=1e-5) for k in g)
+
+
 def test_words_of_the_corpus_tell_texts_apart(spark):
     """Of two strange texts alike in form, the one whose words occur elsewhere too is the likelier."""
     rng = random.Random(4)
