@@ -22,6 +22,8 @@ def inside(cells: DataFrame, zone: str) -> DataFrame:
 def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles by key with linear interpolation; NULL values are skipped.
 
+    The values beside a rank are weighted as SQL's ``quantile_cont`` weights them: of a
+    median even the last bit counts, for a stage lies at, over or under a cell's height.
     Each key's range is cut into buckets, and equal values of a bucket are counted in
     the map tasks.  Bucket counts tell which buckets hold the ranks that are asked for,
     and only those are ordered, one task for each (key, bucket).
@@ -47,7 +49,8 @@ def quantiles(df: DataFrame, key: str, value: str, wanted: dict[str, float]) ->
     out = [F.col("k").alias(key)]
     for name, q in wanted.items():
         p = (F.col("total") - 1) * q
-        out.append((F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (p - F.floor(p))).alias(name))
+        low, high, part = F.col(f"{name}_0"), F.col(f"{name}_1"), p - F.floor(p)
+        out.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name))
     return found.select(*out)
 
 
