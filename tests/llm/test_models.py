@@ -170,6 +170,34 @@ def test_gradients_count_every_word(spark):
     assert all(np.allclose(g[k], h[k] / len(at), atol=1e-5) for k in g)
 
 
+def test_gradients_do_not_hang_on_the_parts_of_a_text(spark, monkeypatch):
+    """A long text is taken in parts that see their surroundings; a part has the gradients of its places alone."""
+    rng = random.Random(6)
+    data = [(i, " ".join(rng.choice("abcdefg") for _ in range(n))) for i, n in enumerate([700, 0, 1, 2, 150])]
+    docs, net = spark.createDataFrame(data, "doc_id long, text string"), likelihood.Network([(w, 100) for w in (b"a", b"b", b"c", b"d")], np.ones(likelihood.CLASSES))
+    flat, at = net.laid_out([net.codes(t) for _, t in data])
+    near, target = net.context_of[flat], net.target_of[flat]
+    parts = [net.gradients(near, target, p) for p in np.array_split(at, 9)]
+    whole, h = net.gradients(near, target, at)
+    monkeypatch.setattr(likelihood, "PLACES", 50)
+    loss, g = likelihood.corpus_gradients(docs, net)
+    assert len(at) == 853 and loss * len(at) == pytest.approx(whole, rel=1e-5) and sum(x for x, _ in parts) == pytest.approx(whole, rel=1e-5)
+    for k in g:
+        assert np.allclose(g[k] * len(at), h[k], atol=1e-3) and np.allclose(sum(p[k] for _, p in parts), h[k], atol=1e-3)
+
+
+def test_the_parameters_of_least_loss_stay(spark, monkeypatch):
+    """A step that makes the whole corpus less likely is taken back, though scoring alone finds its loss."""
+    monkeypatch.setattr(likelihood, "ROUNDS", 30)
+    docs = documents(spark, n=40)
+    monkeypatch.setattr(likelihood, "STEPS", 0)
+    start = likelihood.train(docs)
+    monkeypatch.setattr(likelihood, "STEPS", 1)
+    monkeypatch.setattr(likelihood.Network, "step", lambda self, g: self.w.update({k: -v for k, v in self.w.items()}))
+    got, want = ({r.doc_id: r.log_prob for r in likelihood.score(docs, m).collect()} for m in (None, start))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in got)
+
+
 def test_words_of_the_corpus_tell_texts_apart(spark):
     """Of two strange texts alike in form, the one whose words occur elsewhere too is the likelier."""
     rng = random.Random(4)
