@@ -186,6 +186,30 @@ def test_gradients_do_not_hang_on_the_parts_of_a_text(spark, monkeypatch):
         assert np.allclose(g[k] * len(at), h[k], atol=1e-3) and np.allclose(sum(p[k] for _, p in parts), h[k], atol=1e-3)
 
 
+def test_gradients_do_not_sort(monkeypatch):
+    """Classes and neighbours are counted, not sorted; parameters at the bound of exp() give the loss and gradients of a plain softmax."""
+    net = likelihood.Network([(w, 100) for w in (b"a", b"b", b"c")], np.ones(likelihood.CLASSES))
+    rng = np.random.default_rng(3)
+    net.w["out"] = rng.normal(0, 2, net.w["out"].shape).astype("f4")
+    net.w["out_bias"] = rng.uniform(-60, 60, likelihood.CLASSES).astype("f4")
+    net.hold()
+    flat, at = net.laid_out([net.codes("a b c a zz b " * 200), net.codes("c c a")])
+    at = np.r_[at, at[:50]]  # a place may come twice
+    near, target = net.context_of[flat], net.target_of[flat]
+    want = -net.log_probs(flat, at).sum()
+    monkeypatch.setattr(np, "argsort", None)
+    loss, g = net.gradients(near, target, at)
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    h = np.tanh(sum(w["context"][k][near[at + d]] for k, d in enumerate(likelihood.OFFSETS)) + w["bias"])
+    logits = h @ w["out"] + w["out_bias"]
+    log_sums = np.logaddexp.reduce(logits, 1)
+    error = np.exp(logits - log_sums[:, None])
+    error[np.arange(len(at)), target[at]] -= 1
+    assert loss == pytest.approx((log_sums - logits[np.arange(len(at)), target[at]]).sum(), rel=1e-4) == pytest.approx(want, rel=1e-4)
+    assert np.allclose(g["out"], h.T @ error, rtol=1e-3, atol=0.05) and np.allclose(g["out_bias"], error.sum(0), rtol=1e-3, atol=0.05)
+    assert np.allclose(g["bias"], ((error @ w["out"].T) * (1 - h * h)).sum(0), rtol=1e-3, atol=0.05)
+
+
 def test_the_parameters_of_least_loss_stay(spark, monkeypatch):
     """A step that makes the whole corpus less likely is taken back, though scoring alone finds its loss."""
     monkeypatch.setattr(likelihood, "ROUNDS", 30)
